@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import cache
+from itertools import groupby, takewhile
 
 # --- fixed values: class name -> (regex, display label), in catalogue order ---------------
 CATALOGUE: dict[str, tuple[str, str]] = {
@@ -82,13 +84,27 @@ def literal_of(name: str) -> str | None:
     return regex.removeprefix("\\")
 
 
-def class_body(names: Iterable[str]) -> str:
-    """Single-character classes merged into the inside of one ``[...]``."""
-    parts = []
-    for name in names:
-        regex = PATTERNS[name]
-        parts.append(regex[1:-1] if regex.startswith("[") else ("\\-" if regex == "-" else regex))
-    return "".join(parts)
+@cache
+def characters(name: str) -> str:
+    """The characters of a single-character class; the catalogue stays below U+0500."""
+    regex = re.compile(PATTERNS[name])
+    return "".join(ch for ch in map(chr, range(0x500)) if regex.fullmatch(ch))
+
+
+def any_of(chars: Iterable[str]) -> list[str]:
+    """Character classes that together match ``chars``, Latin-1 first.
+
+    Java tests a class of single Latin-1 characters with one table look-up but walks
+    through all ranges of a mixed class, so the two are kept apart.
+    """
+    points = sorted(set(map(ord, chars)))
+    low = "".join(f"\\u{p:04x}" for p in points if p < 256)
+    wide = ""
+    # Neighbours share their distance to their rank, so each group is one range.
+    for _, run in groupby(enumerate(p for p in points if p >= 256), key=lambda pair: pair[1] - pair[0]):
+        members = [p for _, p in run]
+        wide += f"\\u{members[0]:04x}-\\u{members[-1]:04x}"
+    return [f"[{body}]" for body in (low, wide) if body]
 
 
 def run_regex(names: Iterable[str], strict: bool = True) -> str | None:
@@ -107,22 +123,17 @@ def run_regex(names: Iterable[str], strict: bool = True) -> str | None:
             break
         if name in ESCAPE_TOKENS:
             tokens.append(PATTERNS[name])
-    singles = [n for n in chosen if n not in ESCAPE_TOKENS]
-    branches = tokens + ([f"[{class_body(singles)}]"] if singles else [])
-    if len(branches) == 1:
-        return f"(?:{branches[0]})++" if tokens else branches[0] + "++"
-    return f"(?:{'|'.join(branches)})++"
+    singles = any_of("".join(characters(n) for n in chosen if n not in ESCAPE_TOKENS))
+    # Next to a token, classes go one character at a time: the token comes first everywhere.
+    return f"(?:{'|'.join([*tokens, *(c if tokens else c + '++' for c in singles)])})++"
 
 
 def exclusive(name: str) -> str:
     """A regex for the characters of a class that no earlier class of the catalogue has."""
-    earlier = []
-    for other in PATTERNS:
-        if other == name:
-            break
-        if other not in ESCAPE_TOKENS:
-            earlier.append(PATTERNS[other])
-    return f"(?!{'|'.join(earlier)}){PATTERNS[name]}" if earlier else PATTERNS[name]
+    earlier = "".join(characters(n) for n in takewhile(name.__ne__, PATTERNS) if n not in ESCAPE_TOKENS)
+    own = characters(name)
+    left = [ch for ch in own if ch not in earlier]
+    return PATTERNS[name] if len(left) == len(own) else "|".join(any_of(left))
 
 
 def label_of(name: str) -> str:
@@ -135,5 +146,10 @@ def names_of_labels(labels: Iterable[str]) -> list[str]:
     return [n for n in PATTERNS if LABELS[n] in wanted]
 
 
+# Classes of letters beyond ASCII.
+WIDE = [n for n, regex in PATTERNS.items() if regex.startswith("[\\u")]
+COVERED = "".join(characters(n) for n in PATTERNS if n not in ESCAPE_TOKENS)
+
+
 def escape_java_replacement(text: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", text)

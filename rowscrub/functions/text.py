@@ -136,45 +136,47 @@ def join_array(c: Column, separator: str) -> Column:
     return F.array_join(c, separator)
 
 
-def matches_pattern(c: Column, name: str) -> Column:
+def may_hold_wide(c: Column) -> Column:
+    """Can any of the classes beyond ASCII match? A length comparison, then one joint regex."""
+    text = as_text(c)
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike("|".join(P.PATTERNS[n] for n in P.WIDE))
+
+
+def matches_pattern(c: Column, name: str, wide: Column | None = None) -> Column:
     """Does the text contain the class? Fixed texts are a byte search, not a regex.
 
-    Classes outside ASCII are only tried on values that hold a multi-byte character.
+    Classes beyond ASCII are only tried where ``wide``, by default any multi-byte text, holds.
     """
     text = as_text(c)
     literal = P.literal_of(name)
     if literal is not None:
         return F.contains(text, F.lit(literal))
     found = text.rlike(P.PATTERNS[name])
-    return found if name in ("latin_basic", "digits") else _wide(text) & found
+    if name not in P.WIDE:
+        return found
+    return (F.octet_length(text) > F.char_length(text) if wide is None else wide) & found
 
 
 def has_uncovered(c: Column) -> Column:
     """Does the text hold a character that no class of the catalogue covers?"""
-    body = P.class_body(n for n in P.PATTERNS if n not in P.ESCAPE_TOKENS)
-    return as_text(c).rlike(f"(?s)(?![{body}]).")
+    return F.translate(as_text(c), P.COVERED, "") != ""
 
 
-def _wide(text: Column) -> Column:
-    return F.octet_length(text) > F.char_length(text)
+def without_escapes(c: Column) -> Column:
+    """Written-out escapes blanked by a character of no class: each of them is one match."""
+    text = as_text(c)
+    for token in P.ESCAPE_TOKENS.values():
+        text = F.replace(text, F.lit(token), F.lit("\u0001"))
+    return text
 
 
-def first_matches(c: Column) -> dict[str, Column]:
-    """Per class: does it own at least one match, each match belonging to the first class that fits?
+def owns_match(c: Column, name: str, rest: Column, wide: Column) -> Column:
+    """Does the class own a match, if every match belongs to the first class that fits it?
 
-    A written-out escape is one match, so its letters and digits do not count for others.
+    ``rest`` is :func:`without_escapes` and ``wide`` is :func:`may_hold_wide` of the text.
     """
-    text = as_text(c)
-    rest = text
-    for token in P.ESCAPE_TOKENS.values():
-        rest = F.replace(rest, F.lit(token), F.lit("\u0001"))
-    flags = {}
-    for name in P.PATTERNS:
-        literal = P.literal_of(name)
-        if name in P.ESCAPE_TOKENS:
-            flags[name] = F.contains(text, F.lit(literal))
-        elif literal is not None:
-            flags[name] = F.contains(rest, F.lit(literal))
-        else:
-            flags[name] = rest.rlike(P.exclusive(name))
-    return flags
+    literal = P.literal_of(name)
+    if literal is not None:
+        return F.contains(as_text(c) if name in P.ESCAPE_TOKENS else rest, F.lit(literal))
+    found = rest.rlike(P.exclusive(name))
+    return wide & found if name in P.WIDE else found

@@ -10,27 +10,54 @@ from pyspark.sql import functions as F
 from rowscrub.functions import names as N
 from rowscrub.functions import patterns as P
 from rowscrub.functions import text as X
-from rowscrub.operators.columns import ref
+from rowscrub.operators.columns import map_columns, ref
 
 UNCOVERED = "__uncovered"
 
 
-def _values(df: DataFrame, columns: Sequence[str], drop_nan: bool = False) -> DataFrame:
-    """One row per cell: ``column``, ``value``; plus one null per column, so that none is lost."""
-    kinds = dict(df.dtypes)
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
 
-    def text(c: str) -> Column:
-        numeric = drop_nan and kinds[c] in ("double", "float")
-        return X.as_text(F.nanvl(ref(c), F.lit(None)) if numeric else ref(c))
+def _mask(flags: Sequence[Column]) -> Column:
+    """Booleans as the bits of one number, the first flag being the lowest bit; null if a flag is."""
+    return F.aggregate(
+        F.array(*reversed(flags)), F.lit(0).cast("bigint"), lambda bits, flag: bits * 2 + flag.cast("bigint")
+    )
 
-    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns]))
-    empty = df.sparkSession.createDataFrame([(c, None) for c in columns], "column string, value string")
-    return df.select(cells).unionByName(empty)
 
+def _any_flags(
+    df: DataFrame,
+    columns: Sequence[str],
+    flags: dict[str, Column],
+    helpers: dict[str, Column],
+    presets: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``column, pattern, found``: does a flag hold for any cell of a column?
 
-def _long(flags: DataFrame, names: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(n).alias("pattern"), F.coalesce(F.col(n), F.lit(False)).alias("found")) for n in names]
-    return flags.select("column", F.inline(F.array(*pairs)))
+    ``flags`` are tests on ``value`` and on ``helpers``, which are computed once per cell. The cells of a row fan out inside the task, each becomes one bit mask,
+    and tasks OR the masks down to one number per column: that is all the shuffle carries,
+    and neither plan nor generated code grows with the number of columns. ``presets`` gives
+    a ready mask for columns that need no text search.
+    """
+    presets = presets or {}
+    no_mask = F.lit(None).cast("bigint")
+    cells = [
+        F.struct(
+            F.lit(name).alias("column"),
+            (F.lit(None).cast("string") if name in presets else X.as_text(ref(name))).alias("value"),
+            presets.get(name, no_mask).alias("preset"),
+        )
+        for name in columns
+    ]
+    fanned = df.select(F.inline(F.array(*cells)))
+    empty = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    empty = empty.select("column", F.lit(None).cast("string").alias("value"), no_mask.alias("preset"))
+    tested = fanned.unionByName(empty).select("*", *[h.alias(n) for n, h in helpers.items()])
+    masks = tested.select("column", F.coalesce("preset", _mask(list(flags.values()))).alias("mask"))
+    found = masks.groupBy("column").agg(F.coalesce(F.bit_or("mask"), F.lit(0)).alias("mask"))
+    names = F.split(F.lit(",".join(flags)), ",")
+    spread = found.select("column", "mask", F.posexplode(names).alias("bit", "pattern"))
+    return spread.select("column", "pattern", (F.getbit("mask", F.col("bit")) == 1).alias("found"))
 
 
 def pattern_profile(
@@ -38,30 +65,38 @@ def pattern_profile(
 ) -> DataFrame:
     """``column, pattern, found`` for all columns and classes, in one scan.
 
-    The cells of a row are fanned out inside the task and reduced there to one row per
-    column, so the shuffle carries (tasks x columns) rows of flags whatever the table size,
-    and the generated code does not grow with the number of columns.
+    Whole numbers need no text search: they are digits, with a hyphen if negative.
     """
     columns = list(df.columns if columns is None else columns)
-    exprs = [F.bool_or(X.matches_pattern(F.col("value"), n)).alias(n) for n in P.PATTERNS]
-    names = list(P.PATTERNS)
+    kinds = dict(df.dtypes)
+    if drop_nan:
+        fractions = [c for c in columns if kinds[c] in ("double", "float")]
+        df = map_columns(df, fractions, lambda c: F.nanvl(c, F.lit(None)))
+    flags = {n: X.matches_pattern(F.col("value"), n, F.col("wide")) for n in P.PATTERNS}
     if uncovered:
-        exprs.append(F.bool_or(X.has_uncovered(F.col("value"))).alias(UNCOVERED))
-        names.append(UNCOVERED)
-    return _long(_values(df, columns, drop_nan).groupBy("column").agg(*exprs), names)
-
-
-def pattern_set_column(df: DataFrame, column: str) -> DataFrame:
-    """Classes found in one column; null and NaN do not count."""
-    return pattern_profile(df, [column], drop_nan=True).where("found").select("pattern")
+        flags[UNCOVERED] = X.has_uncovered(F.col("value"))
+    order = list(flags)
+    digits, hyphen = 1 << order.index("digits"), 1 << order.index("hyphen")
+    presets = {
+        c: F.when(ref(c) < 0, F.lit(digits | hyphen)).when(ref(c) >= 0, F.lit(digits)).cast("bigint")
+        for c in columns
+        if kinds[c] in INTEGRAL
+    }
+    return _any_flags(df, columns, flags, {"wide": X.may_hold_wide(F.col("value"))}, presets)
 
 
 def pattern_set_first(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Classes found when each match counts only for the first class that fits it."""
     columns = list(df.columns if columns is None else columns)
-    flags = X.first_matches(F.col("value"))
-    found = _values(df, columns).groupBy("column").agg(*[F.bool_or(f).alias(n) for n, f in flags.items()])
-    return _long(found, list(flags)).where("found").select("column", "pattern")
+    value, rest, wide = F.col("value"), F.col("rest"), F.col("wide")
+    flags = {n: X.owns_match(value, n, rest, wide) for n in P.PATTERNS}
+    helpers = {"rest": X.without_escapes(value), "wide": X.may_hold_wide(value)}
+    return _any_flags(df, columns, flags, helpers).where("found").select("column", "pattern")
+
+
+def pattern_set_column(df: DataFrame, column: str) -> DataFrame:
+    """Classes found in one column; null and NaN do not count."""
+    return pattern_profile(df, [column], drop_nan=True).where("found").select("pattern")
 
 
 def column_metadata(profile: DataFrame, visible: Iterable[str] | None = None) -> DataFrame:

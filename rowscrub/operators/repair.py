@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowscrub.operators.columns import ref, unique_names
+from rowscrub.operators.columns import computed_once, ref, unique_names
 from rowscrub.session import scratch_path, via_table
 from rowscrub.sources.readers import drop_bad_utf8
 from rowscrub.sources.sinks import write_csv, write_repaired_csv
@@ -92,7 +92,7 @@ def check_records(
         .alias("description"),
     )
     bad = F.col("error_type").isNotNull()
-    return checked.withColumn("content", F.when(bad, F.array_join("fields", delimiter)))
+    return computed_once(checked.withColumn("content", F.when(bad, F.array_join("fields", delimiter))))
 
 
 def valid_rows(checked: DataFrame, header: Sequence[str]) -> DataFrame:

@@ -306,8 +306,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "pattern_set_column": f"""with {MIXED} select pattern from ({long_profile({'mixed_scripts': ['mixed']})}) where found""",
         "table_info": """select (select count(*) from lineitem) as row_count, count(*) as column_count,
-            string_agg(column_name, ',' order by column_index) as column_names
-            from duckdb_columns() where table_name = 'lineitem' and not internal""",
+            string_agg(column_name, ',') as column_names from (describe lineitem)""",
         "concat_metadata": f"""with d as ({detected('part', PART_COLUMNS)}),
             p as (select distinct unnest(string_split(patterns, '|')) as p from d where "column" in ('p_name', 'p_brand')),
             l as (select distinct unnest(string_split(labels, '|')) as l from d where "column" in ('p_name', 'p_brand'))
