@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscrub.functions import text as X
@@ -74,8 +74,24 @@ def write_csv_flat(
 
 
 def write_repaired_csv(df: DataFrame, path: str, delimiter: str = "~", mode: str = "errorifexists") -> None:
-    """Repaired rows: everything quoted, CR LF line ends, newlines kept inside quotes."""
-    _csv(df, delimiter, True, mode).option("lineSep", "\r\n").csv(path)
+    """Repaired rows: everything quoted, CR LF line ends, each file with the header, newlines
+    inside quotes unchanged.
+
+    The lines are built as text, because the CSV writer would turn newlines inside values
+    into its own line end. A file is what one task writes, so the header goes before the
+    first row of each task; a table without rows gives a file without header.
+    """
+
+    def quoted(c: Column) -> Column:
+        text = F.coalesce(X.as_text(c), F.lit(""))
+        return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    header = F.concat_ws(delimiter, *[quoted(F.lit(c)) for c in df.columns])
+    line = F.concat_ws(delimiter, *[quoted(ref(c)) for c in df.columns])
+    row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = df.select(line.alias("line"), (row_in_task == 0).alias("first"))
+    texts = F.when(F.col("first"), F.array(header, "line")).otherwise(F.array("line"))
+    lines.select(F.explode(texts).alias("value")).write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
 def _csv(df: DataFrame, delimiter: str, quote_all: bool, mode: str):
