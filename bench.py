@@ -79,8 +79,12 @@ def repair_quoted(spark):
     consume(Q.csv_quoted_fields(spark, FOLDER))
 
 
+def repair_multi_line(spark):
+    consume(Q.csv_multi_line(spark, FOLDER))
+
+
 BENCHES = [clean, keep_only, profile, dedup_all, dedup_key, dedup_ordered, nest_and_write, workflow, self_configured,
-           repair, repair_numbered, repair_quoted]
+           repair, repair_numbered, repair_quoted, repair_multi_line]
 
 
 def main() -> None:

@@ -1,26 +1,22 @@
 """Separating well-formed from malformed delimited records.
 
-Works on lines: ``value`` plus whatever columns the caller wants to keep. Field splitting
-follows the usual rules (a field that starts with a double quote runs to the closing one,
-a doubled quote inside stands for one quote, text after the closing quote is appended).
+Works on lines or records: ``value`` plus whatever columns the caller wants to keep.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowscrub.functions.fields import open_quote, split_fields
 from rowscrub.operators.columns import computed_once, ref, unique_names
-from rowscrub.session import scratch_path, via_table
-from rowscrub.sources.readers import drop_bad_utf8
+from rowscrub.operators.records import number_records, read_records, scan_lines
+from rowscrub.session import scratch_path
 from rowscrub.sources.sinks import write_csv, write_repaired_csv
 
 STRUCTURE, PROCESSING = "structure", "processing"
-BROADCAST_BYTES = 32 << 20  # block tables above this are joined by shuffle instead
-BLOCK_ROW_BYTES = 64
 
 # --- fixed values: wording of the bad-row descriptions ------------------------------------
 WRONG_COUNT = "Неверное количество столбцов: {} вместо {}"
@@ -30,45 +26,20 @@ MESSAGE_CHARS = 100
 OPEN_QUOTE = "quote not closed on its line"
 
 
-def split_fields(line: Column, delimiter: str = ",") -> Column:
-    """The fields of one line as an array; a blank line has none.
-
-    Lines without any double quote, nearly all of them, are a plain split.
-    """
-    d = re.escape(delimiter)
-    other = f"[^{d}]*+"
-    quoted = f'{d}(?:"([^"]*+(?:""[^"]*+)*+)(?:"({other})|\\z)|({other}))'
-    led = F.concat(F.lit(delimiter), line)
-
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(led, F.lit(quoted), F.lit(i))
-
-    inside = F.zip_with(group(1), group(2), lambda a, b: F.concat(F.replace(a, F.lit('""'), F.lit('"')), b))
-    fields = F.zip_with(inside, group(3), lambda a, b: F.concat(a, b))
-    plain = F.split(line, d, -1)
-    return (
-        F.when(line == "", F.array().cast("array<string>"))
-        .when(F.contains(line, F.lit('"')), fields)
-        .otherwise(plain)
-    )
-
-
-def open_quote(line: Column, delimiter: str = ",") -> Column:
-    """Does the line end inside a quoted field, so that its record goes on in the next line?"""
-    d = re.escape(delimiter)
-    field = f'(?:"[^"]*+(?:""[^"]*+)*+"[^{d}]*+|(?!")[^{d}]*+)'
-    return F.contains(line, F.lit('"')) & ~line.rlike(f"(?s)\\A{field}(?:{d}{field})*+\\z")
-
-
 def check_records(
-    lines: DataFrame, header: Sequence[str], delimiter: str = ",", types: Mapping[str, str] | None = None
+    lines: DataFrame,
+    header: Sequence[str],
+    delimiter: str = ",",
+    types: Mapping[str, str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Add ``fields``, ``error_type``, ``description`` and ``content`` to lines.
 
     A record is bad (``structure``) if it has another number of fields than the header or
     leaves a quote open, and bad (``processing``) if a value does not fit the type the
     caller asks for in ``types``. ``error_type`` is null on valid records; ``content`` is
-    the fields of a bad record joined again, without their quotes.
+    the fields of a bad record joined again, without their quotes. ``whole`` says that
+    ``value`` holds whole records, so that an open quote is just one at the end of a file.
     """
     width = len(header)
     kept = [ref(c) for c in lines.columns]
@@ -80,7 +51,7 @@ def check_records(
         misfit = F.coalesce(misfit, F.when(wrong, F.lit(f"{name} is not {kind}")))
     count = F.size("fields")
     wrong_count = count != width
-    unclosed = open_quote(F.col("value"), delimiter)
+    unclosed = F.lit(False) if whole else open_quote(F.col("value"), delimiter)
     before, between = WRONG_COUNT.split("{}")[:2]
     checked = parsed.select(
         *kept,
@@ -113,103 +84,50 @@ def repair_counts(checked: DataFrame) -> DataFrame:
     return checked.groupBy(kind).agg(F.count(F.lit(1)).alias("records"))
 
 
-# --- record numbers -------------------------------------------------------------------------
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, block, seq, value`` of text files, bad bytes dropped.
-
-    ``seq`` grows along the lines of a block. A block is a piece of a file that one task reads.
-    """
-    _pin_blocks(spark)
-    raw = spark.read.text(path)
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(drop_bad_utf8(F.col("value"))).alias("value"),
-    )
-
-
-def _pin_blocks(spark: SparkSession) -> None:
-    """Two scans of the same files must cut and pack blocks alike.
-
-    For small inputs Spark sizes blocks by the current number of cores, which changes as
-    executors come and go, so it is fixed here for the session unless it is set already.
-    """
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-
-
-def block_offsets(lines: DataFrame, scope: str = "file") -> DataFrame:
-    """Per block: its first ``seq`` and how many records come before it.
-
-    One row per block of the input (128 MB by default), so the running sum handles a
-    table many orders smaller than the data. ``scope='file'`` starts anew in every file,
-    ``scope='dataset'`` counts through the files in name order.
-    """
-    blocks = lines.groupBy("file", "block").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("records")
-    )
-    blocks = via_table(blocks, "blocks")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = blocks.withColumn("in_file", F.coalesce(F.sum("records").over(before), F.lit(0)))
-    if scope == "file":
-        return per_block.withColumn("offset", F.col("in_file"))
-    files = blocks.groupBy("file").agg(F.sum("records").alias("records"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("file_start"))
-    return per_block.join(starts, "file").withColumn("offset", F.col("in_file") + F.col("file_start"))
-
-
-def number_records(lines: DataFrame, scope: str = "file") -> DataFrame:
-    """Add ``row_number``, 1 for the first record, to :func:`read_lines` output, without a sort.
-
-    Position inside the block plus records before the block. The block table is broadcast
-    while its size is known to be small; beyond that the join runs by (file, block), whose
-    groups are one block each and therefore even. A line whose block is not found as
-    counted fails the job instead of getting a wrong number.
-    """
-    offsets = block_offsets(lines, scope).select("file", "block", "first_seq", "last_seq", "offset")
-    size = offsets.agg(F.sum(F.octet_length("file") + BLOCK_ROW_BYTES)).first()[0] or 0
-    side = F.broadcast(offsets) if size <= BROADCAST_BYTES else offsets
-    inside = F.col("seq").between(F.col("first_seq"), F.col("last_seq"))
-    number = F.when(inside, F.col("seq") - F.col("first_seq") + F.col("offset") + 1).otherwise(
-        F.raise_error(F.lit("blocks changed between two scans")).cast("bigint")
-    )
-    joined = lines.join(side, ["file", "block"], "left")
-    return joined.select(*[ref(c) for c in lines.columns], number.alias("row_number"))
-
-
 def repair_files(
-    spark: SparkSession, path: str, delimiter: str = ",", types: Mapping[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    delimiter: str = ",",
+    types: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """Checked records of text files that each start with the header, and the header.
 
-    Data records are numbered from 2 in every file. An empty input gives an empty table
-    and no header.
+    Data records are numbered from 2 in every file. A record is one line, and a line that
+    leaves a quote open is bad; with ``multi_line`` quoted fields may hold newlines. An
+    empty input gives an empty table and no header.
     """
-    lines = read_lines(spark, path)
-    first = lines.where(F.col("block") == 0).head()
-    if first is None:
-        return check_records(lines.withColumn("row_number", F.lit(0).cast("bigint")), [], delimiter), []
-    one = spark.createDataFrame([(first["value"],)], "value string")
-    names = unique_names(one.select(split_fields(F.col("value"), delimiter)).first()[0])
-    numbered = number_records(lines, "file").where(F.col("row_number") > 1)
-    return check_records(numbered, names, delimiter, types), names
+    if multi_line:
+        numbered = read_records(spark, path, delimiter)
+        first = numbered.where(F.col("row_number") == 1).head()
+    else:
+        lines = scan_lines(spark, path)
+        first = lines.where(F.col("block") == 0).head()
+        numbered = number_records(lines, "file") if first else lines.withColumn("row_number", F.lit(0).cast("bigint"))
+    names = []
+    if first is not None:
+        header = spark.createDataFrame([(first["value"],)], "value string")
+        names = unique_names(header.select(split_fields(F.col("value"), delimiter)).first()[0])
+    data = numbered.where(F.col("row_number") > 1)
+    return check_records(data, names, delimiter, types, whole=multi_line), names
 
 
 def repair_csv(
-    spark: SparkSession, path: str, valid_out: str, bad_out: str, delimiter: str = ",", export_delimiter: str = "~",
+    spark: SparkSession,
+    path: str,
+    valid_out: str,
+    bad_out: str,
+    delimiter: str = ",",
+    export_delimiter: str = "~",
     types: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Write valid records and bad records apart; returns the counts.
 
     The input is split and checked once, into a staging table partitioned by outcome; both
     outputs and the counts read their own part of it.
     """
-    checked, header = repair_files(spark, path, delimiter, types)
+    checked, header = repair_files(spark, path, delimiter, types, multi_line)
     part = F.coalesce("error_type", F.lit("valid")).alias("part")
     checked = checked.select("row_number", "fields", "error_type", "description", "content", part)
     staged = scratch_path(spark, "checked")

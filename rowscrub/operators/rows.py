@@ -52,18 +52,22 @@ def dedup(
     """One row per key; null equals null.
 
     Without ``order_by`` any row may survive. With it the first row in that order does.
-    Each map task keeps one row per key before the shuffle (partial aggregate, or the
-    window group limit that Spark derives from ``rank <= 1``), so a key that owns a third
-    of the table sends one row per task and not all of its copies. The ranked form is also
-    used without an order: ``dropDuplicates(keys)`` carries the other columns as ``first``
-    aggregates, which Spark can only sort-aggregate, and measured slower.
+    Each map task keeps one row per key before the shuffle (a partial aggregate over all
+    columns, or the window group limit that Spark derives from ``rank <= 1``), so a key
+    that owns a third of the table sends one row per task and not all of its copies.
+
+    The ranked form serves both cases: ``dropDuplicates(keys)`` carries the other columns as
+    ``first`` aggregates, which for text Spark can only sort-aggregate. A 64-bit hash leads
+    the partition key, so that sorting rarely has to compare long texts; the key itself
+    follows, which keeps the result exact.
     """
     keys = dedup_keys(df.columns, subset, report)
     if len(keys) == len(df.columns):
         return df.dropDuplicates()
+    key = [ref(k) for k in keys]
     order = [ref(o) if isinstance(o, str) else o for o in order_by or keys]
     rank = "__rank"
-    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*[ref(k) for k in keys]).orderBy(*order)))
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(F.xxhash64(*key), *key).orderBy(*order)))
     return ranked.where(F.col(rank) <= 1).drop(rank)
 
 

@@ -12,6 +12,7 @@ from rowscrub.functions import patterns as P
 from rowscrub.functions import text as X
 from rowscrub.operators import columns as C
 from rowscrub.operators import profile as A
+from rowscrub.operators import records as B
 from rowscrub.operators import repair as S
 from rowscrub.operators import rows as R
 from rowscrub.plans import workflow as W
@@ -28,6 +29,9 @@ KEPT = ["latin_basic", "latin_extended", "digits", "space", "newline", "period"]
 LATIN, CYRILLIC = "abvgdeziyklmnoprstufhcABVGDEZIYKLMNOPRSTUFHC", "абвгдезийклмнопрстуфхцАБВГДЕЗИЙКЛМНОПРСТУФХЦ"
 
 
+SPREAD = ("documents", "pages", "lineitem")  # tables with work enough per row to share out
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -37,7 +41,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table, split over the cores if it is too small to have row groups for all of them."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
     df = readers.read_parquet(spark, path)
-    return readers.spread(df, readers.input_bytes(spark, path)) if name in ("documents", "pages") else df
+    return readers.spread(df, readers.input_bytes(spark, path)) if name in SPREAD else df
 
 
 def dirty_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,7 +215,7 @@ def csv_bad_row_numbers(spark, folder):
     path = scratch_path(spark, "lines")
     ordered = csv_lines(spark, folder).repartitionByRange("event_id").sortWithinPartitions("event_id")
     ordered.select("value").write.text(path)
-    numbered = S.number_records(S.read_lines(spark, path), "dataset").withColumn("row_number", F.col("row_number") + 1)
+    numbered = B.number_records(B.scan_lines(spark, path), "dataset").withColumn("row_number", F.col("row_number") + 1)
     return S.bad_rows(S.check_records(numbered, EVENT_FIELDS))
 
 
@@ -248,6 +252,15 @@ def csv_repair_files(spark, folder):
     return readers.scan_plain(spark, good, "~")
 
 
+@query
+def csv_multi_line(spark, folder):
+    """Texts with newlines inside quotes, found again across file blocks."""
+    source = scratch_path(spark, "multi-line")
+    sinks.write_csv(table(spark, folder, "conversations"), source, ",", quote_all=True)
+    checked, header = S.repair_files(spark, source, multi_line=True)
+    return S.valid_rows(checked, header)
+
+
 # --- sinks ----------------------------------------------------------------------------------
 
 

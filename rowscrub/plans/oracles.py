@@ -215,6 +215,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) as records from checked group by 1""",
         "csv_repair_files": f"""with {CHECKED} select event_id, split_part(value, ',', 2)::bigint as user_id,
             split_part(value, ',', 3) as event_type from checked where n = 3""",
+        "csv_multi_line": "select conv_id::varchar as conv_id, turn::varchar as turn, role, text from conversations",
         "write_parquet_roundtrip": nested,
         "write_parquet_codecs": """select s_suppkey, s_name, unnest(['zstd', 'snappy', 'gzip', 'none']) as codec from supplier""",
         "write_split": "select o_orderkey, o_custkey, o_orderstatus, o_orderpriority from orders",

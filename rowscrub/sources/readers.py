@@ -41,9 +41,10 @@ def spread(df: DataFrame, input_bytes: int, per_task: int = 2 << 20) -> DataFram
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of the files below a path, from a listing that opens none of them."""
-    total = listing(spark, path).agg(F.sum("length")).first()[0]
-    return int(total or 0)
+    """Size of what lies below a path, asked of its file system."""
+    context = spark.sparkContext
+    location = context._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(location).getLength()
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

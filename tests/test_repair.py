@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
+from rowscrub.functions.fields import open_quote, split_fields
+from rowscrub.operators import records as B
 from rowscrub.operators import repair as S
 
 HEADER = ["a", "b", "c"]
@@ -33,7 +35,7 @@ def test_every_short_line_splits_as_the_standard_reader(spark, delimiter):
     lines = ["".join(p) for n in range(7) for p in itertools.product(f'a{delimiter}"', repeat=n)]
     df = spark.createDataFrame([(v,) for v in lines], "value string")
     value = F.col("value")
-    got = df.select("value", S.split_fields(value, delimiter).alias("f"), S.open_quote(value, delimiter).alias("o")).collect()
+    got = df.select("value", split_fields(value, delimiter).alias("f"), open_quote(value, delimiter).alias("o")).collect()
     assert len(got) == len(lines)
     for r in got:
         reader = csv.reader(io.StringIO(r["value"] + "\nNEXT\n", newline=""), delimiter=delimiter)
@@ -89,7 +91,7 @@ def test_numbers_through_the_whole_dataset(spark, tmp_path, small_blocks):
     lines = [str(i) for i in range(2000)]
     write_lines(tmp_path / "a.txt", lines[:900])
     write_lines(tmp_path / "b.txt", lines[900:])
-    got = S.number_records(S.read_lines(spark, str(tmp_path)), "dataset")
+    got = B.number_records(B.scan_lines(spark, str(tmp_path)), "dataset")
     assert got.where("row_number = cast(value as bigint) + 1").count() == 2000
 
 
@@ -97,9 +99,9 @@ def test_many_blocks_are_joined_without_broadcast(spark, tmp_path, small_blocks,
     write_lines(tmp_path / "a.txt", [str(i) for i in range(3000)])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" in plan_of(S.number_records(S.read_lines(spark, str(tmp_path))))
-        monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
-        got = S.number_records(S.read_lines(spark, str(tmp_path)))
+        assert "BroadcastHashJoin" in plan_of(B.number_records(B.scan_lines(spark, str(tmp_path))))
+        monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+        got = B.number_records(B.scan_lines(spark, str(tmp_path)))
         plan = plan_of(got)
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         assert got.where("row_number = cast(value as bigint) + 1").count() == 3000
@@ -135,3 +137,56 @@ def test_checking_is_done_once(spark, tmp_path):
     write_lines(tmp_path / "a.csv", ["1,2,3"])
     df = S.valid_rows(S.check_records(spark.read.text(str(tmp_path)), HEADER), HEADER)
     assert plan_of(df).count("zip_with(zip_with(") == 1
+
+
+def multi_line_text(seed, n):
+    """Random records with newlines, delimiters and quotes inside quoted fields."""
+    rnd = random.Random(seed)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["a", "b", "c"])
+    for _ in range(n):
+        if rnd.random() < 0.1:
+            out.write(rnd.choice(["\n", "1,2\n", 'x"y,"z\n\n",w,v\n', '"p"q"\n']))
+        fields = ["".join(rnd.choice(['a', ',', '"', "\n", "\r\n", " "]) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.choice([2, 3, 3, 3]))]
+        writer.writerow(fields)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("block", ["64", "1000", "1000000"])
+def test_multi_line_records_as_the_standard_reader(spark, tmp_path, block):
+    want = []
+    for i in range(3):
+        text = multi_line_text(i, 400)
+        (tmp_path / f"f{i}.csv").write_bytes(text.encode())
+        want += [(f"f{i}.csv", n, row) for n, row in enumerate(csv.reader(io.StringIO(text, newline="")), start=1)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        records = B.read_records(spark, str(tmp_path))
+        name = F.element_at(F.split("file", "/"), -1)
+        got = records.select(name.alias("f"), "row_number", split_fields(F.col("value")).alias("x")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["f"], r["row_number"], r["x"]) for r in got) == sorted(want)
+
+
+def test_multi_line_without_broadcast(spark, tmp_path, small_blocks, monkeypatch):
+    text = multi_line_text(7, 800)
+    (tmp_path / "f.csv").write_bytes(text.encode())
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    got = B.read_records(spark, str(tmp_path)).select("row_number", split_fields(F.col("value")).alias("x")).collect()
+    assert sorted((r[0], r[1]) for r in got) == list(enumerate(csv.reader(io.StringIO(text, newline="")), start=1))
+
+
+def test_multi_line_job(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b'a,b\r\n1,"x\ny\r\nz"\r\n2\r\n3,"open\n')
+    counts = S.repair_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "good"), str(tmp_path / "bad"), multi_line=True)
+    assert rows(counts) == [("structure", 1), ("valid", 2)]
+    good = b"".join(p.read_bytes() for p in (tmp_path / "good").glob("part-*"))
+    assert b'"1"~"x\ny\r\nz"\r\n' in good and b'"3"~"open"\r\n' in good
+
+
+def test_quote_that_never_closes_fails(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('a,b\n1,"x\n' + "yyyyyyyyy\n" * 20_000)
+    with pytest.raises(Exception, match="field larger than"):
+        B.read_records(spark, str(tmp_path / "in.csv")).count()
