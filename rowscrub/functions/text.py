@@ -137,9 +137,13 @@ def join_array(c: Column, separator: str) -> Column:
 
 
 def may_hold_wide(c: Column) -> Column:
-    """Can any of the classes beyond ASCII match? A length comparison, then one joint regex."""
+    """Can any of the classes beyond ASCII match? A length comparison, then one cheap regex:
+    their Latin-1 letters, or anything in the range that the others come from."""
     text = as_text(c)
-    return (F.octet_length(text) > F.char_length(text)) & text.rlike("|".join(P.PATTERNS[n] for n in P.WIDE))
+    letters = sorted("".join(P.characters(n) for n in P.WIDE))
+    low = "".join(f"\\u{ord(ch):04x}" for ch in letters if ch <= "\xff")
+    high = [f"\\u{ord(ch):04x}" for ch in letters if ch > "\xff"]
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{low}{high[0]}-{high[-1]}]")
 
 
 def matches_pattern(c: Column, name: str, wide: Column | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rowscrub.functions.fields import open_quote, split_fields
 from rowscrub.operators.columns import computed_once, ref, unique_names
 from rowscrub.operators.records import number_records, read_records, scan_lines
-from rowscrub.session import scratch_path
+from rowscrub.session import discard, scratch_path
 from rowscrub.sources.sinks import write_csv, write_repaired_csv
 
 STRUCTURE, PROCESSING = "structure", "processing"
@@ -135,4 +135,7 @@ def repair_csv(
     table = spark.read.schema(checked.schema).parquet(staged)
     write_repaired_csv(valid_rows(table.where("part = 'valid'"), header), valid_out, export_delimiter)
     write_csv(bad_rows(table.where("part <> 'valid'")), bad_out, export_delimiter, quote_all=True)
-    return repair_counts(table)
+    counts = repair_counts(table)
+    result = spark.createDataFrame(counts.collect(), counts.schema)  # at most three rows
+    discard(spark, staged)
+    return result

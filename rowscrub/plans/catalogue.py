@@ -155,14 +155,14 @@ def encoding_profile(spark, folder):
 
 @query
 def delimiter_profile(spark, folder):
-    return I.delimiter_profile(I.text_lines(table(spark, folder, "documents"), "doc_id", "text"))
+    return I.delimiter_profile(I.text_lines(table(spark, folder, "documents"), "doc_id", "text", I.DELIMITER_LINES))
 
 
 @query
 def has_quotes(spark, folder):
     quoted = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\nit's"))).otherwise(F.col("text"))
     docs = table(spark, folder, "documents").select("doc_id", quoted.alias("text"))
-    return I.has_quotes(I.text_lines(docs, "doc_id", "text"))
+    return I.has_quotes(I.text_lines(docs, "doc_id", "text", I.QUOTE_LINES))
 
 
 @query

@@ -95,9 +95,10 @@ def has_quotes(lines: DataFrame, max_lines: int = QUOTE_LINES) -> DataFrame:
     return seen.select("file", F.coalesce("q", F.lit(False)).alias("has_quotes"))
 
 
-def text_lines(df: DataFrame, file: str, text: str) -> DataFrame:
-    """Treat every row as a file: ``file, line_no, line`` of its text."""
-    lines = df.select(F.col(file).alias("file"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("i", "line"))
+def text_lines(df: DataFrame, file: str, text: str, max_lines: int) -> DataFrame:
+    """Treat every row as a file: ``file, line_no, line`` of the first lines of its text."""
+    first = F.slice(F.split(F.col(text), "\n", max_lines + 1), 1, max_lines)
+    lines = df.select(F.col(file).alias("file"), F.posexplode(first).alias("i", "line"))
     return lines.select("file", (F.col("i") + 1).alias("line_no"), "line")
 
 
