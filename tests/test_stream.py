@@ -35,6 +35,18 @@ def test_stream_equals_batch_over_several_arrivals(spark, tmp_path):
     assert rows(spark.read.parquet(out)) == rows(want)
 
 
+def test_hot_key_is_thinned_out_before_the_final_removal(spark, tmp_path):
+    source = str(tmp_path / "in")
+    hot = spark.createDataFrame([("hot" if i % 3 == 0 else f"v{i}",) for i in range(3000)], "v string").repartition(4)
+    hot.write.parquet(source)
+    results = {}
+    for salts in (1, 4):
+        out, state = str(tmp_path / f"out{salts}"), str(tmp_path / f"state{salts}")
+        S.run_stream(S.stream_files(spark, source, like=hot), WF, out, state, "all_time", salts=salts)
+        results[salts] = rows(spark.read.parquet(out))
+    assert results[1] == results[4] == rows(W.cli_workflow(hot, WF)) and len(results[4]) == 2001
+
+
 def test_duplicates_choice(spark, tmp_path):
     source = str(tmp_path / "in")
     df = part(spark, range(100)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
