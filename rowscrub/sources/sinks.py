@@ -79,7 +79,7 @@ def write_repaired_csv(df: DataFrame, path: str, delimiter: str = "~", mode: str
 
     The lines are built as text, because the CSV writer would turn newlines inside values
     into its own line end. A file is what one task writes, so the header goes before the
-    first row of each task; a table without rows gives a file without header.
+    first row of each task. A table without rows gives one file with the header alone.
     """
 
     def quoted(c: Column) -> Column:
@@ -91,7 +91,10 @@ def write_repaired_csv(df: DataFrame, path: str, delimiter: str = "~", mode: str
     row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     lines = df.select(line.alias("line"), (row_in_task == 0).alias("first"))
     texts = F.when(F.col("first"), F.array(header, "line")).otherwise(F.array("line"))
-    lines.select(F.explode(texts).alias("value")).write.mode(mode).option("lineSep", "\r\n").text(path)
+    texts = lines.select(F.explode(texts).alias("value"))
+    if df.isEmpty():
+        texts = df.sparkSession.range(1).select(header.alias("value"))
+    texts.write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
 def _csv(df: DataFrame, delimiter: str, quote_all: bool, mode: str):

@@ -166,3 +166,5 @@ def test_csv_sinks(spark, tmp_path):
     sinks.write_repaired_csv(lines.select("x"), str(tmp_path / "repaired"))
     written = b"".join(p.read_bytes() for p in (tmp_path / "repaired").glob("part-*"))
     assert written == b'"x"\r\n"a\r\nb\nc"\r\n'
+    sinks.write_repaired_csv(lines.where("false").select("x", "y"), str(tmp_path / "none"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "none").glob("part-*")) == b'"x"~"y"\r\n'
