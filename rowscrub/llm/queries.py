@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import license_scan
+from rowscrub.llm.packing import pack_documents
 from rowscrub.llm.quality import quality_outliers
+from rowscrub.llm.tokens import prefix_token_counts
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -20,6 +30,14 @@ def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_outliers(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_quality_outliers)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_license_scan, op4_quality_outliers, op9_language_id, op10_prefix_token_counts)}
 
 ORACLES: dict[str, str] = {}
