@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rowscrub.llm.chat import conversations, parroted, preference_pairs
 from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import license_scan
 from rowscrub.llm.packing import pack_documents
@@ -22,6 +24,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against a version of it whose last reply repeats the turn before; the table has no preferences."""
+    chosen = conversations(_table(spark, sf_dir, "conversations"))
+    return preference_pairs(chosen.withColumn("rejected", parroted(F.col("chosen"))))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -38,6 +46,38 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_license_scan, op4_quality_outliers, op9_language_id, op10_prefix_token_counts)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op9_language_id, op10_prefix_token_counts)}
+
+PREFERENCE_SQL = """
+with placed as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place
+    from conversations
+), ends as (
+    select conv_id, max(place) filter (role = 'assistant') as last from placed group by conv_id
+), sides as (
+    select p.conv_id, p.role, p.text, p.place,
+           case when p.place = e.last then coalesce(lag(p.text) over (partition by p.conv_id order by p.place), '') else p.text end as worse
+    from placed p left join ends e on p.conv_id is not distinct from e.conv_id
+), cuts as (
+    select conv_id, coalesce(min(place) filter (text <> worse), max(place) + 1) as cut from sides group by conv_id
+), shown as (
+    select s.conv_id, s.place, c.cut,
+           '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) as good,
+           '<|' || s.role || '|>' || chr(10) || s.worse || '<|end|>' || chr(10) as bad,
+           (length(s.role) + 5)::varchar || ':0,' || length(s.text)::varchar
+               || case when s.role = 'assistant' then ':1,' else ':0,' end || '8:0' as good_mask,
+           (length(s.role) + 5)::varchar || ':0,' || length(s.worse)::varchar
+               || case when s.role = 'assistant' then ':1,' else ':0,' end || '8:0' as bad_mask
+    from sides s join cuts c on s.conv_id is not distinct from c.conv_id
+)
+select conv_id, max(cut) - 1 as n_common,
+       coalesce(string_agg(good, '' order by place) filter (place < cut), '') as prompt,
+       coalesce(string_agg(good, '' order by place) filter (place >= cut), '') as chosen,
+       coalesce(string_agg(good_mask, ',' order by place) filter (place >= cut), '') as chosen_mask,
+       coalesce(string_agg(bad, '' order by place) filter (place >= cut), '') as rejected,
+       coalesce(string_agg(bad_mask, ',' order by place) filter (place >= cut), '') as rejected_mask
+from shown group by conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_preference_pairs": PREFERENCE_SQL}
