@@ -11,6 +11,7 @@ from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import license_scan
 from rowscrub.llm.packing import pack_documents
 from rowscrub.llm.quality import quality_outliers
+from rowscrub.llm.substrings import removed_words
 from rowscrub.llm.tokens import prefix_token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +39,10 @@ def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_outliers(_table(spark, sf_dir, "documents"))
 
 
+def op7_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_words(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op9_language_id, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op7_difference_cover_substrings, op9_language_id, op10_prefix_token_counts)}
 
 PREFERENCE_SQL = """
 with placed as (
