@@ -122,11 +122,11 @@ def _firsts(keys: list[bytes], extra: list[bytes]) -> list[bytes]:
     return [bits(part) for part in split(least[which] < ids, lengths)]
 
 
-def removed_words(documents: DataFrame) -> DataFrame:
+def removed_words(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by one blank, for every document.
 
     Words are separated by ASCII white space; windows never cross documents. Null texts have no words; a text without
-    kept words leaves the empty string. A null doc_id counts as the largest one. Rows with the same doc_id do not remove
+    kept words leaves the empty string. `keep_text=False` leaves null for the words. A null doc_id counts as the largest one. Rows with the same doc_id do not remove
     from each other. An empty table gives no rows; other columns are not carried.
     """
     chunked = in_chunks(documents)
@@ -166,7 +166,7 @@ def removed_words(documents: DataFrame) -> DataFrame:
                 pa.array(np.diff(words.firsts)),
                 pa.array(sums[words.firsts[1:]] - sums[words.firsts[:-1]]),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-                pa.array([k.decode() for k in kept], pa.string()),
+                pa.array([k.decode() if keep_text else None for k in kept], pa.string()),
             ],
             schema=ARROW,
         )
