@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscrub.llm.chat import conversations, parroted, preference_pairs
+from rowscrub.llm.fmindex import decontaminated
 from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import license_scan
 from rowscrub.llm.packing import pack_documents
@@ -44,6 +45,11 @@ def op5_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_strings(_table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
 
 
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.drop("spans", "kept")
+
+
 def op7_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(_table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
@@ -56,7 +62,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op5_prefix_free_parsing, op7_difference_cover_substrings, op9_language_id, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op5_prefix_free_parsing, op6_fm_index_decontamination, op7_difference_cover_substrings, op9_language_id, op10_prefix_token_counts)}
 
 PREFERENCE_SQL = """
 with placed as (
