@@ -10,6 +10,7 @@ from rowscrub.llm.chat import conversations, parroted, preference_pairs
 from rowscrub.llm.fmindex import decontaminated
 from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import license_scan
+from rowscrub.llm.neardup import near_duplicates
 from rowscrub.llm.packing import pack_documents
 from rowscrub.llm.parsing import removed_strings
 from rowscrub.llm.quality import quality_outliers
@@ -54,6 +55,10 @@ def op7_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFra
     return removed_words(_table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
+def op8_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op5_prefix_free_parsing, op6_fm_index_decontamination, op7_difference_cover_substrings, op9_language_id, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op5_prefix_free_parsing, op6_fm_index_decontamination, op7_difference_cover_substrings, op8_weighted_near_duplicates, op9_language_id, op10_prefix_token_counts)}
 
 PREFERENCE_SQL = """
 with placed as (

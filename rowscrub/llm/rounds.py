@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowscrub.session import via_table
+
 CHUNK_BYTES = 4 << 20
 """Text bytes of a chunk, on average."""
 BUCKET_KEYS = 1 << 20
@@ -41,8 +43,12 @@ class Documents(NamedTuple):
 
 
 class Chunked(NamedTuple):
+    """Documents with their chunk, the bytes of all texts, and the numbers of documents and chunks."""
+
     frame: DataFrame
     size: int
+    rows: int
+    chunks: int
 
     def buckets(self, keys_per_byte: float) -> int:
         return max(1, math.ceil(self.size * keys_per_byte / BUCKET_KEYS))
@@ -53,12 +59,12 @@ LAST_ID = np.iinfo(np.int64).max
 
 def in_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunked:
     chosen = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    size = chosen.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    chunks = max(1, math.ceil(size / chunk_bytes))
-    return Chunked(chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text"), size)
+    size, rows = chosen.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.count(F.lit(1))).first()
+    chunks = max(1, math.ceil((size or 0) / chunk_bytes))
+    return Chunked(chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text"), size or 0, rows, chunks)
 
 
-def _documents(table: pa.Table) -> Documents:
+def documents_of(table: pa.Table) -> Documents:
     ids = table.column("doc_id").combine_chunks().fill_null(LAST_ID).to_numpy()
     order = np.argsort(ids, kind="stable")
     if len(np.unique(ids)) < len(ids):
@@ -68,7 +74,7 @@ def _documents(table: pa.Table) -> Documents:
     return Documents(ids[order], table.column("text").combine_chunks(), table)
 
 
-def _replies(table: pa.Table | None) -> Replies:
+def replies_of(table: pa.Table | None) -> Replies:
     if table is None:
         return {}
     return {(row["round"], row["bucket"]): row["reply"] for row in table.to_pylist()}
@@ -85,7 +91,7 @@ def ask(chunked: Chunked, known: DataFrame | None, number: int, send: Send, answ
         if not documents.num_rows:
             return SENT_ARROW.empty_table()
         chunk = documents.column("chunk")[0].as_py()
-        rows = list(send(_documents(documents), _replies(replies)))
+        rows = list(send(documents_of(documents), replies_of(replies)))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*((b, chunk, k, e) for b, k, e in rows), strict=True), SENT_ARROW.types, strict=True)], schema=SENT_ARROW) if rows else SENT_ARROW.empty_table()
 
     def answered(table: pa.Table) -> pa.Table:
@@ -106,11 +112,25 @@ def finish(chunked: Chunked, known: DataFrame, last: Callable[[Documents, Replie
     """The result of each chunk from its documents and all replies."""
 
     def done(documents: pa.Table, replies: pa.Table) -> pa.Table:
-        return last(_documents(documents), _replies(replies)) if documents.num_rows else empty.empty_table()
+        return last(documents_of(documents), replies_of(replies)) if documents.num_rows else empty.empty_table()
 
     return chunked.frame.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(done, schema)
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`via_table`, with the shuffle files of the finished query removed: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return via_table(df, name)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+
+
 def dealt(keys: np.ndarray, buckets: int) -> Iterable[tuple[int, slice]]:
     """Of keys sorted by bucket_of(keys): each bucket that has some, and where they are."""
     bounds = np.searchsorted(keys, np.arange(buckets + 1))
