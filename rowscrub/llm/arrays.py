@@ -144,3 +144,20 @@ def covered(starts: np.ndarray, size: int | np.ndarray, n: int) -> np.ndarray:
     np.add.at(marks, starts, 1)
     np.add.at(marks, np.minimum(starts + size, n), -1)
     return np.cumsum(marks[:n]) > 0
+
+
+def without_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray, begin: int, end: int) -> str:
+    """Of one document, from byte `begin` to `end` with the words given, the text without the words marked as gone.
+
+    What stands around a run of such words stays; what stands between them goes.
+    """
+    if not gone.any():
+        return data[begin:end].tobytes().decode()
+    parts, at = [], begin
+    first = gone & ~np.concatenate(([False], gone[:-1]))
+    last = gone & ~np.concatenate((gone[1:], [False]))
+    for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True):
+        parts.append(data[at:a].tobytes())
+        at = b
+    parts.append(data[at:end].tobytes())
+    return b"".join(parts).decode()

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from rowscrub.llm.arrays import ALNUM, LOWER, covered, hash_spans, per_document, ragged, slices, spans, text_bytes
+from rowscrub.llm.arrays import ALNUM, LOWER, covered, hash_spans, per_document, ragged, slices, spans, text_bytes, without_words
+from rowscrub.llm.rounds import rest_of, result_schema, with_rest
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -182,9 +183,7 @@ def find(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return origin[index.locate(rows)], np.repeat(np.arange(len(low)), high - low)
 
 
-NAMES = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "kept")
 SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
-ARROW = pa.schema(list(zip(NAMES, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS, pa.string()), strict=True)))
 SCHEMA = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "spans array<struct<first_word: long, n_words: long>>, kept string"
@@ -192,33 +191,22 @@ SCHEMA = (
 PASSED = "doc_id long, text string, places array<long>, items array<string>"
 
 
-def _without(data: np.ndarray, words: Words, a: int, b: int, hit: np.ndarray, begin: int, end: int) -> str:
-    """The text of one document without its hit words; what stands between words stays, runs of hit words leave one blank."""
-    if not hit[a:b].any():
-        return data[begin:end].tobytes().decode()
-    parts, at = [], begin
-    for w in np.flatnonzero(hit[a:b]) + a:
-        if w == a or not hit[w - 1]:
-            parts.append(data[at : words.starts[w]].tobytes())
-        at = int(words.ends[w])
-    parts.append(data[at:end].tobytes())
-    return b"".join(parts).decode()
-
-
-def decontaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def decontaminated(
+    documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = True, carry: bool = False
+) -> DataFrame:
     """doc_id, counts of words, hit words and items, the items' hash, the merged hit spans, and the text without hit words.
 
     A window is 10 consecutive words of an item, or a whole shorter item. Null and empty texts have no words, on both
     sides; a null item_id is called `null`; items of one id count once. Null documents keep a null text. Repeated rows give a
-    row each; an empty benchmark leaves all documents clean; other columns are not carried.
+    row each; an empty benchmark leaves all documents clean. Other columns are carried in the struct `rest` if asked.
     """
     items = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     context = documents.sparkSession.sparkContext
     empty = F.array()
-    frame = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    frame = frame.select("doc_id", "text", empty.cast("array<long>").alias("places"), empty.cast("array<string>").alias("items"))
+    frame = with_rest(documents, carry)
+    frame = frame.select("doc_id", "text", empty.cast("array<long>").alias("places"), empty.cast("array<string>").alias("items"), *frame.columns[2:])
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         frame = _pass(frame, context.broadcast(rows), block == blocks - 1, keep_text)
@@ -240,20 +228,23 @@ def _pass(frame: DataFrame, block, last: bool, keep_text: bool) -> DataFrame:
                 items[d].add(phrases.names[i])
             for d, known in enumerate(batch.column("places").to_pylist()):
                 hit[words.firsts[d] + np.array(known, np.int64)] = True
-            yield (_final if last else _passed)(batch, words, hit, items, keep_text)
+            columns = (_final if last else _passed)(batch, words, hit, items, keep_text) | rest_of(batch)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return frame.mapInArrow(scan, SCHEMA if last else PASSED)
+    return frame.mapInArrow(scan, result_schema(SCHEMA if last else PASSED, frame))
 
 
-def _passed(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[set[str]], keep_text: bool) -> pa.RecordBatch:
+def _passed(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[set[str]], keep_text: bool) -> dict[str, pa.Array]:
     places = [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(words.firsts[:-1], words.firsts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("text"), pa.array(places, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-        ["doc_id", "text", "places", "items"],
-    )
+    return {
+        "doc_id": batch.column("doc_id"),
+        "text": batch.column("text"),
+        "places": pa.array(places, pa.list_(pa.int64())),
+        "items": pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+    }
 
 
-def _final(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[set[str]], keep_text: bool) -> pa.RecordBatch:
+def _final(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[set[str]], keep_text: bool) -> dict[str, pa.Array]:
     sums = np.concatenate(([0], np.cumsum(hit)))
     n_hit = sums[words.firsts[1:]] - sums[words.firsts[:-1]]
     begins, ends = spans(hit, words.firsts)
@@ -264,17 +255,15 @@ def _final(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[set
     for d in range(batch.num_rows):
         a, b = int(words.firsts[d]), int(words.firsts[d + 1])
         found.append([{"first_word": int(s - a), "n_words": int(e - s)} for s, e in zip(begins[bounds[d] : bounds[d + 1]], ends[bounds[d] : bounds[d + 1]], strict=True)])
-        kept.append(_without(words.data, words, a, b, hit, int(offsets[d]), int(offsets[d + 1])) if keep_text and not nulls[d] else None)
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("doc_id"),
-            pa.array(np.diff(words.firsts)),
-            pa.array(n_hit),
-            pa.array([len(i) for i in items], pa.int64()),
-            pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]),
-            pa.array(n_hit > 0),
-            pa.array(found, SPANS),
-            pa.array(kept, pa.string()),
-        ],
-        schema=ARROW,
-    )
+        whole = keep_text and not nulls[d]
+        kept.append(without_words(words.data, words.starts[a:b], words.ends[a:b], hit[a:b], int(offsets[d]), int(offsets[d + 1])) if whole else None)
+    return {
+        "doc_id": batch.column("doc_id"),
+        "n_words": pa.array(np.diff(words.firsts)),
+        "n_hit": pa.array(n_hit),
+        "n_items": pa.array([len(i) for i in items], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]),
+        "contaminated": pa.array(n_hit > 0),
+        "spans": pa.array(found, SPANS),
+        "kept": pa.array(kept, pa.string()),
+    }

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscrub.llm.arrays import slices
@@ -105,43 +105,62 @@ def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
 PART = 4096  # features of one row of counts
 
 
+class Model:
+    """The learned languages and their log probabilities, as the tasks use them."""
+
+    def __init__(self, langs: list[str], matrix: np.ndarray) -> None:
+        self.langs, self.matrix = langs, np.ascontiguousarray(matrix)
+
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        texts = [prepared(t) for t in column.to_pylist()]
+        known = np.array([bool(t) and bool(self.langs) for t in texts], bool)
+        found, owners = features(texts)
+        logs = np.zeros((len(texts), max(len(self.langs), 1)))
+        for i, row in enumerate(self.matrix):
+            logs[:, i] = np.bincount(owners, row[found], minlength=len(texts))
+        best = logs.argmax(axis=1)
+        posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0)
+
+
 def identify(documents: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     """doc_id, lang_pred and score of every document; `und` with score 0 if the text is null or has no letter.
 
     Without any learned language every document is `und`. The score is the posterior probability under equal priors; ties go
     to the first language in alphabetical order.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix))
-    names = ["doc_id", "lang_pred", "score"]
+    sent = documents.sparkSession.sparkContext.broadcast(Model(langs, matrix))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sent.value
         for batch in slices(batches):
-            texts = [prepared(t) for t in batch.column("text").to_pylist()]
-            known = np.array([bool(t) and bool(langs) for t in texts])
-            found, owners = features(texts)
-            logs = np.stack([np.bincount(owners, row[found], minlength=len(texts)) for row in rows], axis=1) if len(langs) else np.zeros((len(texts), 1))
-            best = logs.argmax(axis=1)
-            posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()),
-                    pa.array(np.where(known, posterior, 0.0)),
-                ],
-                names,
-            )
+            found, scores = sent.value.predict(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     chosen = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return chosen.mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def with_language(documents: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
+    """The documents, unchanged and with all their columns, that are in one of the learned languages."""
+    sent = documents.sparkSession.sparkContext.broadcast(Model(langs, matrix))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in sent.value.predict(batch.column("text"))[0]], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
+def held_out_fold(folds: int) -> Column:
+    """Fold 0 of the documents, which is not learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(True))
+
+
 def language_id(documents: DataFrame, folds: int = 5) -> DataFrame:
     """Learn on all folds but the first, predict every document: doc_id, held_out, lang_pred and score.
 
     The fold is crc32 of doc_id as text modulo `folds`; a null doc_id counts as fold 0. Only text and non-null lang are used for
     learning, only text for predicting. Repeated rows count and are predicted each.
     """
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(True))
-    langs, matrix = train(documents.where(~held_out))
-    return identify(documents, langs, matrix).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    langs, matrix = train(documents.where(~held_out_fold(folds)))
+    return identify(documents, langs, matrix).select("doc_id", held_out_fold(folds).alias("held_out"), "lang_pred", "score")

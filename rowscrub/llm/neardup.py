@@ -199,7 +199,7 @@ def signatures(chunked: Chunked, frequencies: DataFrame, buckets: int) -> DataFr
             schema=SIGNED_ARROW,
         )
 
-    return finish(chunked, frequencies, sign, SIGNED, SIGNED_ARROW)
+    return finish(chunked, frequencies, sign, SIGNED)
 
 
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:

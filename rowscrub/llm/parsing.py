@@ -313,4 +313,4 @@ def removed_strings(documents: DataFrame, keep_bytes: bool = True) -> DataFrame:
     known = ask(chunked, None, 1, send_grams, _occurs_again)
     known = ask(chunked, known, 2, send_phrases, _owners)
     known = ask(chunked, known, 3, send_strings, _earlier)
-    return finish(chunked, known, remove, SCHEMA, ARROW)
+    return finish(chunked, known, remove, SCHEMA)

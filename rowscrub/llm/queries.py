@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,20 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_preference_pairs, op3_license_scan, op4_quality_outliers, op5_prefix_free_parsing, op6_fm_index_decontamination, op7_difference_cover_substrings, op8_weighted_near_duplicates, op9_language_id, op10_prefix_token_counts)}
+OPERATORS = (
+    op1_best_fit_packing,
+    op2_preference_pairs,
+    op3_license_scan,
+    op4_quality_outliers,
+    op5_prefix_free_parsing,
+    op6_fm_index_decontamination,
+    op7_difference_cover_substrings,
+    op8_weighted_near_duplicates,
+    op9_language_id,
+    op10_prefix_token_counts,
+)
+
+QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 PREFERENCE_SQL = """
 with placed as (

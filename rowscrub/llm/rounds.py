@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rowscrub.session import via_table
 
@@ -57,11 +59,23 @@ class Chunked(NamedTuple):
 LAST_ID = np.iinfo(np.int64).max
 
 
-def in_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunked:
-    chosen = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+def with_rest(documents: DataFrame, carry: bool) -> DataFrame:
+    """doc_id, text, and in `rest` whatever other columns are to be carried."""
+    chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    return documents.select(*chosen, *([F.struct(*others).alias("rest")] if carry and others else []))
+
+
+def rest_of(table: pa.Table | pa.RecordBatch) -> dict[str, pa.Array]:
+    """The carried columns of a result, by name; empty if there are none."""
+    return {"rest": table.column("rest")} if "rest" in table.schema.names else {}
+
+
+def in_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> Chunked:
+    chosen = with_rest(documents, carry)
     size, rows = chosen.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.count(F.lit(1))).first()
     chunks = max(1, math.ceil((size or 0) / chunk_bytes))
-    return Chunked(chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text"), size or 0, rows, chunks)
+    return Chunked(chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "*"), size or 0, rows, chunks)
 
 
 def documents_of(table: pa.Table) -> Documents:
@@ -108,11 +122,25 @@ def ask(chunked: Chunked, known: DataFrame | None, number: int, send: Send, answ
     return replies if known is None else known.unionByName(replies)
 
 
-def finish(chunked: Chunked, known: DataFrame, last: Callable[[Documents, Replies], pa.Table], schema: str, empty: pa.Schema) -> DataFrame:
+def result_schema(fields: str, frame: DataFrame) -> StructType:
+    """The schema of a result, with the carried columns if the frame has some."""
+    schema = StructType.fromDDL(fields)
+    return schema.add(frame.schema["rest"]) if "rest" in frame.columns else schema
+
+
+def finish(chunked: Chunked, known: DataFrame, last: Callable[[Documents, Replies], pa.Table], fields: str) -> DataFrame:
     """The result of each chunk from its documents and all replies."""
+    schema = result_schema(fields, chunked.frame)
+    empty = to_arrow_schema(schema)
 
     def done(documents: pa.Table, replies: pa.Table) -> pa.Table:
-        return last(documents_of(documents), replies_of(replies)) if documents.num_rows else empty.empty_table()
+        if not documents.num_rows:
+            return empty.empty_table()
+        chunk = documents_of(documents)
+        table = last(chunk, replies_of(replies))
+        for name, column in rest_of(chunk.rows).items():
+            table = table.append_column(name, column)
+        return table
 
     return chunked.frame.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(done, schema)
 

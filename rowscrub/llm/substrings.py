@@ -27,6 +27,7 @@ from rowscrub.llm.arrays import (
     text_bytes,
     window_hashes,
     window_starts,
+    without_words,
 )
 from rowscrub.llm.rounds import Documents, Replies, ask, bits, dealt, finish, flags, in_chunks, split
 
@@ -122,14 +123,14 @@ def _firsts(keys: list[bytes], extra: list[bytes]) -> list[bytes]:
     return [bits(part) for part in split(least[which] < ids, lengths)]
 
 
-def removed_words(documents: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by one blank, for every document.
+def removed_words(documents: DataFrame, keep_text: bool = True, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank) and the kept text of every document.
 
-    Words are separated by ASCII white space; windows never cross documents. Null texts have no words; a text without
-    kept words leaves the empty string. `keep_text=False` leaves null for the words. A null doc_id counts as the largest one. Rows with the same doc_id do not remove
-    from each other. An empty table gives no rows; other columns are not carried.
+    Words are separated by ASCII white space; windows never cross documents. Null texts have no words and no kept text; a text
+    without kept words leaves its white space. `keep_text=False` leaves null for all kept texts. A null doc_id counts as the largest one. Rows with the same doc_id do not remove
+    from each other. An empty table gives no rows. Other columns are carried in the struct `rest` if asked.
     """
-    chunked = in_chunks(documents)
+    chunked = in_chunks(documents, carry=carry)
     anchor_buckets = chunked.buckets(len(COVER) / PERIOD / 6)
     window_buckets = chunked.buckets(1 / 12)
 
@@ -153,24 +154,26 @@ def removed_words(documents: DataFrame, keep_text: bool = True) -> DataFrame:
             later[part] = flags(replies[2, number], part.stop - part.start)
         repeated = later[which] | (documents.ids[words.document(candidates)] > least[which])
         gone = covered(candidates[repeated], WINDOW, len(words.hashes))
-        kept = []
+        nulls = documents.column.is_null().to_pylist()
+        digests, kept = [], []
         for d in range(len(documents.ids)):
-            text = words.data[words.offsets[d] : words.offsets[d + 1]].tobytes()
-            a, b = words.firsts[d], words.firsts[d + 1]
-            found = text.split()
-            kept.append(b" ".join(w for w, g in zip(found, gone[a:b].tolist(), strict=True) if not g) if gone[a:b].any() else b" ".join(found))
+            begin, end, a, b = int(words.offsets[d]), int(words.offsets[d + 1]), int(words.firsts[d]), int(words.firsts[d + 1])
+            found = words.data[begin:end].tobytes().split()
+            digests.append(hashlib.sha256(b" ".join(w for w, g in zip(found, gone[a:b].tolist(), strict=True) if not g)).hexdigest())
+            whole = keep_text and not nulls[d]
+            kept.append(without_words(words.data, words.starts[a:b], words.ends[a:b], gone[a:b], begin, end) if whole else None)
         sums = np.concatenate(([0], np.cumsum(gone)))
         return pa.Table.from_arrays(
             [
                 documents.rows.column("doc_id"),
                 pa.array(np.diff(words.firsts)),
                 pa.array(sums[words.firsts[1:]] - sums[words.firsts[:-1]]),
-                pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-                pa.array([k.decode() if keep_text else None for k in kept], pa.string()),
+                pa.array(digests),
+                pa.array(kept, pa.string()),
             ],
             schema=ARROW,
         )
 
     known = ask(chunked, None, 1, send_anchors, _shared)
     known = ask(chunked, known, 2, send_windows, _firsts)
-    return finish(chunked, known, remove, SCHEMA, ARROW)
+    return finish(chunked, known, remove, SCHEMA)
