@@ -26,8 +26,10 @@ GROUP_ROWS = 20_000
 """Documents of a packing group, on average."""
 NODES = 20_000
 """Sequences that the search of one group may try to fill beyond the best-fit solution."""
-WIDTH = 8
+WIDTH = 12
 """Fillings tried around one piece."""
+TRIES = 400
+"""Lengths tried in enumerating them."""
 
 
 class Multiset:
@@ -78,28 +80,35 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def fillings(rest: Multiset, room: int, waste: int) -> list[tuple[int, ...]]:
     """Undominated ways to fill the room with at most `waste` left over, fullest first.
 
-    Each starts with one length and goes on with the largest that fits. A filling is dominated if another one has
-    a piece at least as large in each place.
+    Lengths are tried from the largest that fits on, at every place. A filling is dominated by one of at most as many
+    pieces that are all at least as long. At most `TRIES` lengths are tried and `WIDTH` fillings returned.
     """
     found: list[tuple[int, ...]] = []
-    first = rest.largest(room)
-    while first and len(found) < WIDTH:
-        taken, left, length = [], room, first
-        while length:
-            taken.append(length)
+    taken: list[int] = []
+    tries = TRIES
+
+    def extend(left: int, most: int) -> None:
+        nonlocal tries
+        length = rest.largest(min(left, most))
+        if left <= waste and (not length or left == 0) and not any(_dominates(f, taken) for f in found):
+            found.append(tuple(taken))
+        while length and tries > 0 and not (found and sum(found[-1]) == room and len(found) >= WIDTH):
+            tries -= 1
             rest.take(length)
-            left -= length
-            length = rest.largest(min(left, length))
-        for length in taken:
+            taken.append(length)
+            extend(left - length, length)
+            taken.pop()
             rest.give(length)
-        filling = tuple(taken)
-        if left <= waste and not any(len(f) <= len(filling) and all(a >= b for a, b in zip(f, filling, strict=False)) and sum(f) >= sum(filling) for f in found):
-            found.append(filling)
-            if left == 0 and len(filling) == 1:
-                return [filling]  # one piece that fills the room exactly dominates all else
-        first = rest.largest(first - 1)
-    found.sort(key=lambda f: (-sum(f), len(f)))
-    return found or ([()] if room <= waste else [])
+            length = rest.largest(length - 1)
+
+    if rest.largest(room) == room:
+        return [(room,)]  # one piece that fills the room exactly dominates all else
+    extend(room, room)
+    return sorted(found, key=lambda f: (-sum(f), len(f)))[:WIDTH]
+
+
+def _dominates(filling: tuple[int, ...], other: list[int]) -> bool:
+    return len(filling) <= len(other) and sum(filling) >= sum(other) and all(a >= b for a, b in zip(filling, other, strict=False))
 
 
 def complete(lengths: np.ndarray, capacity: int, incumbent: list[list[int]], nodes: int = NODES) -> list[list[int]]:
@@ -109,7 +118,6 @@ def complete(lengths: np.ndarray, capacity: int, incumbent: list[list[int]], nod
     while len(incumbent) > least and nodes > 0:
         allowed = (len(incumbent) - 1) * capacity - total
         rest, chosen = Multiset(lengths, capacity), []
-        stack = [(0, iter([]), 0)]
         waste, better = 0, None
 
         def options(waste: int) -> Iterator[list[int]]:

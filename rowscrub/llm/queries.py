@@ -115,4 +115,59 @@ select conv_id, max(cut) - 1 as n_common,
 from shown group by conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_preference_pairs": PREFERENCE_SQL}
+DECONTAMINATION_SQL = r"""
+with lowered as (
+    select doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws
+    from documents
+), item as (
+    select coalesce(item_id::varchar, 'null') as item, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+    from benchmark
+), phrase as (
+    select distinct item, least(len(ws), 10) as n, array_to_string(list_slice(ws, i, i + 9), ' ') as k
+    from (select item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from item where len(ws) > 0)
+), size as (
+    select distinct n from phrase
+), place as (
+    select doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') as k
+    from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from lowered, size where len(ws) >= n)
+), hit as (
+    select p.doc_id, p.i, p.n, q.item from place p join phrase q on p.n = q.n and p.k = q.k
+), word as (
+    select doc_id, count(distinct i + o) as n_hit from (select doc_id, i, unnest(range(0, n)) as o from hit) group by doc_id
+), found as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct doc_id, item from hit) group by doc_id
+)
+select l.doc_id, len(l.ws)::bigint as n_words, coalesce(w.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
+       sha256(coalesce(f.items, '')) as items_sha256, w.n_hit is not null as contaminated
+from lowered l left join word w using (doc_id) left join found f using (doc_id)
+"""
+
+SUBSTRING_SQL = r"""
+with split as (
+    select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents
+), piece as (
+    select doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') as k
+    from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from split where len(ws) >= 13)
+), first as (
+    select k, min(doc_id) as least from piece group by k
+), gone as (
+    select distinct doc_id, i + o as place
+    from (select p.doc_id, p.i, unnest(range(0, 13)) as o from piece p join first f on p.k = f.k and f.least < p.doc_id)
+), word as (
+    select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as place from split
+), kept as (
+    select w.doc_id, count(g.place) as n_removed, string_agg(w.w, ' ' order by w.place) filter (g.place is null) as text
+    from word w left join gone g on w.doc_id = g.doc_id and w.place = g.place group by w.doc_id
+)
+select s.doc_id, len(s.ws)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from split s left join kept k using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_preference_pairs": PREFERENCE_SQL,
+    "op6_fm_index_decontamination": DECONTAMINATION_SQL,
+    "op7_difference_cover_substrings": SUBSTRING_SQL,
+}
