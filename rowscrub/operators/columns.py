@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,25 @@ def string_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if kind == "string"]
 
 
+def case_matters(df: DataFrame) -> bool:
+    """Does the session tell column names apart that differ in case only?"""
+    return df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+
+
+def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Set a column, in place if the exact name exists, else behind the others.
+
+    A name that differs from an existing one in case only would overwrite it; unless
+    ``spark.sql.caseSensitive`` is on, that is an error.
+    """
+    clash = [c for c in df.columns if c != name and c.casefold() == name.casefold()]
+    if clash and not case_matters(df):
+        raise ValueError(f"column {name!r} differs from {clash[0]!r} in case only; set spark.sql.caseSensitive to have both")
+    if name in df.columns:
+        return map_columns(df, [name], lambda _: value)
+    return df.select(*[ref(c) for c in df.columns], value.alias(name))
+
+
 def map_columns(df: DataFrame, names: Iterable[str], fn: Callable[[Column], Column]) -> DataFrame:
     """Apply a column function to some columns in one projection, keeping the column order."""
     chosen = set(names)
@@ -89,22 +110,30 @@ def rename_columns(df: DataFrame, renames: Mapping[str, str], report: Report | N
     valid = valid_renames(df.columns, renames)
     note(report, "rename", valid, [n for n in renames if n not in df.columns])
     names = [valid.get(c, c) for c in df.columns]
-    if len(set(names)) != len(names):
+    seen = Counter(names if case_matters(df) else map(str.casefold, names))
+    if max(seen.values(), default=1) > 1:
         raise ValueError(f"rename gives duplicate column names: {names}")
     return df.toDF(*names)
 
 
-def unique_names(names: Iterable[str]) -> list[str]:
-    """Repeated names get ``_2``, ``_3`` and so on."""
-    used: set[str] = set()
-    out = []
-    for base in names:
-        name, i = base, 2
-        while name in used:
-            name, i = f"{base}_{i}", i + 1
-        used.add(name)
-        out.append(name)
-    return out
+def unique_names(names: Iterable[str], ignore_case: bool = False) -> list[str]:
+    """A name that is taken already gets the first free one of ``_2``, ``_3`` and so on."""
+
+    def key(name: str) -> str:
+        return name.casefold() if ignore_case else name
+
+    taken: dict[str, int] = {}  # name -> number to try next for a further copy of it
+
+    def place(name: str) -> str:
+        chosen = name
+        if key(name) in taken:
+            number = next(i for i in count(taken[key(name)]) if key(f"{name}_{i}") not in taken)
+            taken[key(name)] = number + 1
+            chosen = f"{name}_{number}"
+        taken.setdefault(key(chosen), 2)
+        return chosen
+
+    return [place(name) for name in names]
 
 
 def export_projection(df: DataFrame, display_names: Mapping[str, str], exclude: Iterable[str] = ()) -> DataFrame:
@@ -144,14 +173,14 @@ def concat_columns(
         note(report, "concat", [], missing or [name])
         return df
     note(report, "concat", [name])
-    return df.withColumn(name, joined([ref(s) for s in sources], separator))
+    return add_column(df, name, joined([ref(s) for s in sources], separator))
 
 
 def concat_trimmed(df: DataFrame, name: str, sources: Sequence[str], separator: str) -> DataFrame:
     """Concatenate trimmed texts into a column that must not exist yet."""
     if name in df.columns:
         raise ValueError(f"column {name!r} exists already")
-    return df.withColumn(name, joined([X.trim_all(X.as_text(ref(s))) for s in sources], separator))
+    return add_column(df, name, joined([X.trim_all(X.as_text(ref(s))) for s in sources], separator))
 
 
 def concat_cleaned(
@@ -189,17 +218,20 @@ def nest(
     if not main and not additional:
         return df
     present = set(df.columns)
-    groups = [(k, fields) for item in additional if isinstance(item, Mapping) for k, fields in item.items()]
-    group_names = {k for k, _ in groups}
-    flat = [f for f in additional if isinstance(f, str) and f in present and f not in group_names]
-    members = [ref(f) for f in flat]
-    for key, fields in groups:
+    # Every entry as (name, fields); a plain field has none.
+    entries = [pair for item in additional for pair in (item.items() if isinstance(item, Mapping) else [(item, None)])]
+    grouped = {name for name, fields in entries if fields is not None}
+
+    def member(name: str, fields: Sequence[str] | None) -> list[Column]:
+        if fields is None:
+            return [ref(name)] if name in present - grouped else []
         inner = [ref(f) for f in fields if f in present]
-        if inner:
-            members.append(F.struct(*inner).alias(key))
+        return [F.struct(*inner).alias(name)] if inner else []
+
+    flat_first = sorted(entries, key=lambda entry: entry[1] is not None)
+    members = [column for entry in flat_first for column in member(*entry)]
     info = F.struct(*members) if members else F.lit(None).cast("string")
-    top = [ref(m) for m in main if m != into and m in present]
-    return df.select(*top, info.alias(into))
+    return df.select(*[ref(m) for m in main if m in present and m != into], info.alias(into))
 
 
 def split_main(
@@ -228,4 +260,4 @@ def nest_auto(
 
 
 def add_metadata(df: DataFrame, year: int, country_code: str = "ru") -> DataFrame:
-    return df.withColumns({"year": F.lit(year).cast("int"), "country_code": F.lit(country_code)})
+    return add_column(add_column(df, "year", F.lit(year).cast("int")), "country_code", F.lit(country_code))

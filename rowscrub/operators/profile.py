@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -171,12 +172,13 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
     One scan, no shuffle of rows: two sums of 64-bit row hashes and the row count.
     """
-    cells = [F.col(f"`{c}`") for c in df.columns]
+    # The hash functions skip nulls, so every cell goes with its place and whether it is null.
+    cells = [x for i, c in enumerate(df.columns) for x in (F.lit(i), F.isnull(ref(c)), ref(c))]
     one = F.xxhash64(*cells).cast("decimal(38,0)")
     two = F.xxhash64(F.lit("second"), *reversed(cells)).cast("decimal(38,0)")
     sums = df.agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("a"), F.sum(two).alias("b"))
-    text = F.concat_ws("|", F.lit(",".join(df.columns)), F.col("n"), F.col("a"), F.col("b"))
-    return sums.select(N.content_hash(text).alias("content_hash"))
+    columns = F.lit(json.dumps(df.dtypes))
+    return sums.select(N.content_hash(F.concat_ws("|", columns, F.col("n"), F.col("a"), F.col("b"))).alias("content_hash"))
 
 
 def save_profile(metadata: DataFrame, content_hash: str, path: str) -> None:

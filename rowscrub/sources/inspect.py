@@ -13,48 +13,66 @@ QUOTE_LINES = 21
 ENCODING_BYTES = 10_000
 
 
-def file_heads(spark: SparkSession, path: str, max_lines: int = DELIMITER_LINES, max_bytes: int = ENCODING_BYTES) -> DataFrame:
+LINE_BYTES = 1 << 20  # what is read of a file for its first lines, at most
+
+
+def _opened(name: str):
+    """A file as a stream of bytes, in any file system that Arrow knows."""
+    from pyarrow import fs
+
+    scheme, rest = name.split(":", 1)
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    system, inner = fs.FileSystem.from_uri(f"{scheme}://" + rest.removeprefix("//"))
+    return system.open_input_file(inner)
+
+
+def file_heads(
+    spark: SparkSession,
+    path: str,
+    max_lines: int = DELIMITER_LINES,
+    max_bytes: int = ENCODING_BYTES,
+    line_bytes: int = LINE_BYTES,
+) -> DataFrame:
     """``file, head, lines``: the first bytes and the first lines of every file below a path.
 
     Spark distributes the list of files; a task opens each of its files and stops reading
-    after the head, so a folder of huge files costs no more than one of small files.
+    after the head, so a folder of huge files costs no more than one of small files. At most
+    ``line_bytes`` are looked at for lines, so a longer first line is cut there. Empty files
+    have an empty head and no lines.
     """
     schema = "file string, head binary, lines array<binary>"
 
+    def first_lines(data: bytes) -> list[bytes]:
+        found, at = [], 0
+        while at < len(data) and len(found) < max_lines:
+            end = data.find(b"\n", at)
+            end = len(data) if end < 0 else end
+            found += data[at:end].splitlines() or [b""]
+            at = end + 1
+        return found[:max_lines]
+
     def read(batches):
         import pandas as pd
-        from pyarrow import fs
 
         for batch in batches:
             rows = []
             for name in batch["path"]:
-                scheme, rest = name.split(":", 1)
-                scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-                system, inner = fs.FileSystem.from_uri(f"{scheme}://" + rest.removeprefix("//"))
-                with system.open_input_file(inner) as stream:
-                    head = stream.read(max_bytes)
-                    stream.seek(0)
-                    rows.append((name, head, first_lines(stream, max_lines)))
+                with _opened(name) as stream:
+                    data = stream.read(max(max_bytes, line_bytes))
+                rows.append((name, data[:max_bytes], first_lines(data[:line_bytes])))
             yield pd.DataFrame(rows, columns=["file", "head", "lines"])
 
-    def first_lines(stream, limit):
-        lines, rest = [], b""
-        while len(lines) < limit and (chunk := stream.read(1 << 16)):
-            whole = (rest + chunk).splitlines(keepends=True)
-            rest = b"" if whole[-1].endswith(b"\n") else whole.pop()
-            lines += whole
-        if rest and len(lines) < limit:
-            lines.append(rest)
-        return [line.rstrip(b"\r\n") for line in lines[:limit]]
-
     files = listing(spark, path).select("path")
     return files.repartition("path").mapInPandas(read, schema)
 
 
 def head_lines(heads: DataFrame) -> DataFrame:
-    """``file, line_no, line`` from :func:`file_heads`; line numbers start at 1."""
-    lines = heads.select("file", F.posexplode("lines").alias("i", "line"))
-    return lines.select("file", (F.col("i") + 1).alias("line_no"), F.make_valid_utf8("line").alias("line"))
+    """``file, line_no, line`` from :func:`file_heads`; line numbers start at 1.
+
+    An empty file has one row with a null line, so that it stays in the profiles.
+    """
+    lines = heads.select("file", F.posexplode_outer("lines").alias("i", "line"))
+    return lines.select("file", (F.coalesce("i", F.lit(0)) + 1).alias("line_no"), F.make_valid_utf8("line").alias("line"))
 
 
 def encoding_profile(heads: DataFrame) -> DataFrame:
@@ -103,8 +121,24 @@ def text_lines(df: DataFrame, file: str, text: str, max_lines: int) -> DataFrame
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes. A file is one value here, so it must be below 2 GB."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"))
+    """SHA-256 of each file's bytes, read in chunks by the tasks; a file may have any size."""
+
+    def digest(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for batch in batches:
+            hashes = []
+            for name in batch["path"]:
+                total = hashlib.sha256()
+                with _opened(name) as stream:
+                    while chunk := stream.read(4 << 20):
+                        total.update(chunk)
+                hashes.append(total.hexdigest())
+            yield pd.DataFrame({"path": batch["path"], "content_hash": hashes})
+
+    return listing(spark, path).select("path").repartition("path").mapInPandas(digest, "path string, content_hash string")
 
 
 def strip_quotes_files(spark: SparkSession, path: str, out: str) -> None:

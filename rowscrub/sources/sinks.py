@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscrub.functions import text as X
 from rowscrub.operators.columns import map_columns, ref, string_columns
-from rowscrub.session import scratch_path
+from rowscrub.session import discard, scratch_path
 
 CODECS = {"zstd": "zstd", "snappy": "snappy", "gzip": "gzip", "none": "uncompressed"}
 ZSTD_LEVEL = "3"
@@ -28,32 +29,44 @@ def write_parquet(
     writer.parquet(path)
 
 
-def rows_for_size(sample_rows: int, sample_bytes: int, target_mb: int, total_rows: int | None = None) -> int:
-    """Rows that fill ``target_mb``, judged from a written sample; never under 10 000."""
+def rows_for_size(sample_rows: int, sample_bytes: int, target_mb: int, total_rows: int | None = None, min_rows: int = MIN_ROWS) -> int:
+    """Rows that fill ``target_mb`` at the bytes per row of a written sample, but at least ``min_rows``.
+
+    Without a sample it is a quarter of the table, if its rows are known, and at least 100 000.
+    """
     if sample_bytes <= 0:
         return max((total_rows or 0) // 4, FALLBACK_ROWS)
-    per_mb = sample_rows / (sample_bytes / 1024 / 1024)
-    return max(int(per_mb * target_mb), MIN_ROWS)
+    target_bytes = target_mb << 20
+    return max(target_bytes * sample_rows // sample_bytes, min_rows)
 
 
-def estimate_rows_per_file(df: DataFrame, target_mb: int) -> int:
+def estimate_rows_per_file(df: DataFrame, target_mb: int, min_rows: int = MIN_ROWS) -> int:
     """Write the first rows as a sample and scale up.
 
-    ``head`` stops after as many partitions as it needs; the sample is at most 10 000 rows.
+    The sample of at most 10 000 rows is written by one task and never reaches the driver.
+    If it cannot be written, the number of rows decides.
     """
     spark = df.sparkSession
-    rows = df.head(SAMPLE_ROWS)
-    if not rows:
-        return FALLBACK_ROWS
     path = scratch_path(spark, "size-sample")
-    write_parquet(spark.createDataFrame(rows, df.schema).coalesce(1), path)
-    size = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length"))
-    return rows_for_size(len(rows), int(size.first()[0] or 0), target_mb)
-
-
-def write_split(df: DataFrame, path: str, target_mb: int = 100, codec: str = "zstd", mode: str = "errorifexists") -> int:
-    """Parquet files of about ``target_mb`` each; returns the row bound that was used."""
-    rows = estimate_rows_per_file(df, target_mb)
+    try:
+        write_parquet(df.limit(SAMPLE_ROWS).coalesce(1), path)
+        rows = spark.read.schema(df.schema).parquet(path).count()
+        size = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length"))
+        return rows_for_size(rows, int(size.first()[0] or 0) if rows else 0, target_mb, None, min_rows)
+    except PySparkException:
+        return rows_for_size(0, 0, target_mb, df.count())
+    finally:
+        discard(spark, path)
+
+
+def write_split(
+    df: DataFrame, path: str, target_mb: int = 100, codec: str = "zstd", mode: str = "errorifexists", min_rows: int = MIN_ROWS
+) -> int:
+    """Parquet files of about ``target_mb`` each; returns the row bound that was used.
+
+    ``min_rows`` bounds the number of small files; lower it for very long rows.
+    """
+    rows = estimate_rows_per_file(df, target_mb, min_rows)
     write_parquet(df, path, codec, rows_per_file=rows, mode=mode)
     return rows
 
