@@ -21,6 +21,8 @@ FEATURES = 1 << 15
 """Hash buckets of n-grams."""
 GRAMS = (1, 2, 3)
 SMOOTHING = 0.5
+TEXT_BYTES = 1 << 20
+"""Text bytes whose n-grams are held at once: they take about a hundred bytes a character."""
 MOST_LANGUAGES = 512
 """More distinct languages in the training rows raise an error; the matrix then has 64 MB."""
 UNKNOWN = "und"
@@ -66,7 +68,7 @@ def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = np.array([prepared(t) for t in batch.column("text").to_pylist()], object)
             for lang in set(langs.tolist()):
@@ -132,7 +134,7 @@ def identify(documents: DataFrame, langs: list[str], matrix: np.ndarray) -> Data
     sent = documents.sparkSession.sparkContext.broadcast(Model(langs, matrix))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             found, scores = sent.value.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -145,7 +147,7 @@ def with_language(documents: DataFrame, langs: list[str], matrix: np.ndarray) ->
     sent = documents.sparkSession.sparkContext.broadcast(Model(langs, matrix))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             yield batch.filter(pa.array([lang != UNKNOWN for lang in sent.value.predict(batch.column("text"))[0]], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
