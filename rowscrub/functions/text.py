@@ -184,3 +184,8 @@ def owns_match(c: Column, name: str, rest: Column, wide: Column) -> Column:
         return F.contains(as_text(c) if name in P.ESCAPE_TOKENS else rest, F.lit(literal))
     found = rest.rlike(P.exclusive(name))
     return wide & found if name in P.WIDE else found
+
+
+def drop_bad_utf8(c: Column) -> Column:
+    """Bad bytes dropped; a genuine U+FFFD in the text goes as well."""
+    return F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit(""))

@@ -181,30 +181,41 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return sums.select(N.content_hash(F.concat_ws("|", columns, F.col("n"), F.col("a"), F.col("b"))).alias("content_hash"))
 
 
-def save_profile(metadata: DataFrame, content_hash: str, path: str) -> None:
-    """Profile records with the hash of the content they describe."""
-    metadata.withColumn("content_hash", F.lit(content_hash)).coalesce(1).write.mode("overwrite").parquet(path)
+def save_profile(metadata: DataFrame, content_hash: str, path: str, state: str | None = None) -> None:
+    """Profile records with the hash of the content they describe, and the state of the files it came from."""
+    marked = metadata.withColumn("content_hash", F.lit(content_hash)).withColumn("source_state", F.lit(state).cast("string"))
+    marked.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_profile(spark, path: str, content_hash: str, columns: Iterable[str]) -> DataFrame | None:
-    """A saved profile, only if it was made from the same content and the same columns."""
+def load_profile(spark, path: str, content_hash: str | None, columns: Iterable[str], state: str | None = None) -> DataFrame | None:
+    """A saved profile, only if it was made from the same content, or the same files, and the same columns."""
     try:
         saved = spark.read.parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    rows = saved.select("column", "content_hash").collect()
-    if {r["content_hash"] for r in rows} != {content_hash} or {r["column"] for r in rows} != set(columns):
+    if "source_state" not in saved.columns:
+        saved = saved.withColumn("source_state", F.lit(None).cast("string"))
+    rows = saved.select("column", "content_hash", "source_state").collect()
+    same = {r["content_hash"] for r in rows} == {content_hash} or state is not None and {r["source_state"] for r in rows} == {state}
+    if not same or {r["column"] for r in rows} != set(columns):
         return None
-    return saved.drop("content_hash")
+    return saved.drop("content_hash", "source_state")
 
 
-def profile_or_reuse(df: DataFrame, path: str) -> tuple[DataFrame, bool]:
-    """The saved profile at ``path`` if it still fits the table, else a new one, saved there."""
+def profile_or_reuse(df: DataFrame, path: str, state: str | None = None) -> tuple[DataFrame, bool]:
+    """The saved profile at ``path`` if it still fits the table, else a new one, saved there.
+
+    ``state`` names the state of the files that the table was read from (``readers.source_state``). While it is the
+    saved one, the profile is reused without a look at the table; otherwise one scan for the content's hash decides.
+    """
+    spark = df.sparkSession
+    if state is not None and (saved := load_profile(spark, path, None, df.columns, state)) is not None:
+        return saved, True
     content_hash = table_fingerprint(df).first()["content_hash"]
-    saved = load_profile(df.sparkSession, path, content_hash, df.columns)
+    saved = load_profile(spark, path, content_hash, df.columns)
     if saved is not None:
         return saved, True
-    save_profile(column_metadata(pattern_profile(df, uncovered=True)), content_hash, path)
-    return load_profile(df.sparkSession, path, content_hash, df.columns), False
+    save_profile(column_metadata(pattern_profile(df, uncovered=True)), content_hash, path, state)
+    return load_profile(spark, path, content_hash, df.columns), False

@@ -7,34 +7,44 @@ Whether a line starts inside a quoted field depends on all lines before it, but
 only does one of four things to that state: keep it, flip it, or set it to open or closed.
 One pass reduces each block to its overall effect, the effects are chained over the few
 rows of the block table, and a second pass, knowing how its block starts, joins the lines.
-Only records that cross a block border are shuffled.
+Only records that cross a block border are written aside and shuffled; a further pass gives all others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowscrub.functions.fields import open_quote
+from rowscrub.functions.text import drop_bad_utf8
 from rowscrub.operators.columns import ref
 from rowscrub.session import via_table
-from rowscrub.sources.readers import drop_bad_utf8
 
-BROADCAST_BYTES = 32 << 20  # block tables above this are joined by shuffle instead
-BLOCK_ROW_BYTES = 64
-FIELD_LIMIT = 131_072  # fixed value: longest field that is accepted, in characters
+BLOCK_ROW_BYTES = 64  # of a broadcast row: file hash, block, and up to four numbers
+RECORD_LIMIT = 1 << 26  # characters of a record; a longer one is cut there and marked
 
 
-def scan_lines(spark: SparkSession, path: str, line_end: str | None = None) -> DataFrame:
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Largest block table that is broadcast: an eighth of an executor's memory.
+
+    With a row for each 128 MB of input, 100 TB make a table of about 50 MB.
+    """
+    memory = spark.sparkContext.getConf().get("spark.executor.memory", "1g")
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", memory.strip().lower()).groups()
+    return (int(number) << {"": 20, "k": 10, "m": 20, "g": 30, "t": 40}[unit]) // 8
+
+
+def scan_lines(spark: SparkSession, path: str | Sequence[str], line_end: str | None = None) -> DataFrame:
     """``file, block, seq, value`` of text files, bad bytes dropped.
 
     ``seq`` grows along the lines of a block. A block is a piece of a file that one task
     reads. Without ``line_end`` a line ends at LF, CR LF or CR.
     """
-    _pin_blocks(spark)
-    raw = (spark.read.option("lineSep", line_end) if line_end else spark.read).text(path)
+    raw = (spark.read.option("lineSep", line_end) if line_end else spark.read).text(path if isinstance(path, str) else list(path))
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -43,15 +53,23 @@ def scan_lines(spark: SparkSession, path: str, line_end: str | None = None) -> D
     )
 
 
-def _pin_blocks(spark: SparkSession) -> None:
-    """Two scans of the same files must cut and pack blocks alike.
+@contextmanager
+def pinned_blocks(spark: SparkSession) -> Iterator[None]:
+    """Scans of the same files inside cut and pack blocks alike.
 
-    For small inputs Spark sizes blocks by the current number of cores, which changes as
-    executors come and go, so it is fixed here for the session unless it is set already.
+    For small inputs Spark sizes blocks by the current number of cores, which changes as executors come
+    and go. It is fixed here, unless it is set already, and released afterwards. A scan that runs later and
+    cuts differently fails, as its lines are not where they were counted.
     """
     key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
+    unset = spark.conf.get(key, None) is None
+    if unset:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if unset:
+            spark.conf.unset(key)
 
 
 def block_offsets(lines: DataFrame, scope: str = "file") -> DataFrame:
@@ -79,9 +97,9 @@ def number_records(lines: DataFrame, scope: str = "file") -> DataFrame:
     """Add ``row_number``, 1 for the first record, to :func:`scan_lines` output, without a sort.
 
     Position inside the block plus records before the block. The block table is broadcast
-    while its size is known to be small; beyond that the join runs by (file, block), whose
-    groups are one block each and therefore even. A line whose block is not found as
-    counted fails the job instead of getting a wrong number.
+    while its size is known to fit (see :func:`broadcast_bytes`); beyond that the join runs by
+    (file, block), whose groups are one block each and therefore even. A line whose block is not
+    found as counted fails the job instead of getting a wrong number.
     """
     offsets = block_offsets(lines, scope).select("file", "block", "first_seq", "last_seq", "offset")
     joined = _with_blocks(lines, offsets, "offset")[0]
@@ -92,11 +110,16 @@ def number_records(lines: DataFrame, scope: str = "file") -> DataFrame:
 def _with_blocks(lines: DataFrame, blocks: DataFrame, checked: str) -> tuple[DataFrame, bool]:
     """Lines with the columns of their block, and whether the block table was broadcast.
 
-    A line that is not where its block was counted fails the job when ``checked`` is read.
+    A broadcast table names files by a 64-bit hash; that no two files share one is checked here. A
+    line that is not where its block was counted fails the job when ``checked`` is read.
     """
-    size = blocks.agg(F.sum(F.octet_length("file") + BLOCK_ROW_BYTES)).first()[0] or 0
-    small = size <= BROADCAST_BYTES
-    joined = lines.join(F.broadcast(blocks) if small else blocks, ["file", "block"], "left")
+    known = blocks.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"), F.countDistinct(F.xxhash64("file")).alias("hashes")).first()
+    small = known["n"] * BLOCK_ROW_BYTES <= broadcast_bytes(lines.sparkSession) and known["files"] == known["hashes"]
+    if small:
+        hashed = blocks.withColumn("file_hash", F.xxhash64("file")).drop("file")
+        joined = lines.withColumn("file_hash", F.xxhash64("file")).join(F.broadcast(hashed), ["file_hash", "block"], "left").drop("file_hash")
+    else:
+        joined = lines.join(blocks, ["file", "block"], "left")
     same = F.col("seq").between(F.col("first_seq"), F.col("last_seq"))
     changed = F.raise_error(F.lit("blocks changed between two scans")).cast("bigint")
     return joined.withColumn(checked, F.when(same, F.col(checked)).otherwise(changed)), small
@@ -179,40 +202,45 @@ def block_starts(effects: DataFrame) -> DataFrame:
     return counted.select("file", "block", "first_seq", "last_seq", "starts_inside", earlier.alias("earlier"))
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """Lines joined to records inside each block; ``border`` marks what may go on in another block."""
-    schema = "file string, block long, row_number long, border boolean, value string"
+def _pieces(lines: DataFrame, limit: int) -> DataFrame:
+    """Lines joined to records inside each block; ``border`` marks what may go on in another block.
+
+    ``chars`` is the length of the whole piece, of which ``value`` has at most ``limit`` characters.
+    """
+    schema = "file string, block long, row_number long, border boolean, chars long, value string"
     columns = [c.split()[0] for c in schema.split(", ")]
-    limit = FIELD_LIMIT
     chain = _chain()
 
     def join_lines(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        # The record that is still open: its number, its lines, and whether it touches a border.
-        key, state, number, texts, border = None, False, 0, [], False
+        # The record that is still open: its number, its lines as far as they are kept, all their
+        # characters, and whether it touches a border.
+        key, state, number, texts, chars, held, border = None, False, 0, [], 0, 0, False
 
-        def frame(numbers, values, at_border=False):
-            return pd.DataFrame({"row_number": numbers, "value": values}).assign(file=key[0], block=key[1], border=at_border)
+        def frame(numbers, values, lengths, at_border=False):
+            rows = pd.DataFrame({"row_number": numbers, "value": values, "chars": lengths})
+            return rows.assign(file=key[0], block=key[1], border=at_border)
+
+        def closed(at_border):
+            return frame([number], ["\n".join(texts)[:limit]], [chars], at_border)
 
         def hold(values):
-            texts.extend(values)
-            run = 0
-            for text in reversed(texts):
-                if '"' in text:
-                    break
-                run += len(text)
-            if run > limit:
-                raise ValueError(f"field larger than {limit} characters in record {number} of {key[0]}: quote not closed?")
+            nonlocal chars, held
+            for text in values:
+                if chars <= limit:
+                    texts.append(text)
+                chars += len(text) + (held > 0)
+                held += 1
 
         for batch in batches:
             out = []
             for part_key, part in batch.groupby(["file", "block"], sort=False):
                 if part_key != key:
-                    if texts:
-                        out.append(frame([number], ["\n".join(texts)], border or state))
-                    key, texts = part_key, []
+                    if held:
+                        out.append(closed(border or state))
+                    key, texts, chars, held = part_key, [], 0, 0
                     border = state = bool(part["starts_inside"].iloc[0])
                     number = int(part["earlier"].iloc[0])
                 before, state = chain(state, part["opens"].to_numpy(bool), part["stays"].to_numpy(bool))
@@ -221,39 +249,49 @@ def _pieces(lines: DataFrame) -> DataFrame:
                 hold(values[record == 0])
                 if last == 0:
                     continue
-                if texts:
-                    out.append(frame([number], ["\n".join(texts)], border))
+                if held:
+                    out.append(closed(border))
                 single = np.bincount(record)[record] == 1
                 inner = (record > 0) & (record < last)
-                out.append(frame(number + record[inner & single], values[inner & single]))
-                joined = pd.Series(values[inner & ~single]).groupby(record[inner & ~single]).agg("\n".join)
-                out.append(frame(number + joined.index.to_numpy(), joined.to_numpy()))
-                number, texts, border = number + int(last), [], False
+                alone = pd.Series(values[inner & single], dtype=object)
+                out.append(frame(number + record[inner & single], alone.str.slice(0, limit), alone.str.len()))
+                joined = pd.Series(values[inner & ~single], dtype=object).groupby(record[inner & ~single]).agg("\n".join)
+                out.append(frame(number + joined.index.to_numpy(), joined.str.slice(0, limit).to_numpy(), joined.str.len().to_numpy()))
+                number, texts, chars, held, border = number + int(last), [], 0, 0, False
                 hold(values[record == last])
             if out:
                 yield pd.concat(out)[columns]
-        if texts:
-            yield frame([number], ["\n".join(texts)], border or state)[columns]
+        if held:
+            yield closed(border or state)[columns]
 
     needed = lines.select("file", "block", "opens", "stays", "starts_inside", "earlier", "value")
     return needed.mapInPandas(join_lines, schema)
 
 
-def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """``file, row_number, value``: one row per record, 1 for the first of each file.
+def read_records(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", limit: int = RECORD_LIMIT) -> DataFrame:
+    """``file, row_number, value, chars``: one row per record, 1 for the first of each file.
 
-    Lines end in LF or CR LF; inside quotes both are kept. An open quote at the end of a
-    file ends there. A quoted field beyond 131072 characters fails the job, as it means a
-    quote that was never closed.
+    Lines end in LF or CR LF; inside quotes both are kept. An open quote at the end of a file ends
+    there. ``chars`` is the length of the record; one of more than ``limit`` characters, as after a quote that
+    was never closed, has the first ``limit`` of them as its value, whatever blocks and batches it runs over.
     """
-    lines = line_effects(scan_lines(spark, path, "\n"), delimiter)
-    starts = via_table(block_starts(via_table(block_effects(lines), "block-effects")), "block-starts")
-    known, in_order = _with_blocks(lines, starts, "earlier")
-    if not in_order:  # a shuffled join has lost the order of the lines
-        known = known.repartition("file", "block").sortWithinPartitions("file", "block", "seq")
-    pieces = via_table(_pieces(known), "pieces")
-    whole = pieces.where(~F.col("border")).select("file", "row_number", "value")
-    parts = F.sort_array(F.collect_list(F.struct("block", "value")))
-    crossing = pieces.where("border").groupBy("file", "row_number").agg(parts.alias("parts"))
-    crossing = crossing.select("file", "row_number", F.array_join("parts.value", "\n").alias("value"))
-    return whole.unionByName(crossing).withColumn("value", F.regexp_replace("value", "\r\\z", ""))
+    with pinned_blocks(spark):
+        lines = line_effects(scan_lines(spark, path, "\n"), delimiter)
+        effects = via_table(block_effects(lines), "block-effects")
+        starts = via_table(block_starts(effects), "block-starts")
+        known, in_order = _with_blocks(lines, starts, "earlier")
+        if not in_order:  # a shuffled join has lost the order of the lines
+            known = known.repartition("file", "block").sortWithinPartitions("file", "block", "seq")
+        pieces = _pieces(known, limit)
+        border = via_table(pieces.where("border").drop("border"), "border-pieces")
+    inside = pieces.where(~F.col("border")).select("file", "row_number", "value", "chars")
+    # Of a record over many blocks only the pieces that begin within the limit are brought together.
+    before = Window.partitionBy("file", "row_number").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = border.withColumn("at", F.coalesce(F.sum(F.col("chars") + 1).over(before), F.lit(0)))
+    kept = F.when(F.col("at") <= limit, F.struct("block", "value"))
+    crossing = placed.groupBy("file", "row_number").agg(
+        F.sort_array(F.collect_list(kept)).alias("parts"), (F.sum(F.col("chars") + 1) - 1).alias("chars")
+    )
+    joined = F.left(F.array_join("parts.value", "\n"), F.lit(limit))
+    whole = inside.unionByName(crossing.select("file", "row_number", joined.alias("value"), "chars"))
+    return whole.withColumn("value", F.when(F.col("chars") > limit, F.col("value")).otherwise(F.regexp_replace("value", "\r\\z", "")))

@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 
 from rowscrub.functions.fields import open_quote, split_fields
 from rowscrub.operators.columns import computed_once, ref, unique_names
-from rowscrub.operators.records import number_records, read_records, scan_lines
-from rowscrub.session import discard, scratch_path
+from rowscrub.operators.records import (
+    BLOCK_ROW_BYTES,
+    RECORD_LIMIT,
+    broadcast_bytes,
+    number_records,
+    pinned_blocks,
+    read_records,
+    scan_lines,
+)
+from rowscrub.session import discard, scratch_path, via_table
 from rowscrub.sources.sinks import write_csv, write_repaired_csv
 
 STRUCTURE, PROCESSING = "structure", "processing"
@@ -24,6 +32,8 @@ FAILED = "Ошибка обработки: {}"
 MESSAGE_CHARS = 100
 # --- end of fixed values ------------------------------------------------------------------
 OPEN_QUOTE = "quote not closed on its line"
+TOO_LONG = "record of more than {} characters: quote not closed?"
+MOST_LAYOUTS = 1000  # different headers among the files of one input; more are an error
 
 
 def check_records(
@@ -32,6 +42,8 @@ def check_records(
     delimiter: str = ",",
     types: Mapping[str, str] | None = None,
     whole: bool = False,
+    layouts: Sequence[Sequence[str]] | None = None,
+    limit: int = RECORD_LIMIT,
 ) -> DataFrame:
     """Add ``fields``, ``error_type``, ``description`` and ``content`` to lines.
 
@@ -39,31 +51,48 @@ def check_records(
     leaves a quote open, and bad (``processing``) if a value does not fit the type the
     caller asks for in ``types``. ``error_type`` is null on valid records; ``content`` is
     the fields of a bad record joined again, without their quotes. ``whole`` says that
-    ``value`` holds whole records, so that an open quote is just one at the end of a file.
+    ``value`` holds whole records, so that an open quote is just one at the end of a file; with
+    their length in ``chars``, those of more than ``limit`` characters are bad.
+
+    With ``layouts``, column ``layout`` says which of these headers a record follows; its fields
+    are brought into the order of ``header``, and a name that the layout lacks is null.
     """
-    width = len(header)
-    kept = [ref(c) for c in lines.columns]
-    parsed = lines.select(*kept, split_fields(F.col("value"), delimiter).alias("fields"))
+    kept = [ref(c) for c in lines.columns if c not in ("layout", "chars")]
+    value = F.col("value")
+    parsed = lines.withColumn("fields", split_fields(value, delimiter))
+    width, fields = F.lit(len(header)), F.col("fields")
+    if layouts:
+        layout = F.col("layout") + 1
+        width = F.element_at(F.array(*[F.lit(len(names)) for names in layouts]), layout)
+        places = [F.array(*[F.lit(list(names).index(n) if n in names else -1) for n in header]) for names in layouts]
+        source = F.element_at(F.array(*places), layout)
+        fields = F.transform(source, lambda i: F.when(i >= 0, F.get("fields", i)))
+    parsed = parsed.select(*lines.columns, "fields", width.alias("width"), fields.alias("aligned"))
     misfit = F.lit(None).cast("string")
     for name, kind in (types or {}).items():
-        value = F.get(F.col("fields"), header.index(name))
-        wrong = value.isNotNull() & (value != "") & value.try_cast(kind).isNull()
+        cell = F.get(F.col("aligned"), list(header).index(name))
+        wrong = cell.isNotNull() & (cell != "") & cell.try_cast(kind).isNull()
         misfit = F.coalesce(misfit, F.when(wrong, F.lit(f"{name} is not {kind}")))
     count = F.size("fields")
-    wrong_count = count != width
-    unclosed = F.lit(False) if whole else open_quote(F.col("value"), delimiter)
+    too_long = F.col("chars") > limit if "chars" in lines.columns else F.lit(False)
+    wrong_count = count != F.col("width")
+    unclosed = F.lit(False) if whole else open_quote(value, delimiter)
     before, between = WRONG_COUNT.split("{}")[:2]
+    counted = F.concat(F.lit(before), count.cast("string"), F.lit(between), F.col("width").cast("string"))
     checked = parsed.select(
         *kept,
-        "fields",
-        F.when(wrong_count | unclosed, F.lit(STRUCTURE)).when(misfit.isNotNull(), F.lit(PROCESSING)).alias("error_type"),
-        F.when(wrong_count, F.concat(F.lit(before), count.cast("string"), F.lit(between + str(width))))
+        F.when(wrong_count, F.col("fields")).otherwise(F.col("aligned")).alias("fields"),
+        F.when(too_long | wrong_count | unclosed, F.lit(STRUCTURE)).when(misfit.isNotNull(), F.lit(PROCESSING)).alias("error_type"),
+        F.when(too_long, F.lit(TOO_LONG.format(limit)))
+        .when(wrong_count, counted)
         .when(unclosed, F.lit(OPEN_QUOTE))
         .when(misfit.isNotNull(), F.concat(F.lit(FAILED.format("")), F.left(misfit, F.lit(MESSAGE_CHARS))))
         .alias("description"),
+        F.array_join("fields", delimiter).alias("joined"),
     )
     bad = F.col("error_type").isNotNull()
-    return computed_once(checked.withColumn("content", F.when(bad, F.array_join("fields", delimiter))))
+    checked = checked.select(*kept, "fields", "error_type", "description", F.when(bad, F.col("joined")).alias("content"))
+    return computed_once(checked)
 
 
 def valid_rows(checked: DataFrame, header: Sequence[str]) -> DataFrame:
@@ -90,26 +119,36 @@ def repair_files(
     delimiter: str = ",",
     types: Mapping[str, str] | None = None,
     multi_line: bool = False,
+    limit: int = RECORD_LIMIT,
 ) -> tuple[DataFrame, list[str]]:
-    """Checked records of text files that each start with the header, and the header.
+    """Checked records of text files that each start with their header, and the columns.
 
-    Data records are numbered from 2 in every file. A record is one line, and a line that
-    leaves a quote open is bad; with ``multi_line`` quoted fields may hold newlines. An
-    empty input gives an empty table and no header.
+    Data records are numbered from 2 in every file, and each file's own header says how many fields
+    they have and what these are. The columns are those of the first file by name, then what others add. A
+    record is one line, and a line that leaves a quote open is bad; with ``multi_line`` quoted fields may hold
+    newlines, and a record of more than ``limit`` characters is bad. An empty input gives an empty table and no columns.
     """
-    if multi_line:
-        numbered = read_records(spark, path, delimiter)
-        first = numbered.where(F.col("row_number") == 1).head()
-    else:
-        lines = scan_lines(spark, path)
-        first = lines.where(F.col("block") == 0).head()
-        numbered = number_records(lines, "file") if first else lines.withColumn("row_number", F.lit(0).cast("bigint"))
-    names = []
-    if first is not None:
-        header = spark.createDataFrame([(first["value"],)], "value string")
-        names = unique_names(header.select(split_fields(F.col("value"), delimiter)).first()[0])
-    data = numbered.where(F.col("row_number") > 1)
-    return check_records(data, names, delimiter, types, whole=multi_line), names
+    numbered = read_records(spark, path, delimiter, limit) if multi_line else number_records(scan_lines(spark, path), "file")
+    heads = numbered.where("row_number = 1").groupBy("value").agg(F.min("file").alias("file")).limit(MOST_LAYOUTS + 1)
+    known = sorted((r["file"], r["value"]) for r in heads.collect())
+    if len(known) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} different headers below {path}")
+    data = numbered.where("row_number > 1")
+    if not known:
+        return check_records(data, [], delimiter, types, whole=multi_line, limit=limit), []
+    rows = spark.createDataFrame(list(enumerate(known)), "layout int, head struct<file: string, value: string>")
+    given = rows.select("layout", "head.value", split_fields(F.col("head.value"), delimiter).alias("fields")).orderBy("layout").collect()
+    layouts = [unique_names(r["fields"]) for r in given]
+    columns = list(dict.fromkeys(name for names in layouts for name in names))
+    if len(layouts) == 1:
+        return check_records(data, columns, delimiter, types, whole=multi_line, limit=limit), columns
+    # One row for each file: which header it has.
+    headers = rows.select("layout", F.col("head.value").alias("header"))
+    files = via_table(numbered.where("row_number = 1").select("file", F.col("value").alias("header")).join(headers, "header").select("file", "layout"), "layouts")
+    small = files.count() * BLOCK_ROW_BYTES <= broadcast_bytes(spark)
+    known_files = files.select(F.col("file"), "layout")
+    followed = data.join(F.broadcast(known_files) if small else known_files, "file")
+    return check_records(followed, columns, delimiter, types, multi_line, layouts, limit), columns
 
 
 def repair_csv(
@@ -127,6 +166,11 @@ def repair_csv(
     The input is split and checked once, into a staging table partitioned by outcome; both
     outputs and the counts read their own part of it.
     """
+    with pinned_blocks(spark):
+        return _repair(spark, path, valid_out, bad_out, delimiter, export_delimiter, types, multi_line)
+
+
+def _repair(spark, path, valid_out, bad_out, delimiter, export_delimiter, types, multi_line) -> DataFrame:
     checked, header = repair_files(spark, path, delimiter, types, multi_line)
     part = F.coalesce("error_type", F.lit("valid")).alias("part")
     checked = checked.select("row_number", "fields", "error_type", "description", "content", part)

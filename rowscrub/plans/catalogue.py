@@ -41,7 +41,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table, split over the cores if it is too small to have row groups for all of them."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
     df = readers.read_parquet(spark, path)
-    return readers.spread(df, readers.input_bytes(spark, path)) if name in SPREAD else df
+    return readers.spread(df, spark.sparkContext.defaultParallelism) if name in SPREAD else df
 
 
 def dirty_docs(spark: SparkSession, folder: str) -> DataFrame:

@@ -73,9 +73,12 @@ def shape_columns(
 
 
 def clean_rows(
-    df: DataFrame, wf: Workflow, strict: bool = True, report: Report | None = None
+    df: DataFrame, wf: Workflow, strict: bool = True, report: Report | None = None, metadata: bool = True
 ) -> tuple[DataFrame, Workflow]:
-    """All of the standard job that works row by row, on a table or a stream; with the renamed settings."""
+    """All of the standard job that works row by row, on a table or a stream; with the renamed settings.
+
+    ``metadata=False`` leaves the constant columns to :func:`add_metadata`.
+    """
     df, wf = shape_columns(df, wf, "cli", strict, report)
     df = C.clean_strings(C.lowercase(df))
     nesting = bool(wf.main_info or wf.additional_info)
@@ -85,8 +88,14 @@ def clean_rows(
         df = R.require_not_null(C.computed_once(df), early, strict, report)
     if nesting:
         df = C.nest(df, wf.main_info, wf.additional_info, NESTED)
-    df = C.add_metadata(df, datetime.now().year if wf.year is None else wf.year, wf.country_code)
-    return R.require_not_null(df, [n for n in wf.not_empty if n in later], strict, report), wf
+    if metadata:
+        df = add_metadata(df, wf)
+    constants = set() if metadata else set(METADATA)
+    return R.require_not_null(df, [n for n in wf.not_empty if n in later - constants], strict, report), wf
+
+
+def add_metadata(df: DataFrame, wf: Workflow) -> DataFrame:
+    return C.add_metadata(df, datetime.now().year if wf.year is None else wf.year, wf.country_code)
 
 
 def cli_workflow(
@@ -96,9 +105,18 @@ def cli_workflow(
     strict: bool = True,
     report: Report | None = None,
 ) -> DataFrame:
-    """The standard job: shape, lower case, clean, required columns, nest, metadata, duplicates."""
-    df, wf = clean_rows(df, wf, strict, report)
-    return R.dedup(df, wf.unique_columns, order_by, report)
+    """The standard job: shape, lower case, clean, required columns, nest, metadata, duplicates.
+
+    The constant columns tell no rows apart, so they are added behind the duplicate removal, which then is
+    a plain aggregate if the key is all else; unless they replace columns, or are the whole key.
+    """
+    rows, renamed = clean_rows(df, wf, strict, report, metadata=False)
+    keys = R.dedup_keys([*rows.columns, *METADATA], renamed.unique_columns, report)
+    telling = [k for k in keys if k not in METADATA]
+    taken = {c.casefold() for c in rows.columns} & set(METADATA)
+    if taken or not telling or set(map(str, order_by or ())) & set(METADATA):
+        return R.dedup(add_metadata(rows, renamed), keys, order_by)
+    return add_metadata(R.dedup(rows, telling, order_by), renamed)
 
 
 def lib_workflow(
@@ -175,19 +193,26 @@ VARIANTS = {"cli": cli_workflow, "lib": lib_workflow, "full": full_workflow}
 
 def run_workflow(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     wf: Workflow,
     out: str,
     variant: str = "cli",
     order_by: Sequence[str] | None = None,
     mode: str = "errorifexists",
+    multi_line: bool = True,
+    tasks: int | None = None,
 ) -> None:
-    """Read, clean and write in one job. CSV output exists in the ``lib`` variant only."""
-    if path.rstrip("/").lower().endswith(".parquet"):
-        df = spark.read.parquet(path)
+    """Read, clean and write in one job. CSV output exists in the ``lib`` variant only.
+
+    ``path`` is a file, a folder, a glob, or several of these. ``multi_line`` says whether quoted fields of
+    delimited input may hold newlines. ``tasks`` deals an input of fewer row groups out to so many tasks.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if all(p.rstrip("/").lower().endswith(".parquet") for p in paths):
+        df = spark.read.parquet(*paths)
     else:
-        df = readers.scan_plain(spark, path)
-    df = readers.spread(df, readers.input_bytes(spark, path))
+        df = readers.scan_plain(spark, paths, multi_line=multi_line)
+    df = readers.spread(df, tasks)
     result = VARIANTS[variant](df, wf, order_by=order_by)
     export = wf.export if variant == "lib" else {}
     if out.rstrip("/").lower().endswith(".csv") or (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscrub.sources.readers import listing
 
 DELIMITERS = [",", ";", "\t", "|"]  # fixed order: it decides ties
 DELIMITER_LINES = 30
@@ -16,6 +18,16 @@ ENCODING_BYTES = 10_000
 LINE_BYTES = 1 << 20  # what is read of a file for its first lines, at most
 
 
+def all_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of every file below a path, empty ones included, dealt to tasks.
+
+    A scan leaves empty files out, so the names come from its file index, which the driver holds anyway.
+    """
+    names = [unquote(name) for name in spark.read.format("binaryFile").load(path).inputFiles()]
+    names = [re.sub(r"^file:/+", "file:/", name) for name in names]
+    return spark.createDataFrame([(name,) for name in names], "path string").repartition("path")
+
+
 def _opened(name: str):
     """A file as a stream of bytes, in any file system that Arrow knows."""
     from pyarrow import fs
@@ -62,8 +74,7 @@ def file_heads(
                 rows.append((name, data[:max_bytes], first_lines(data[:line_bytes])))
             yield pd.DataFrame(rows, columns=["file", "head", "lines"])
 
-    files = listing(spark, path).select("path")
-    return files.repartition("path").mapInPandas(read, schema)
+    return all_files(spark, path).mapInPandas(read, schema)
 
 
 def head_lines(heads: DataFrame) -> DataFrame:
@@ -138,7 +149,7 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
                 hashes.append(total.hexdigest())
             yield pd.DataFrame({"path": batch["path"], "content_hash": hashes})
 
-    return listing(spark, path).select("path").repartition("path").mapInPandas(digest, "path string, content_hash string")
+    return all_files(spark, path).mapInPandas(digest, "path string, content_hash string")
 
 
 def strip_quotes_files(spark: SparkSession, path: str, out: str) -> None:

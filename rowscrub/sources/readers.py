@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscrub.functions import text as X
+from rowscrub.functions.fields import open_quote, split_fields
+from rowscrub.functions.text import drop_bad_utf8  # noqa: F401
 from rowscrub.operators.columns import map_columns, ref, string_columns, unique_names
+from rowscrub.operators.records import RECORD_LIMIT, read_records
+from rowscrub.session import discard
 from rowscrub.sources.sinks import write_parquet
 
-INFER_ROWS = 1000
+INGEST_FORMAT = 2  # changes when ingest() would write another table from the same source
 TEXT_FILES = "*.{[cC][sS][vV],[tT][xX][tT]}"
 
 # --- fixed values: what counts as a whole number, a fraction and a truth value ------------
@@ -25,31 +30,43 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def spread(df: DataFrame, input_bytes: int, per_task: int = 2 << 20) -> DataFrame:
-    """Split a small input over the cores before heavy text work.
+def spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Deal a table out to ``tasks`` tasks before heavy text work, if its scan has fewer; None leaves it.
 
-    A Parquet file is read by at most one task per row group, so a table of one row group
-    would be cleaned by one task. Large tables have row groups enough and are left alone:
-    the shuffle happens only while the whole input is below 128 MB per core.
+    A Parquet file is read by at most one task per row group, so a table of few row groups is
+    cleaned by few tasks. Tables with enough of them, and so all large ones, are not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = min(cores, input_bytes // per_task + 1)
-    if tasks == 1 or input_bytes >= cores * (128 << 20):
+    if not tasks or scan_pieces(df) >= tasks:
         return df
     # By a row number: even like a round robin, but without the sort that one needs.
-    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(tasks, "__row").drop("__row")
+    number = "row" + "_" * max(map(len, df.columns))
+    return df.withColumn(number, F.monotonically_increasing_id()).repartition(tasks, number).drop(number)
+
+
+def scan_pieces(df: DataFrame, most: int = 64) -> int:
+    """Into how many pieces with rows can the scan of a table be cut?
+
+    A file counts once for each 128 MB, the usual row group. At most ``most`` files are looked at, which
+    is enough to tell whether a small table has enough pieces. Tables without files count their partitions.
+    """
+    files = df.inputFiles()
+    if not files:
+        return df.rdd.getNumPartitions()
+    return len(files) if len(files) >= most else sum(max(1, input_bytes(df.sparkSession, f) >> 27) for f in files)
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of what lies below a path, asked of its file system."""
+    """Size of what lies below a path or a glob, asked of its file system."""
     context = spark.sparkContext
     location = context._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(location).getLength()
+    system = location.getFileSystem(context._jsc.hadoopConfiguration())
+    found = system.globStatus(location) or []
+    return sum(system.getContentSummary(status.getPath()).getLength() for status in found)
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
+def listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``path, modificationTime, length`` of the files below a path; content is not read."""
-    return spark.read.format("binaryFile").load(path).drop("content")
+    return spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).drop("content")
 
 
 def clean_header(names: Sequence[str]) -> list[str]:
@@ -57,10 +74,10 @@ def clean_header(names: Sequence[str]) -> list[str]:
     return unique_names(n.replace('"', "").strip() for n in names)
 
 
-def first_line(spark: SparkSession, path: str, line_sep: str | None = None) -> str | None:
+def first_line(spark: SparkSession, path: str | Sequence[str], line_sep: str | None = None) -> str | None:
     """The first line of a file, or of one of the files of a folder."""
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
-    lines = reader.option("pathGlobFilter", "*").text(path).where("_metadata.file_block_start = 0")
+    lines = reader.option("pathGlobFilter", "*").text(path if isinstance(path, str) else list(path)).where("_metadata.file_block_start = 0")
     row = lines.head()
     return None if row is None else row["value"]
 
@@ -70,14 +87,44 @@ def _all_text(names: Sequence[str]) -> str:
 
 
 def scan_plain(
-    spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True, infer_rows: int = INFER_ROWS
+    spark: SparkSession,
+    path: str | Sequence[str],
+    delimiter: str = ",",
+    infer: bool = True,
+    infer_rows: int | None = None,
+    multi_line: bool = True,
+    limit: int = RECORD_LIMIT,
 ) -> DataFrame:
     """Delimited text with header and double-quote quoting.
 
-    Types come from the first rows; a cell that does not fit becomes null. Extra fields
-    are cut, missing ones are null.
+    Quoted fields may hold newlines. ``multi_line=False`` saves the passes that find such records; a line
+    that leaves a quote open then fails the job. Every file starts with the header; the first file by name
+    names the columns, and a repeated name gets ``_2``, ``_3``. Extra fields are cut, missing ones are null, lines of
+    white space are skipped. Types come from all rows, or only from the first ``infer_rows``; then a later cell that
+    does not fit becomes null (:func:`misfits` counts them). Records of more than ``limit`` characters fail the job.
     """
-    raw = spark.read.option("header", True).option("sep", delimiter).option("escape", '"').csv(path)
+    reader = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"}
+    if multi_line:
+        records = read_records(spark, path, delimiter, limit)
+        too_long = F.raise_error(F.lit(f"record of more than {limit} characters: quote not closed?")).cast("string")
+        value = F.when(F.col("chars") > limit, too_long).otherwise(F.col("value"))
+        first = records.where("row_number = 1").orderBy("file").select("value").head()
+        header = first["value"] if first else None
+        lines = records.where("row_number > 1").select(value.alias("value"))
+    else:
+        lines = spark.read.text(path if isinstance(path, str) else list(path))
+        header = first_line(spark, path)
+        open_ = F.raise_error(F.lit("quote not closed on its line; read with multi_line=True")).cast("string")
+        checked = F.when(open_quote(F.col("value"), delimiter), open_).otherwise(F.col("value"))
+        lines = lines.where(F.col("value") != header).select(checked.alias("value")) if header is not None else lines
+    if header is None:
+        raise ValueError(f"no header in {path}")
+    given = spark.createDataFrame([(header,)], "value string").select(split_fields(F.col("value"), delimiter)).first()[0]
+    ignore_case = spark.conf.get("spark.sql.caseSensitive") != "true"
+    names = unique_names(given, ignore_case)
+    full = lines.where(F.trim(F.col("value")) != "")
+    raw = full.select(F.from_csv("value", _all_text([f"c{i}" for i in range(len(names))]), reader).alias("cells"))
+    raw = raw.select(*[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)])
     return infer_types(raw, infer_rows) if infer else raw
 
 
@@ -87,7 +134,7 @@ def scan_raw(
     delimiter: str = ",",
     infer: bool = True,
     strip_quotes: bool = True,
-    infer_rows: int = INFER_ROWS,
+    infer_rows: int | None = None,
 ) -> DataFrame:
     """Delimited text without quoting: null tokens, cut and padded rows, cleaned header.
 
@@ -127,20 +174,26 @@ def inferred_types(sample: DataFrame) -> dict[str, str]:
     return {name: kind(i) for i, name in enumerate(sample.columns)}
 
 
-def infer_types(df: DataFrame, rows: int = INFER_ROWS) -> DataFrame:
-    """Cast text columns to the types of their first rows; what does not fit becomes null.
+def _typed(name: str, kind: str) -> Column:
+    return ref(name) if kind == "string" else ref(name).try_cast(kind)
+
 
-    ``head`` reads partitions one after another until it has its rows, so inference costs
-    the same on any table size.
+def infer_types(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cast text columns to the narrowest types that fit all rows: one aggregate over the table.
+
+    With ``rows`` only so many first rows decide, at the same cost for any table size, and what does not fit
+    later becomes null; :func:`misfits` counts such cells.
     """
-    sample = df.sparkSession.createDataFrame(df.head(rows), df.schema)
-    kinds = inferred_types(sample)
+    kinds = inferred_types(df if rows is None else df.limit(rows))
+    return df.select(*[_typed(c, kinds[c]).alias(c) for c in df.columns])
 
-    def typed(name: str) -> Column:
-        kind = kinds[name]
-        return ref(name) if kind == "string" else ref(name).try_cast(kind)
 
-    return df.select(*[typed(c).alias(c) for c in df.columns])
+def misfits(df: DataFrame, rows: int) -> DataFrame:
+    """``column, misfits``: cells of each text column that types from the first ``rows`` rows would turn to null."""
+    kinds = inferred_types(df.limit(rows))
+    lost = [F.count_if(ref(c).isNotNull() & _typed(c, kinds[c]).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("misfits")) for i, c in enumerate(df.columns)]
+    return df.agg(*lost).select(F.inline(F.array(*cells)))
 
 
 def repair_utf8(c: Column) -> Column:
@@ -148,11 +201,6 @@ def repair_utf8(c: Column) -> Column:
     return F.make_valid_utf8(c)
 
 
-def drop_bad_utf8(c: Column) -> Column:
-    """Bad bytes dropped; a genuine U+FFFD in the text goes as well."""
-    return F.replace(F.make_valid_utf8(c), F.lit("�"), F.lit(""))
-
-
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the ``.csv`` and ``.txt`` files (any letter case) of a folder."""
     return spark.read.option("pathGlobFilter", TEXT_FILES).text(path)
@@ -175,14 +223,17 @@ def ingest(
 ) -> tuple[DataFrame, bool]:
     """Convert delimited text to Parquet once and read that; returns the table and whether it was reused.
 
-    The Parquet table is reused while the source files keep their size and time.
+    The Parquet table is reused while the source files keep their size and time and the options are the
+    same. The marker that says so is removed before the table is written and set when it is complete.
     """
-    state = source_state(spark, path)
+    options = json.dumps({"delimiter": delimiter, "infer": infer, "format": INGEST_FORMAT}, sort_keys=True)
+    state = f"{source_state(spark, path)} {options}"
     marker = out.rstrip("/") + ".source"
     if not overwrite and _read_marker(spark, marker) == state:
         return spark.read.parquet(out), True
+    discard(spark, marker)
     write_parquet(scan_raw(spark, path, delimiter, infer), out, mode="overwrite")
-    spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+    spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(marker)
     return spark.read.parquet(out), False
 
 

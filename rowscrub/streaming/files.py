@@ -7,6 +7,7 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowscrub.operators.columns import ref
 from rowscrub.operators.rows import dedup_keys
 from rowscrub.plans.settings import Workflow
 from rowscrub.plans.workflow import clean_rows
@@ -42,7 +43,8 @@ def clean_stream(
     A stream has no partial aggregation, so all copies of a key would meet in one task. They
     are first thinned out per key and salt (the number of the reading task), spread over
     ``salts`` tasks, which leaves at most ``salts`` copies of any key for the final removal.
-    That step remembers every key once more; ``salts=1`` leaves it out.
+    That step remembers every key once more; ``salts=1`` leaves it out. The state holds a hash of 32 bytes for
+    each key, whatever the length of its texts.
     """
     if duplicates == "watermark":
         if not event_time:
@@ -53,13 +55,17 @@ def clean_stream(
         return cleaned
     keys = dedup_keys(cleaned.columns, renamed.unique_columns)
 
+    hashed, salt = (name + "_" * max(map(len, cleaned.columns)) for name in ("key", "salt"))
+    whole = F.to_json(F.struct(*[ref(k) for k in keys]), {"ignoreNullFields": "false"})
+    cleaned = cleaned.withColumn(hashed, F.unhex(F.sha2(whole, 256)))
+
     def once(df: DataFrame, key: list[str]) -> DataFrame:
         return df.dropDuplicatesWithinWatermark(key) if duplicates == "watermark" else df.dropDuplicates(key)
 
     if salts > 1:
-        salted = cleaned.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        cleaned = once(salted, [*keys, "__salt"]).drop("__salt")
-    return once(cleaned, keys)
+        salted = cleaned.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(salts)))
+        cleaned = once(salted, [hashed, salt]).drop(salt)
+    return once(cleaned, [hashed]).drop(hashed)
 
 
 def run_stream(

@@ -96,3 +96,31 @@ def test_only_used_columns_are_read(spark, tmp_path):
 def test_nested_json(people):
     nested = C.nest(people, ["fio"], ["n", {"car": ["make"]}])
     assert json.loads(nested.toJSON().first())["additional_info"] == {"n": 1, "car": {"make": "vaz"}}
+
+
+@pytest.fixture
+def case_sensitive(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    yield
+    spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_names_that_differ_in_case_are_refused(spark):
+    df = spark.createDataFrame([(1, 2020, "x")], "id int, Year int, Label string")
+    with pytest.raises(ValueError, match="case"):
+        C.add_metadata(df, 2024)
+    for concat in (C.concat_columns, C.concat_trimmed):
+        with pytest.raises(ValueError, match="case"):
+            concat(df, "label", ["id", "Label"], "-")
+    with pytest.raises(ValueError, match="duplicate"):
+        C.rename_columns(df, {"Label": "ID"})
+    assert C.unique_names(["a", "A", "a", "a_2"], ignore_case=True) == ["a", "A_2", "a_3", "a_2_2"]
+    assert C.unique_names(["a", "A", "a", "a_2", "a"]) == ["a", "A", "a_2", "a_2_2", "a_3"]
+
+
+def test_names_that_differ_in_case_with_the_setting(spark, case_sensitive):
+    df = spark.createDataFrame([(1, 2020, "x")], "id int, Year int, Label string")
+    got = C.add_metadata(C.concat_columns(df, "label", ["id", "Label"], "-"), 2024)
+    assert got.columns == ["id", "Year", "Label", "label", "year", "country_code"]
+    assert tuple(got.first()) == (1, 2020, "x", "1-x", 2024, "ru")
+    assert C.rename_columns(df, {"Label": "ID"}).columns == ["id", "Year", "ID"]

@@ -85,3 +85,12 @@ def test_profile_reuse(spark, tmp_path):
     other, reused = A.profile_or_reuse(df.where("v = 'a'"), path)
     assert not reused
     assert not A.profile_or_reuse(df.withColumnRenamed("v", "w"), path)[1]
+
+
+def test_fingerprint_tells_where_nulls_are(spark):
+    schema = "a string, b string"
+    one = A.table_fingerprint(spark.createDataFrame([(None, "abc")], schema)).first()[0]
+    two = A.table_fingerprint(spark.createDataFrame([("abc", None)], schema)).first()[0]
+    other_types = A.table_fingerprint(spark.createDataFrame([(None, "abc")], "a int, b string")).first()[0]
+    odd_name = A.table_fingerprint(spark.createDataFrame([("x",)], "`a``b` string")).first()[0]
+    assert len({one, two, other_types, odd_name}) == 4

@@ -100,7 +100,7 @@ def test_many_blocks_are_joined_without_broadcast(spark, tmp_path, small_blocks,
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "BroadcastHashJoin" in plan_of(B.number_records(B.scan_lines(spark, str(tmp_path))))
-        monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(B, "broadcast_bytes", lambda spark: 0)
         got = B.number_records(B.scan_lines(spark, str(tmp_path)))
         plan = plan_of(got)
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
@@ -136,7 +136,7 @@ def test_complete_job(spark, tmp_path):
 def test_checking_is_done_once(spark, tmp_path):
     write_lines(tmp_path / "a.csv", ["1,2,3"])
     df = S.valid_rows(S.check_records(spark.read.text(str(tmp_path)), HEADER), HEADER)
-    assert plan_of(df).count("zip_with(zip_with(") == 1
+    assert plan_of(df).count("regexp_extract_all(") == 1
 
 
 def multi_line_text(seed, n):
@@ -173,7 +173,7 @@ def test_multi_line_records_as_the_standard_reader(spark, tmp_path, block):
 def test_multi_line_without_broadcast(spark, tmp_path, small_blocks, monkeypatch):
     text = multi_line_text(7, 800)
     (tmp_path / "f.csv").write_bytes(text.encode())
-    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(B, "broadcast_bytes", lambda spark: 0)
     got = B.read_records(spark, str(tmp_path)).select("row_number", split_fields(F.col("value")).alias("x")).collect()
     assert sorted((r[0], r[1]) for r in got) == list(enumerate(csv.reader(io.StringIO(text, newline="")), start=1))
 
@@ -186,7 +186,62 @@ def test_multi_line_job(spark, tmp_path):
     assert b'"1"~"x\ny\r\nz"\r\n' in good and b'"3"~"open"\r\n' in good
 
 
-def test_quote_that_never_closes_fails(spark, tmp_path):
-    (tmp_path / "in.csv").write_text('a,b\n1,"x\n' + "yyyyyyyyy\n" * 20_000)
-    with pytest.raises(Exception, match="field larger than"):
-        B.read_records(spark, str(tmp_path / "in.csv")).count()
+@pytest.mark.parametrize(("batch", "block"), [("1", "1000000"), ("500", "64"), ("10000", "100000"), ("10000", "64")])
+def test_long_records_do_not_depend_on_batches_and_blocks(spark, tmp_path, batch, block):
+    rows_ = ["a,b", '1,"' + "x" * 300 + "\n" * 200 + '"', "2,y", '3,"' + "z\n" * 400]
+    (tmp_path / "in.csv").write_text("\n".join(rows_))
+    settings = {"spark.sql.files.maxPartitionBytes": block, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        got = B.read_records(spark, str(tmp_path), limit=600).orderBy("row_number").collect()
+        checked, header = S.repair_files(spark, str(tmp_path), multi_line=True, limit=600)
+        bad = S.bad_rows(checked).collect()
+        good = rows(S.valid_rows(checked, header))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert [(r["row_number"], r["chars"]) for r in got] == [(1, 3), (2, 504), (3, 3), (4, 802)]
+    assert got[1]["value"] == rows_[1] and got[3]["value"] == rows_[3][:600]
+    assert [(r["row_number"], r["description"]) for r in bad] == [(4, S.TOO_LONG.format(600))]
+    assert good == [("1", "x" * 300 + "\n" * 200), ("2", "y")]
+
+
+def test_quoted_field_longer_than_the_old_limit(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('a,b\n1,"' + "x" * 150_000 + '"\n2,y\n')
+    for batch in ("500", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert B.read_records(spark, str(tmp_path)).count() == 3
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_every_file_follows_its_own_header(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("name,city\nann,oslo\n")
+    (tmp_path / "b.csv").write_text("city,name\nrome,bob\nx,y,z\n")
+    (tmp_path / "c.csv").write_text("name,age,city\ncid,3,bern\n")
+    checked, columns = S.repair_files(spark, str(tmp_path), multi_line=multi_line)
+    assert columns == ["name", "city", "age"]
+    assert rows(S.valid_rows(checked, columns)) == [("ann", "oslo", None), ("bob", "rome", None), ("cid", "bern", "3")]
+    bad = S.bad_rows(checked).collect()
+    assert [(r["row_number"], r["content"], r["description"]) for r in bad] == [(3, "x,y,z", S.WRONG_COUNT.format(3, 2))]
+
+
+def test_block_size_setting_is_released(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a,b\n1,2\n")
+    S.repair_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "good"), str(tmp_path / "bad"))
+    B.read_records(spark, str(tmp_path / "in.csv")).count()
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_block_table_of_100_terabytes_is_broadcast(spark):
+    """800 000 blocks: the lines are not shuffled."""
+    lines = spark.range(10).select(F.lit("f0").alias("file"), (F.col("id") * (1 << 27)).alias("block"), F.lit(0).cast("long").alias("seq"), F.lit("x").alias("value"))
+    blocks = spark.range(800_000).select(
+        F.concat(F.lit("f"), F.col("id") % 1000).alias("file"), (F.col("id") * (1 << 27)).alias("block"),
+        F.lit(0).cast("long").alias("first_seq"), F.lit(0).cast("long").alias("last_seq"), F.lit(0).cast("long").alias("offset"),
+    )
+    joined, small = B._with_blocks(lines, blocks, "offset")
+    assert small and "Exchange hashpartitioning" not in plan_of(joined)

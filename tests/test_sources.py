@@ -65,12 +65,67 @@ def test_ingest_reuse(spark, tmp_path):
     assert not reused and df.count() == 2
 
 
-def test_spread_only_small_inputs(spark):
-    df = spark.range(1000)
-    assert "Exchange" in df_plan(readers.spread(df, 64 << 20))
-    assert readers.spread(df, 1 << 40) is df and readers.spread(df, 1000) is df
-    sizes = readers.spread(df.coalesce(1), 64 << 20).groupBy(F.spark_partition_id()).count().collect()
+def test_spread_only_small_inputs(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(6).write.parquet(str(tmp_path / "six"))
+    one, six = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "six"))
+    assert readers.spread(one, None) is one and readers.spread(one, 1) is one and readers.spread(six, 6) is six
+    sizes = readers.spread(one, 4).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 400
+    assert "Exchange" in df_plan(readers.spread(six, 7))
+
+
+def test_quoted_newlines_in_plain_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'id,t,t,T\n1,"x\ny",,""\n\n2,"p""q\r\n",w\n3,a,b,c,d\n')
+    df = readers.scan_plain(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["id", "t", "t_2", "T_3"]
+    assert rows(df) == [(1, "x\ny", None, None), (2, 'p"q\r\n', "w", None), (3, "a", "b", "c")]
+    with pytest.raises(Exception, match="quote not closed"):
+        readers.scan_plain(spark, str(tmp_path / "a.csv"), infer=False, multi_line=False).collect()
+    (tmp_path / "b.csv").write_text('id,v\n1,"a, b"\n2,c\n')
+    assert rows(readers.scan_plain(spark, str(tmp_path / "b.csv"), multi_line=False)) == [(1, "a, b"), (2, "c")]
+
+
+def test_types_come_from_all_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n" + "".join(f"{i},{i}\n" for i in range(1500)) + "1500,abc\n")
+    path = str(tmp_path / "a.csv")
+    assert readers.scan_plain(spark, path).dtypes == [("id", "bigint"), ("v", "string")]
+    assert readers.scan_raw(spark, path).where("v = 'abc'").count() == 1
+    assert readers.scan_plain(spark, path, infer_rows=1000).dtypes[1] == ("v", "bigint")
+    assert rows(readers.misfits(readers.scan_plain(spark, path, infer=False), 1000)) == [("id", 0), ("v", 1)]
+
+
+def test_ingest_depends_on_its_options(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b\n1;2\n")
+    source, out = str(tmp_path / "a.csv"), str(tmp_path / "out")
+    assert readers.ingest(spark, source, out, ",")[0].columns == ["a;b"]
+    df, reused = readers.ingest(spark, source, out, ";")
+    assert not reused and df.columns == ["a", "b"]
+    assert readers.ingest(spark, source, out, ";")[1]
+    assert not readers.ingest(spark, source, out, ";", infer=False)[1]
+
+
+def test_heads_and_hashes_of_odd_files(spark, tmp_path):
+    import hashlib
+
+    contents = {"empty": b"", "long": b"a;b" * 3_000_000, "lines": b"x|y\r\n\nz\rw\n", "bad": b"\xff\n"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    heads = I.file_heads(spark, str(tmp_path)).collect()
+    got = {r["file"].rsplit("/", 1)[1]: r for r in heads}
+    assert set(got) == set(contents) and got["empty"]["lines"] == [] and len(got["long"]["lines"][0]) == I.LINE_BYTES
+    assert [bytes(x) for x in got["lines"]["lines"]] == [b"x|y", b"", b"z", b"w"]
+    frame = I.file_heads(spark, str(tmp_path))
+    lines = I.head_lines(frame)
+
+    def by_name(df, value):
+        return {r["file"].rsplit("/", 1)[1]: r[value] for r in df.collect()}
+
+    assert by_name(I.encoding_profile(frame), "encoding") == {"empty": "utf8", "long": "utf8", "lines": "utf8", "bad": "utf8-lossy"}
+    assert by_name(I.delimiter_profile(lines), "delimiter") == {"empty": ",", "long": ";", "lines": "|", "bad": ","}
+    assert by_name(I.has_quotes(lines), "has_quotes") == dict.fromkeys(contents, False)
+    hashes = {r["path"].rsplit("/", 1)[1]: r["content_hash"] for r in I.file_hashes(spark, str(tmp_path)).collect()}
+    assert hashes == {name: hashlib.sha256(data).hexdigest() for name, data in contents.items()}
 
 
 def df_plan(df):
