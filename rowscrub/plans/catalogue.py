@@ -80,8 +80,17 @@ def json_of(name: str) -> Column:
 @query
 def csv_scan_plain(spark, folder):
     path = scratch_path(spark, "csv-plain")
-    flat = C.map_columns(table(spark, folder, "documents"), ["text"], X.flatten_newlines)
-    sinks.write_csv(flat, path, ",")
+    sinks.write_csv(table(spark, folder, "documents"), path, ",")
+    return readers.scan_plain(spark, path)
+
+
+@query
+def csv_scan_late_types(spark, folder):
+    """The first code that is no number comes behind thousands of rows."""
+    path = scratch_path(spark, "csv-late")
+    code = F.when(F.col("l_orderkey") >= 900, F.concat(F.lit("k"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", code.alias("code"))
+    sinks.write_csv(lines.orderBy("l_orderkey", "l_linenumber"), path, ",")
     return readers.scan_plain(spark, path)
 
 
@@ -139,13 +148,22 @@ def parquet_scan(spark, folder):
 @query
 def ingest_reuse(spark, folder):
     source, out = scratch_path(spark, "ingest-csv"), scratch_path(spark, "ingest-parquet")
-    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    sinks.write_csv(parts, source, ",")
+    sinks.write_csv(table(spark, folder, "part"), source, ",")
     readers.ingest(spark, source, out)
     again, reused = readers.ingest(spark, source, out)
     return again.withColumn("reused", F.lit(reused))
 
 
+@query
+def ingest_reuse_options(spark, folder):
+    """The same files read with another delimiter are another table."""
+    source, out = scratch_path(spark, "ingest-csv"), scratch_path(spark, "ingest-parquet")
+    sinks.write_csv(table(spark, folder, "part"), source, ";")
+    readers.ingest(spark, source, out, ",")
+    again, reused = readers.ingest(spark, source, out, ";")
+    return again.withColumn("reused", F.lit(reused))
+
+
 @query
 def encoding_profile(spark, folder):
     bad = F.when(F.col("doc_id") % 5 == 0, F.lit(b"\xe4")).otherwise(F.lit(b""))
@@ -165,6 +183,34 @@ def has_quotes(spark, folder):
     return I.has_quotes(I.text_lines(docs, "doc_id", "text", I.QUOTE_LINES))
 
 
+def document_files(spark, folder) -> str:
+    """Text files written from the documents, one for each source, one empty, one without a newline."""
+    path = scratch_path(spark, "files")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source").write.partitionBy("source").text(path)
+    spark.range(0).selectExpr("'' as value").coalesce(1).write.text(f"{path}/source=empty")
+    spark.range(1).selectExpr("'a|b|c' as value").coalesce(1).write.option("lineSep", ";").text(f"{path}/source=single")
+    return f"{path}/source=*/part-*"
+
+
+def source_of(path: Column) -> Column:
+    return F.regexp_extract(path, "source=([^/]+)", 1).alias("source")
+
+
+@query
+def file_profiles(spark, folder):
+    heads = I.file_heads(spark, document_files(spark, folder))
+    lines = I.head_lines(heads)
+    both = I.delimiter_profile(lines).join(I.has_quotes(lines), "file")
+    return I.encoding_profile(heads).join(both, "file").select(source_of(F.col("file")), "encoding", "delimiter", "has_quotes")
+
+
+@query
+def file_hashes(spark, folder):
+    hashes = I.file_hashes(spark, document_files(spark, folder))
+    return hashes.select(source_of(F.col("path")), "content_hash")
+
+
 @query
 def strip_quotes_raw(spark, folder):
     source, out = scratch_path(spark, "raw"), scratch_path(spark, "raw-stripped")
@@ -221,13 +267,12 @@ def csv_bad_row_numbers(spark, folder):
 
 @query
 def csv_quoted_fields(spark, folder):
-    """Lines with quoted delimiters and doubled quotes; the texts come back unchanged."""
-    text = X.flatten_newlines(F.col("text"))
-    cell = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    """Records with quoted delimiters, newlines and doubled quotes; the texts come back unchanged."""
+    cell = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), cell, F.col("lang"))
     lines = table(spark, folder, "documents").select(line.alias("value"))
     header = ["doc_id", "text", "lang"]
-    return S.valid_rows(S.check_records(lines, header), header)
+    return S.valid_rows(S.check_records(lines, header, whole=True), header)
 
 
 @query
@@ -256,24 +301,35 @@ def csv_repair_files(spark, folder):
 def csv_multi_line(spark, folder):
     """Texts with newlines inside quotes, found again across file blocks."""
     source = scratch_path(spark, "multi-line")
-    sinks.write_csv(table(spark, folder, "conversations"), source, ",", quote_all=True)
+    sinks.write_csv(table(spark, folder, "documents"), source, ",", quote_all=True)
     checked, header = S.repair_files(spark, source, multi_line=True)
     return S.valid_rows(checked, header)
 
 
+@query
+def csv_repair_mixed_headers(spark, folder):
+    """Files of one folder with their columns in different orders."""
+    source = scratch_path(spark, "mixed-headers")
+    for odd, fields in enumerate((EVENT_FIELDS, EVENT_FIELDS[::-1])):
+        part = table(spark, folder, "events").where(F.col("event_id") % 2 == odd).select(*fields)
+        sinks.write_csv(part, source, ",", mode="append")
+    checked, header = S.repair_files(spark, source)
+    return S.valid_rows(checked, header).select(*EVENT_FIELDS)
+
+
 # --- sinks ----------------------------------------------------------------------------------
 
 
 def nested_customers(spark, folder) -> DataFrame:
     groups = ["c_name", {"place": ["c_nationkey", "c_mktsegment"]}, "gone", "place"]
-    return C.nest(table(spark, folder, "customer"), ["c_custkey"], groups)
+    return C.nest(table(spark, folder, "customer"), ["c_custkey", "c_acctbal"], groups)
 
 
 @query
 def write_parquet_roundtrip(spark, folder):
     path = scratch_path(spark, "nested")
     sinks.write_parquet(nested_customers(spark, folder), path)
-    return spark.read.parquet(path).select("c_custkey", json_of("additional_info"))
+    return spark.read.parquet(path).select("c_custkey", "c_acctbal", json_of("additional_info"))
 
 
 @query
@@ -289,7 +345,7 @@ def write_parquet_codecs(spark, folder):
 @query
 def write_split(spark, folder):
     path = scratch_path(spark, "split")
-    sinks.write_split(table(spark, folder, "orders").drop("o_totalprice", "o_orderdate"), path, target_mb=1)
+    sinks.write_split(table(spark, folder, "orders"), path, target_mb=1)
     return spark.read.parquet(path)
 
 
@@ -352,13 +408,13 @@ def concat_trimmed(spark, folder):
 
 @query
 def concat_cleaned(spark, folder):
-    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", (F.col("p_size") % 5).alias("size"))
+    parts = table(spark, folder, "part").withColumn("size", F.col("p_size") % 5)
     return C.concat_cleaned(parts, "label", ["p_name", "p_brand", "size"], "/", ["latin_basic", "digits"])
 
 
 @query
 def nest_fields(spark, folder):
-    return nested_customers(spark, folder).select("c_custkey", json_of("additional_info"))
+    return nested_customers(spark, folder).select("c_custkey", "c_acctbal", json_of("additional_info"))
 
 
 @query
@@ -378,7 +434,7 @@ def visible_projection(spark, folder):
 
 @query
 def nest_auto(spark, folder):
-    customers = table(spark, folder, "customer").drop("c_acctbal")
+    customers = table(spark, folder, "customer").withColumn("c_acctbal", F.format_string("%.2f", "c_acctbal"))
     nested = C.nest_auto(customers, ["Name", "id"], {"c_name": " NAME ", "c_custkey": "Id"})
     return nested.select("c_custkey", "c_name", json_of("additional_info"))
 
@@ -416,15 +472,14 @@ def dedup_ordered(spark, folder):
 
 @query
 def dedup_all(spark, folder):
-    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return R.dedup(C.nest(lines, ["l_suppkey"], ["l_linenumber", {"flags": ["l_returnflag", "l_linestatus"]}])).select(
-        "l_suppkey", json_of("additional_info")
-    )
+    lines = table(spark, folder, "lineitem")
+    return R.dedup(R.vstack([lines, lines]))
 
 
 @query
 def dedup_fallback(spark, folder):
-    return R.dedup(table(spark, folder, "orders").select("o_custkey", "o_orderstatus"), ["nope"])
+    orders = table(spark, folder, "orders")
+    return R.dedup(R.vstack([orders, orders]), ["nope"])
 
 
 @query
@@ -600,9 +655,7 @@ def mixed_scripts(spark, folder) -> DataFrame:
 def pattern_profile(spark, folder):
     parts = []
     for name in ("documents", "pages", "part", "customer", "events"):
-        df = table(spark, folder, name)
-        kept = [c for c, kind in df.dtypes if not kind.startswith(("double", "timestamp"))]
-        parts.append(A.pattern_profile(df, kept).withColumn("table_name", F.lit(name)))
+        parts.append(A.pattern_profile(table(spark, folder, name)).withColumn("table_name", F.lit(name)))
     return R.vstack(parts)
 
 
@@ -633,7 +686,7 @@ def table_info(spark, folder):
 
 @query
 def concat_metadata(spark, folder):
-    meta = A.column_metadata(A.pattern_profile(table(spark, folder, "part").drop("p_retailprice")))
+    meta = A.column_metadata(A.pattern_profile(table(spark, folder, "part")))
     merged = A.concat_metadata(meta, "label", ["p_name", "p_brand"], " ")
     lists = [F.array_join(n, "|").alias(n) for n in ("detected_patterns", "detected_display_patterns")]
     return merged.select("hash", "column", *lists, F.array_join("concatenated.source_columns", "|").alias("sources"))
@@ -642,13 +695,24 @@ def concat_metadata(spark, folder):
 @query
 def profile_reuse(spark, folder):
     path = scratch_path(spark, "profile")
-    parts = table(spark, folder, "part").drop("p_retailprice")
+    parts = table(spark, folder, "part")
     A.profile_or_reuse(parts, path)
     saved, reused = A.profile_or_reuse(parts, path)
     patterns = F.array_join("detected_patterns", "|").alias("detected_patterns")
     return saved.select("column", patterns, F.lit(reused).alias("reused"))
 
 
+@query
+def profile_reuse_moved_nulls(spark, folder):
+    """A table with the same values in the other column is another table."""
+    path = scratch_path(spark, "profile")
+    parts, none = table(spark, folder, "part"), F.lit(None).cast("string")
+    A.profile_or_reuse(parts.select("p_partkey", none.alias("p_name"), F.col("p_brand").alias("p_type")), path)
+    saved, reused = A.profile_or_reuse(parts.select("p_partkey", F.col("p_brand").alias("p_name"), none.alias("p_type")), path)
+    patterns = F.array_join("detected_patterns", "|").alias("detected_patterns")
+    return saved.select("column", patterns, F.lit(reused).alias("reused"))
+
+
 # --- complete jobs ----------------------------------------------------------------------------
 
 WORKFLOW = Workflow.from_dict(
@@ -678,6 +742,45 @@ def workflow_cli(spark, folder):
     return result.select("doc_id", "body", json_of("additional_info"), "year", "country_code")
 
 
+def finished_workflow(spark, path: str | list[str]) -> DataFrame:
+    """The standard job from files to files."""
+    out = scratch_path(spark, "workflow-out")
+    W.run_workflow(spark, path, WORKFLOW, out, order_by=["doc_id"])
+    return spark.read.parquet(out).select("doc_id", "body", json_of("additional_info"), "year", "country_code")
+
+
+@query
+def workflow_csv(spark, folder):
+    """From delimited files with newlines inside quotes."""
+    path = scratch_path(spark, "workflow-in")
+    sinks.write_csv(workflow_input(spark, folder), path, ",")
+    return finished_workflow(spark, path)
+
+
+@query
+def workflow_many_files(spark, folder):
+    """From Parquet files that a glob finds."""
+    path = scratch_path(spark, "workflow-in")
+    for i in range(3):
+        workflow_input(spark, folder).where(F.col("doc_id") % 3 == i).write.parquet(f"{path}/part{i}.parquet")
+    return finished_workflow(spark, f"{path}/part*.parquet")
+
+
+@query
+def workflow_case_names(spark, folder):
+    """Columns that differ from the added ones in case only stay beside them."""
+    docs = table(spark, folder, "documents")
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        cased = docs.select("doc_id", F.col("n_chars").alias("Year"), F.upper("source").alias("Label"), "lang")
+        concat = {"name": "label", "source_columns": ["Label", "lang"], "separator": "-"}
+        result = W.cli_workflow(cased, Workflow.from_dict({"concatenations": [concat], "year": 2024}))
+        return result.toDF("doc_id", "given_year", "given_label", "lang", "label", "year", "country_code")
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
 def partial_keys(spark, folder) -> DataFrame:
     value = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
     return table(spark, folder, "events").select("event_id", (F.col("user_id") % 50).alias("k"), value.alias("v"))

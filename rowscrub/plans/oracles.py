@@ -107,7 +107,9 @@ def long_profile(tables: dict[str, list[str]]) -> str:
 
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
+PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 def detected(table: str, columns: list[str]) -> str:
@@ -170,11 +172,13 @@ def oracle_sql() -> dict[str, str]:
     flags = ", ".join(f"regexp_matches(v, {lit(re2(n))}) as {n}" for n in PATTERNS)
     info = """to_json({'label': label, 'origin': {'source': source, 'lang': lang}})::varchar as additional_info"""
     customer_json = """to_json({'c_name': c_name, 'place': {'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment}})::varchar"""
-    nested = f"select c_custkey, {customer_json} as additional_info from customer"
+    nested = f"select c_custkey, c_acctbal, {customer_json} as additional_info from customer"
     cleaned = {c: clean(f"lower({c})") for c in ("body", "label", "lang", "source")}
 
     return {
-        "csv_scan_plain": f"select doc_id, {sub('text', chr(10), ' ')} as text, lang, source, n_chars from documents",
+        "csv_scan_plain": "select doc_id, text, lang, source, n_chars from documents",
+        "csv_scan_late_types": """select l_orderkey, l_linenumber,
+            case when l_orderkey >= 900 then 'k' || l_orderkey else l_orderkey::varchar end as code from lineitem""",
         "csv_scan_raw": """select event_id, user_id,
             case when event_id % 7 = 0 then null else event_type end as event_type,
             case when event_id % 5 = 1 then null when event_id % 11 = 0 then ' NULL'
@@ -185,7 +189,20 @@ def oracle_sql() -> dict[str, str]:
         "strip_dquotes": over_dirty("replace(v, '\"', '')"),
         "utf8_repair": "select doc_id, chr(65533) || text || chr(65533) as replaced, text as dropped from documents",
         "parquet_scan": "select * from conversations",
-        "ingest_reuse": "select p_partkey, p_name, p_brand, p_type, p_size, true as reused from part",
+        "ingest_reuse": "select *, true as reused from part",
+        "ingest_reuse_options": "select *, false as reused from part",
+        "file_profiles": """with whole as (select source, string_split(string_agg(text, chr(10) order by doc_id), chr(10)) as lines
+              from documents group by source),
+            line as (select source, unnest(lines[1:30]) as line from whole),
+            n as (select source, sum(length(line) - length(replace(line, ',', ''))) as a, sum(length(line) - length(replace(line, ';', ''))) as b,
+              sum(length(line) - length(replace(line, chr(9), ''))) as c, sum(length(line) - length(replace(line, '|', ''))) as d
+              from line group by source),
+            quoted as (select source, bool_or(contains(l, '"') or contains(l, chr(39))) as q from (select source, unnest(lines[1:21]) as l from whole) group by source)
+            select source, 'utf8' as encoding, case greatest(a, b, c, d) when a then ',' when b then ';' when c then chr(9) else '|' end as delimiter,
+              q as has_quotes from n join quoted using (source)
+            union all select 'empty', 'utf8', ',', false union all select 'single', 'utf8', '|', false""",
+        "file_hashes": """select source, sha256(string_agg(text || chr(10), '' order by doc_id)) as content_hash from documents group by source
+            union all select 'empty', sha256('') union all select 'single', sha256('a|b|c;')""",
         "encoding_profile": """select doc_id as file,
             case when doc_id % 5 = 0 then 'utf8-lossy' else 'utf8' end as encoding from documents""",
         "delimiter_profile": """with heads as (select doc_id as file, unnest(string_split(text, chr(10))[1:30]) as line from documents),
@@ -208,17 +225,18 @@ def oracle_sql() -> dict[str, str]:
             value as content from checked where n <> 3""",
         "csv_bad_row_numbers": f"""with {CHECKED}, numbered as (select *, row_number() over (order by event_id) + 1 as row_number from checked)
             select row_number, 'structure' as error_type, {WRONG} as description, value as content from numbered where n <> 3""",
-        "csv_quoted_fields": f"select doc_id::varchar as doc_id, {sub('text', chr(10), ' ')} as text, lang from documents",
+        "csv_quoted_fields": "select doc_id::varchar as doc_id, text, lang from documents",
         "csv_type_errors": """select event_id, 'processing' as error_type, 'Ошибка обработки: user_id is not bigint' as description,
             event_id || ',x' as content from events where event_id % 6 = 0""",
         "csv_repair_counts": f"""with {CHECKED} select case when n = 3 then 'valid' else 'structure' end as error_type,
             count(*) as records from checked group by 1""",
         "csv_repair_files": f"""with {CHECKED} select event_id, split_part(value, ',', 2)::bigint as user_id,
             split_part(value, ',', 3) as event_type from checked where n = 3""",
-        "csv_multi_line": "select conv_id::varchar as conv_id, turn::varchar as turn, role, text from conversations",
+        "csv_multi_line": "select doc_id::varchar as doc_id, text, lang, source, n_chars::varchar as n_chars from documents",
+        "csv_repair_mixed_headers": "select event_id::varchar as event_id, user_id::varchar as user_id, event_type from events",
         "write_parquet_roundtrip": nested,
         "write_parquet_codecs": """select s_suppkey, s_name, unnest(['zstd', 'snappy', 'gzip', 'none']) as codec from supplier""",
-        "write_split": "select o_orderkey, o_custkey, o_orderstatus, o_orderpriority from orders",
+        "write_split": "select * from orders",
         "write_csv_minimal": "select * from conversations",
         "write_csv_quoted": f"""with {DIRTY} select '"' || doc_id || '"|"' ||
             coalesce(replace({sub('v', r'\r\n|\n|\r', ' ')}, '"', '""'), '') || '"' as line from dirty""",
@@ -231,16 +249,18 @@ def oracle_sql() -> dict[str, str]:
             status || '-' || o_orderkey || '-' || o_orderpriority as label from orders""",
         "concat_trimmed": f"""select conv_id, turn, role, turn || ': ' || role || ': ' ||
             {trim_ws("('  ' || text || chr(9) || chr(10))")} as said from conversations""",
-        "concat_cleaned": f"""with k as (select p_partkey, lower({keep('p_name', ['latin_basic', 'digits'])}) as p_name,
+        "concat_cleaned": f"""with k as (select * exclude (p_name, p_brand), lower({keep('p_name', ['latin_basic', 'digits'])}) as p_name,
             lower({keep('p_brand', ['latin_basic', 'digits'])}) as p_brand, (p_size % 5)::varchar as size from part),
-            n as (select p_partkey, {nullify('p_name')} as p_name, {nullify('p_brand')} as p_brand, {nullify('size')} as size from k)
+            n as (select * exclude (p_name, p_brand, size), {nullify('p_name')} as p_name, {nullify('p_brand')} as p_brand,
+              {nullify('size')} as size from k)
             select *, p_name || '/' || p_brand || '/' || size as label from n""",
         "nest_fields": nested,
         "add_metadata": "select *, 2024 as year, 'kg' as country_code from nation",
         "cast_to_text": "select doc_id::varchar as doc_id, quality::varchar as quality, toxic::varchar as toxic from labels",
         "visible_projection": "select s_suppkey, s_name as supplier from supplier",
         "nest_auto": """select c_custkey, c_name,
-            to_json({'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment})::varchar as additional_info from customer""",
+            to_json({'c_nationkey': c_nationkey, 'c_acctbal': printf('%.2f', c_acctbal), 'c_mktsegment': c_mktsegment})::varchar
+            as additional_info from customer""",
         "nest_auto_exact": """select n_nationkey, to_json({'n_name': n_name, 'n_regionkey': n_regionkey})::varchar as additional_info
             from nation""",
         "require_not_null": over_dirty("v", "where v is not null"),
@@ -248,9 +268,8 @@ def oracle_sql() -> dict[str, str]:
         "dedup_subset": "select distinct user_id, nullif(event_type, 'error') as event_type from events",
         "dedup_ordered": """select event_id, user_id, event_type, props from events
             qualify row_number() over (partition by user_id, event_type order by event_id) = 1""",
-        "dedup_all": """select distinct l_suppkey, to_json({'l_linenumber': l_linenumber,
-            'flags': {'l_returnflag': l_returnflag, 'l_linestatus': l_linestatus}})::varchar as additional_info from lineitem""",
-        "dedup_fallback": "select distinct o_custkey, o_orderstatus from orders",
+        "dedup_all": "select distinct * from lineitem",
+        "dedup_fallback": "select distinct * from orders",
         "head_rows": "select doc_id, lang from documents order by doc_id limit 5000",
         "slice_rows": "select conv_id, turn, text from conversations order by conv_id, turn limit 50 offset 100",
         "vstack": """select doc_id as id, text from documents union all select item_id, text from benchmark
@@ -289,8 +308,8 @@ def oracle_sql() -> dict[str, str]:
                 "documents": DOC_COLUMNS,
                 "pages": ["page_id", "url", "html"],
                 "part": PART_COLUMNS,
-                "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-                "events": ["event_id", "user_id", "event_type", "props"],
+                "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+                "events": EVENT_COLUMNS,
             }
         ),
         "column_metadata": f"""with d as ({detected('documents', DOC_COLUMNS)}),
@@ -315,14 +334,18 @@ def oracle_sql() -> dict[str, str]:
               (select string_agg(p, '|' order by p) from p) as detected_patterns,
               (select string_agg(l, '|' order by l) from l) as detected_display_patterns, 'p_name|p_brand' as sources""",
         "profile_reuse": f"""select "column", patterns as detected_patterns, true as reused from ({detected('part', PART_COLUMNS)})""",
-        "workflow_cli": f"""with {INPUT},
+        "profile_reuse_moved_nulls": f"""with moved as (select p_partkey, p_brand as p_name, null::varchar as p_type from part)
+            select "column", patterns as detected_patterns, false as reused from ({detected('moved', ['p_partkey', 'p_name', 'p_type'])})""",
+        "workflow_case_names": """select doc_id, n_chars as given_year, source as given_label, lang, source || '-' || lang as label,
+            2024 as "year", 'ru' as country_code from documents""",
+        **dict.fromkeys(("workflow_csv", "workflow_many_files", "workflow_cli"), f"""with {INPUT},
             ruled as (select doc_id, {keep('v', KEPT)} as body, {keep('source', ['latin_basic', 'digits'])} as source,
               {keep('lang', ['latin_basic', 'digits'])} as lang from input),
             joined as (select *, source || ' ' || lang as label from ruled),
             cleaned as (select doc_id, {', '.join(f'{x} as {c}' for c, x in cleaned.items())} from joined),
             nulled as (select doc_id, {', '.join(f'{nullify(c)} as {c}' for c in cleaned)} from cleaned),
             firsts as (select * from nulled where body is not null qualify row_number() over (partition by body order by doc_id) = 1)
-            select doc_id, body, {info}, 2024 as "year", 'ru' as country_code from firsts""",
+            select doc_id, body, {info}, 2024 as "year", 'ru' as country_code from firsts"""),
         "workflow_lib": f"""with t as (select event_id, user_id % 50 as k,
               {keep("case when event_id % 3 <> 0 then event_type end", ['latin_basic'])} as kind from events),
             n as (select event_id, k, {nullify(clean('kind'))} as kind from t),
