@@ -205,8 +205,11 @@ def run_workflow(
     """Read, clean and write in one job. CSV output exists in the ``lib`` variant only.
 
     ``path`` is a file, a folder, a glob, or several of these. ``multi_line`` says whether quoted fields of
-    delimited input may hold newlines. ``tasks`` deals an input of fewer row groups out to so many tasks.
+    delimited input may hold newlines. ``tasks`` deals an input of fewer row groups out to so many tasks. An
+    ``out`` that ends in a slash is a folder, in which the workflow's own output name is used.
     """
+    if out.endswith("/") and wf.output_filename:
+        out += wf.output_filename
     paths = [path] if isinstance(path, str) else list(path)
     if all(p.rstrip("/").lower().endswith(".parquet") for p in paths):
         df = spark.read.parquet(*paths)

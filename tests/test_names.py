@@ -13,6 +13,18 @@ def test_transliterate(column):
     assert column(N.transliterate, whole, whole.upper()) == [latin, latin]
 
 
+def test_every_letter(column):
+    """The whole table once more, written out here and not taken from the engine."""
+    want = (
+        "а a б b в v г g д d е e ё e ж zh з z и i й y к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh щ shch ы y э e ю yu я ya"
+    ).split()
+    letters, latin = want[::2], want[1::2]
+    assert column(N.transliterate, *letters) == latin
+    assert column(N.transliterate, *[c.upper() for c in letters]) == latin
+    assert column(N.transliterate, "ъ", "ь", "Ъ", "Ь") == [""] * 4
+    assert [c for c in ("ru", "kg", "uz", "tm", "ua", "by", "nl", "az", "kz", "en") if column(N.valid_country, c)[0]] == "ru kg uz tm ua by nl az".split()
+
+
 def test_sanitize_name(column):
     values = ["Мой файл, v1.2", "!!!", "a..b", "-x-", "", None]
     assert column(N.sanitize_name, *values) == ["moy_fayl_v1_2", "data", "a_b", "x", "data", None]

@@ -140,3 +140,24 @@ def test_catalogue():
     assert "Ү" not in P.characters("cyrillic_extended")
     assert P.names_of_labels([":", "Пробел"]) == ["space", "colon"]
     assert P.label_of("nope") == "nope"
+
+
+MEMBERS = {
+    "kazakh_cyrillic": "ӘәІіҰұ", "uzbek_cyrillic": "ЎўҲҳ", "cyrillic_common": "АЯаяЁёЖж", "cyrillic_extended": "ӨөүұҢңҚқҒғ",
+    "latyn_kazakh": "äÄğĞıİñÑşŞ", "latyn_uzbek": "\u02bb\u02bc", "latin_basic": "AZazMm", "latin_extended": "öÖüÜ", "digits": "059",
+    "space": " ", "newline": "\n", "colon": ":", "semicolon": ";", "hyphen": "-", "underscore": "_", "period": ".", "comma": ",",
+    "backslash": "\\", "forward_slash": "/", "vertical_bar": "|", "double_quote": '"', "single_quote": "'", "dollar": "$", "at": "@",
+    "hash": "#", "asterisk": "*",
+}
+"""Members of every class of single characters, written out here and not taken from the engine."""
+
+
+def test_members_of_every_class(column):
+    shared = {"ұ"}  # in two classes
+    everything = "".join(MEMBERS.values()) + "Ү+=é\t"
+    for name, members in MEMBERS.items():
+        got = column(lambda c, n=name: X.matches_pattern(c, n), *everything)
+        assert {ch for ch, found in zip(everything, got, strict=True) if found} == set(members) | (shared & set(members)), name
+    assert column(lambda c: X.matches_pattern(c, "literal_escaped_space"), "a\\u0020", " ") == [True, False]
+    assert column(lambda c: X.matches_pattern(c, "literal_escaped_newline"), "a\\u000A", "\n") == [True, False]
+    assert len(MEMBERS) + 2 == 28

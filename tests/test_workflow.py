@@ -187,3 +187,13 @@ def test_current_year_is_the_default(spark):
 def test_all_columns_of_a_struct_table(spark):
     df = spark.createDataFrame([(1, "a")] * 2, "n int, v string").select("n", F.struct("v").alias("s"))
     assert W.cli_workflow(df, Workflow(year=2024)).count() == 1
+
+
+def test_output_name_several_inputs_and_plan(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i, f"Text {i}")], "id int, t string").write.parquet(str(tmp_path / f"in{i}.parquet"))
+    wf = Workflow.from_dict({"year": 2024, "output_filename": "done.parquet"})
+    W.run_workflow(spark, [str(tmp_path / "in[01].parquet"), str(tmp_path / "in2.parquet")], wf, f"{tmp_path}/")
+    assert spark.read.parquet(str(tmp_path / "done.parquet")).count() == 3
+    plan = plan_of(W.cli_workflow(spark.read.parquet(str(tmp_path / "in0.parquet")), wf))
+    assert "HashAggregate" in plan and "Sort [" not in plan and "Window" not in plan
