@@ -145,6 +145,36 @@ select l.doc_id, len(l.ws)::bigint as n_words, coalesce(w.n_hit, 0)::bigint as n
 from lowered l left join word w using (doc_id) left join found f using (doc_id)
 """
 
+STRINGS_SQL = """
+with whole as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), block as (
+    select doc_id, base, substr(h, 2 * base + 1, 2198) as part
+    from (select doc_id, h, unnest(range(0, length(h) // 2 - 99, 1000)) as base from whole where length(h) >= 200)
+), piece as (
+    select doc_id, base + i as i, substr(part, 2 * i + 1, 200) as k
+    from (select doc_id, base, part, unnest(range(0, least(length(part) // 2 - 99, 1000))) as i from block)
+), first as (
+    select k, min(doc_id::hugeint * 4294967296 + i) as place from piece group by k having count(*) > 1
+), again as (
+    select p.doc_id, p.i from piece p join first f on p.k = f.k where p.doc_id::hugeint * 4294967296 + p.i > f.place
+), marked as (
+    select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as opens from again
+), span as (
+    select doc_id, run, min(i) as a, max(i) + 100 as b
+    from (select doc_id, i, sum(opens) over (partition by doc_id order by i) as run from marked) group by doc_id, run
+), gap as (
+    select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from span
+), kept as (
+    select g.doc_id, count(*) as n_spans, sum(b - a) as n_removed,
+           string_agg(substr(h, (2 * before + 1)::bigint, (2 * (a - before))::bigint), '' order by a) || substr(any_value(h), (2 * max(b) + 1)::bigint) as rest
+    from gap g join whole w using (doc_id) group by g.doc_id
+)
+select w.doc_id, length(h)::bigint // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(rest, h))) as kept_sha256
+from whole w left join kept k using (doc_id)
+"""
+
 SUBSTRING_SQL = r"""
 with split as (
     select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents
@@ -168,6 +198,7 @@ from split s left join kept k using (doc_id)
 
 ORACLES: dict[str, str] = {
     "op2_preference_pairs": PREFERENCE_SQL,
+    "op5_prefix_free_parsing": STRINGS_SQL,
     "op6_fm_index_decontamination": DECONTAMINATION_SQL,
     "op7_difference_cover_substrings": SUBSTRING_SQL,
 }
