@@ -156,12 +156,12 @@ def by_name(df, value):
 def test_file_profiles(spark, files):
     heads = I.file_heads(spark, files).cache()
     encodings = by_name(I.encoding_profile(heads), "encoding")
-    assert encodings.pop("bad") == "utf8-lossy" and set(encodings.values()) == {"utf8"} and len(encodings) == 6  # an empty file has no head
+    assert encodings.pop("bad") == "utf8-lossy" and set(encodings.values()) == {"utf8"} and len(encodings) == 7
     lines = I.head_lines(heads)
     delimiters = by_name(I.delimiter_profile(lines), "delimiter")
-    assert delimiters == {"comma": ",", "semi": ";", "none": ",", "quoted": ",", "late": "|", "bad": ",", "cut": ","}
+    assert delimiters == {"comma": ",", "semi": ";", "none": ",", "quoted": ",", "late": "|", "bad": ",", "cut": ",", "empty": ","}
     quotes = by_name(I.has_quotes(lines), "has_quotes")
-    assert quotes["quoted"] and not quotes["late"] and not quotes["semi"]
+    assert quotes["quoted"] and not quotes["late"] and not quotes["semi"] and not quotes["empty"]
 
 
 def test_heads_do_not_read_whole_files(spark, tmp_path):
