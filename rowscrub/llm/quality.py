@@ -121,12 +121,21 @@ def _distance() -> Column:
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
+SALTS = 32  # tasks that share the rows of one group where these meet its estimate
+
+
+def _beside(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+    """The rows of every group with its estimate. A group is dealt to several tasks, so that its rows are added up there first."""
+    spread = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return vectors.withColumn("salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)).cast("int")).join(spread, ["group", "salt"]).drop("salt")
+
+
 def _start(vectors: DataFrame) -> DataFrame:
     """Medians and median deviations of every group as the first estimate."""
     medians = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(v, 0.5).alias(v) for v in VECTOR))
     middle = medians.select("group", "n", *(F.col(v).alias(f"m_{v}") for v in VECTOR))
     spread = (
-        vectors.join(middle, "group")
+        _beside(vectors, middle)
         .groupBy("group")
         .agg(F.first("n").alias("n"), *(F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR), *(F.percentile(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(v) for v in VECTOR))
     )
@@ -154,7 +163,7 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     products = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}_{j}") for i, j in pairs]
     class_of = F.least(F.floor(16 * F.log1p(4 * F.col("d2"))), F.lit(CLASSES - 1)).cast("int")
     summed = (
-        vectors.join(estimate.select("group", "n", "centre", "inverse"), "group")
+        _beside(vectors, estimate.select("group", "n", "centre", "inverse"))
         .withColumn("d2", _distance())
         .groupBy("group", class_of.alias("class"))
         .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"), *sums, *products)
