@@ -72,11 +72,15 @@ def dedup(
 
 
 def head_rows(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
-    """First ``n`` rows; with an order, Spark takes the top ``n`` of each task and merges them."""
+    """First ``n`` rows; with an order, Spark takes the top ``n`` of each task and merges them.
+
+    The rows end up in one task, so this is for heads, not for large parts of a table.
+    """
     return (df.orderBy(*[ref(o) for o in order_by]) if order_by else df).limit(n)
 
 
 def slice_rows(df: DataFrame, offset: int, length: int, order_by: Sequence[str] | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + length``, which one task gathers together with those before them."""
     return (df.orderBy(*[ref(o) for o in order_by]) if order_by else df).offset(offset).limit(length)
 
 
