@@ -43,6 +43,7 @@ BANDS, BAND_ROWS = 16, 4
 IDF_SHARE = 0.1
 BLOCK = 512
 """Documents of a block of candidates, on average."""
+SALTS = 16
 LOW = U64(0xFFFFFFFF)
 STEPS_OF_TWO = 8  # document frequencies are rounded to eighths of a power of two
 
@@ -68,7 +69,8 @@ class Shingles:
             h[np.searchsorted(owner, d)] = short.sum(dtype=U64)
         # The bucket comes from the upper half, 32 bits within it from the lower half.
         keys = ((h >> U64(32)) % U64(buckets) << U64(32)) | (h & LOW)
-        order = np.lexsort((keys, owner))
+        by_key = np.argsort(keys)
+        order = by_key[np.argsort(owner[by_key], kind="stable")]
         keys, owner = keys[order], owner[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
@@ -124,20 +126,26 @@ def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray
     logs = np.log(weights.astype(np.float32))
     seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, count, dtype=np.uint64) * U64(2) + U64(1)
     base = mixed(keys)
-    piece = 1 << 18
+
+    def drawn(part: np.ndarray | slice, seed: np.uint64) -> tuple[np.ndarray, ...]:
+        """r, ln c, beta and t of these shingles."""
+        x = base[part] * seed
+        r = np.take(GAMMA, (x >> U64(48)).view(np.int64), mode="clip")
+        log_c = np.take(LOG_GAMMA, (x >> U64(32) & U64(0xFFFF)).view(np.int64), mode="clip")
+        beta = (x >> U64(16)).astype(np.uint16) * np.float32(1 / 65536)
+        return r, log_c, beta, np.floor(logs[part] / r + beta)
+
+    piece = 1 << 16
+    packed = np.empty(len(keys), U64)
     for k in range(count):
-        packed = np.empty(len(keys), U64)
         for a in range(0, len(keys), piece):
-            x = base[a : a + piece] * seeds[k]
-            r = GAMMA[(x >> U64(48)).astype(np.int64)]
-            beta = ((x >> U64(16)) & U64(0xFFFF)).astype(np.float32) / np.float32(65536)
-            t = np.floor(logs[a : a + piece] / r + beta)
-            value = LOG_GAMMA[((x >> U64(32)) & U64(0xFFFF)).astype(np.int64)] - r * (t - beta + 1)
-            order = value.astype(np.float32).view(np.int32)
-            # As an unsigned number in the order of the values, with the sample's identity behind it.
-            order = np.where(order < 0, ~order, order ^ np.int32(-(2**31))).view(np.uint32)
-            packed[a : a + piece] = (order.astype(U64) << U64(32)) | ((base[a : a + piece] ^ (t.astype(np.int64).astype(U64) * MULTIPLIER)) & LOW)
-        found[:, k] = np.minimum.reduceat(packed, starts) & LOW
+            r, log_c, beta, t = drawn(slice(a, a + piece), seeds[k])
+            bits_ = (log_c - r * (t - beta + np.float32(1))).view(np.int32)
+            # As an unsigned number in the order of the values, with the shingle's place behind it.
+            order = np.where(bits_ < 0, ~bits_, bits_ ^ np.int32(-(2**31))).view(np.uint32)
+            packed[a : a + piece] = (order.astype(U64) << U64(32)) | np.arange(a, min(a + piece, len(keys)), dtype=U64)
+        least = (np.minimum.reduceat(packed, starts) & LOW).astype(np.int64)
+        found[:, k] = mixed(base[least] + drawn(least, seeds[k])[3].astype(np.int64).astype(U64) * MULTIPLIER) & LOW
     return found
 
 
@@ -338,8 +346,11 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, block:
     pairs = written(pairs.join(nodes, "node"), "candidates")
     labels = components(_links(chunked, frequencies, pairs, buckets, similarity, block))
     classes = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return classes.join(least, "label", "left").select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    # Only classes of several documents have a least one to look up; a large one is looked up in several tasks.
+    least = classes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    spread = least.select("label", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = classes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["label", "salt"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _links(chunked: Chunked, frequencies: DataFrame, pairs: DataFrame, buckets: int, similarity: float, block: int) -> DataFrame:
