@@ -45,13 +45,28 @@ UNIT = 1000  # a fixed-point one
 STEPS = 6  # concentration steps
 CLASSES = 256  # distance classes of a group
 LEAST_ROWS = 100  # a smaller group has too few rows for an estimate: base rules only
-FLOOR = (0.35, 0.12, 0.7, 0.7, 0.7)  # least standard deviation of each number
-BOUND = 8.0  # distance beyond which a vector is an outlier
+FLOOR = (0.35, 0.12, 0.7, 0.35, 0.7)  # least standard deviation of each number; each can exceed the bound by itself
 
 VECTOR = ("v0", "v1", "v2", "v3", "v4")
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _radii() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of normal rows from their centre, with the density and the share of the rows within each."""
+    r = np.linspace(0, 12, 24001)
+    density = r ** (len(VECTOR) - 1) * np.exp(-r * r / 2)
+    return r, density / density.sum(), np.cumsum(density) / density.sum()
+
+
+def chi_bound(share: float) -> float:
+    """The distance within which `share` of normal rows lie: root of the chi-square quantile, a degree of freedom a number."""
+    r, _, mass = _radii()
+    return float(r[np.searchsorted(mass, share)])
+
+
+BOUND = chi_bound(0.999)  # distance beyond which a vector is an outlier
+
+
 def _has_word(line: str) -> bool:
     return bool(line.strip(" \t\n\v\f\r"))
 
@@ -147,12 +162,9 @@ def _start(vectors: DataFrame) -> DataFrame:
 
 def _consistency(share: float) -> float:
     """Factor by which the covariance of the nearest `share` of normal rows is too small, by simulation-free integration."""
-    p = len(VECTOR)
-    r = np.linspace(0, 12, 24001)
-    density = r ** (p - 1) * np.exp(-r * r / 2)
-    mass = np.cumsum(density) / density.sum()
+    r, density, mass = _radii()
     edge = np.searchsorted(mass, share)
-    return share * p / float((r[:edge] ** 2 * density[:edge]).sum() / density.sum()) if share < 1 else 1.0
+    return share * len(VECTOR) / float((r[:edge] ** 2 * density[:edge]).sum()) if share < 1 else 1.0
 
 
 def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:

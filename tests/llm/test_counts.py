@@ -16,7 +16,7 @@ from rowscrub.llm.chat import conversations, parroted, preference_pairs
 from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import Scanner, license_scan, rules, suppressed
 from rowscrub.llm.packing import best_fit, complete, pack, pack_documents
-from rowscrub.llm.quality import quality_outliers
+from rowscrub.llm.quality import chi_bound, quality_outliers
 from rowscrub.llm.tokens import longest_prefix, prefix_token_counts, tokens_of_prefix, vocabulary
 
 
@@ -83,6 +83,36 @@ def test_quality_outliers_rejected(spark):
     assert {i for i, (kept,) in got.items() if not kept} == set(range(0, 400, 40))
 
 
+QUALITY = "doc_id long, text string, lang string, source string"
+
+
+def fresh(draw, n):
+    """n words that hardly ever repeat."""
+    return ["w%d" % draw.randrange(10**6) for _ in range(n)]
+
+
+def odd_in_one(draw):
+    """A text each that is odd in repeated lines, in repeated words, and in one or two symbols a word, alone."""
+    lines = "\n".join(line for word in fresh(draw, 90) for line in (word, "-"))
+    again = fresh(draw, 45)
+    repeated = " ".join(again + fresh(draw, 100) + again)
+    return [lines, repeated, *(" ".join(word + sign for word in fresh(draw, 150)) for sign in ("#", "#|"))]
+
+
+def test_quality_odd_in_one_statistic(spark):
+    draw = random.Random(11)
+    rows = [(i, " ".join(fresh(draw, draw.randint(80, 300))), "en", "s") for i in range(400)]
+    rows += [(1000 + i, text, "en", "s") for i, text in enumerate(odd_in_one(draw))]
+    got = by_id(quality_outliers(spark.createDataFrame(rows, QUALITY)), "base_failed", "kept")
+    assert not any(got[1000 + i][0] for i in range(4))
+    assert [i for i, (_, kept) in got.items() if not kept and i < 1000] == []
+    assert [got[1000 + i][1] for i in range(4)] == [False] * 4
+
+
+def test_quality_bound():
+    assert abs(chi_bound(0.999) ** 2 - 20.515) < 0.02 and abs(chi_bound(0.975) ** 2 - 12.833) < 0.02
+
+
 def test_quality_odd_tables(odd, empty):
     assert quality_outliers(empty).count() == 0
     assert [r["kept"] for r in quality_outliers(odd).collect()] == [False] * 6
