@@ -3,7 +3,8 @@
 Each document's statistics become a vector of transformed numbers. For every language and source the
 minimum-covariance-determinant estimate of centre and covariance is found by concentration steps: from a start at the
 medians, the half of the rows that lies nearest by Mahalanobis distance gives the next centre and covariance. A document
-whose distance to the final estimate exceeds a bound is rejected.
+whose distance to the final estimate exceeds a bound is rejected. A group of few rows is judged by the estimate of all
+rows of its language, and if these are few too, by the estimate of all rows.
 
 Rows are never gathered: a step adds up, for each group and distance class, counts, sums and products, inside the tasks
 before any shuffle, and a group's next estimate is worked out from these at most `CLASSES` rows. The numbers are
@@ -44,7 +45,8 @@ MAX_REPEAT = 50  # percent of the words
 UNIT = 1000  # a fixed-point one
 STEPS = 6  # concentration steps
 CLASSES = 256  # distance classes of a group
-LEAST_ROWS = 100  # a smaller group has too few rows for an estimate: base rules only
+LEAST_ROWS = 100  # a smaller group has too few rows for an estimate of its own
+POOLS = ("group", "language", "everything")  # whose estimate judges a row: the first that has one
 FLOOR = (0.35, 0.12, 0.7, 0.35, 0.7)  # least standard deviation of each number; each can exceed the bound by itself
 
 VECTOR = ("v0", "v1", "v2", "v3", "v4")
@@ -129,35 +131,54 @@ def _vector() -> list[Column]:
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance from the group's centre, by its inverse covariance."""
+    """Squared Mahalanobis distance from the centre, by its inverse covariance."""
     apart = [F.col(v) / UNIT - F.col("centre")[i] for i, v in enumerate(VECTOR)]
     n = len(VECTOR)
     terms = [apart[i] * apart[j] * F.col("inverse")[i * n + j] for i in range(n) for j in range(n)]
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-SALTS = 32  # tasks that share the rows of one group where these meet its estimate
+SALTS = (32, 512, 512)  # tasks that share the rows of one pool where these meet its estimate, by level
 
 
-def _beside(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The rows of every group with its estimate. A group is dealt to several tasks, so that its rows are added up there first."""
-    spread = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return vectors.withColumn("salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)).cast("int")).join(spread, ["group", "salt"]).drop("salt")
+def _pooled(statistics: DataFrame) -> DataFrame:
+    """The rows that pass the base rules, once for each pool that needs an estimate: its key, level and number of rows.
+
+    These are the groups of `LEAST_ROWS` rows, the languages of as many rows that have a smaller group, and, if a language
+    is smaller, everything.
+    """
+    sound = statistics.where(~F.col("base_failed"))
+    counts = via_table(sound.groupBy("group", "language", "everything").agg(F.count(F.lit(1)).alias("n")), "counts")
+    languages = counts.groupBy("language", "everything").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    total = languages.groupBy("everything").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    enough = F.col("n") >= LEAST_ROWS
+    needed = [counts.where(enough), languages.where(enough & (F.col("least") < LEAST_ROWS)), total.where(F.col("least") < LEAST_ROWS)]
+    pools = [found.select(F.col(name).alias("pool"), F.lit(level).alias("level"), "n") for level, (name, found) in enumerate(zip(POOLS, needed, strict=True))]
+    keys = [F.struct(F.col(name).alias("pool"), F.pmod(F.xxhash64("doc_id", *VECTOR), F.lit(salts)).cast("int").alias("salt")) for name, salts in zip(POOLS, SALTS, strict=True)]
+    rows = sound.select(F.explode(F.array(*keys)).alias("key"), *VECTOR).select("key.*", *VECTOR)
+    return via_table(_beside(rows, pools[0].unionByName(pools[1]).unionByName(pools[2])).select("pool", "level", "n", "salt", *VECTOR), "pooled")
+
+
+def _beside(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """The rows of every pool with its estimate. A pool is dealt to several tasks, so that its rows are added up there first."""
+    salts = F.get(F.array(*map(F.lit, SALTS)), F.col("level"))
+    spread = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.join(spread, ["pool", "salt"])
 
 
 def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and median deviations of every group as the first estimate."""
-    medians = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(v, 0.5).alias(v) for v in VECTOR))
-    middle = medians.select("group", "n", *(F.col(v).alias(f"m_{v}") for v in VECTOR))
+    """Medians and median deviations of every pool as the first estimate."""
+    medians = vectors.groupBy("pool", "level", "n").agg(*(F.percentile(v, 0.5).alias(v) for v in VECTOR))
+    middle = medians.select("pool", "level", "n", *(F.col(v).alias(f"m_{v}") for v in VECTOR))
     spread = (
-        _beside(vectors, middle)
-        .groupBy("group")
-        .agg(F.first("n").alias("n"), *(F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR), *(F.percentile(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(v) for v in VECTOR))
+        _beside(vectors.drop("level", "n"), middle)
+        .groupBy("pool", "level", "n")
+        .agg(*(F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR), *(F.percentile(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(v) for v in VECTOR))
     )
     size = len(VECTOR)
     scale = [F.pow(F.greatest(1.4826 * F.col(v) / UNIT, F.lit(FLOOR[i])), F.lit(-2.0)) for i, v in enumerate(VECTOR)]
     flat = [scale[i] if i == j else F.lit(0.0) for i in range(size) for j in range(size)]
-    return spread.select("group", "n", F.array(*(F.col(f"m_{v}") / UNIT for v in VECTOR)).alias("centre"), F.array(*flat).alias("inverse"))
+    return spread.select("pool", "level", "n", F.array(*(F.col(f"m_{v}") / UNIT for v in VECTOR)).alias("centre"), F.array(*flat).alias("inverse"))
 
 
 def _consistency(share: float) -> float:
@@ -168,17 +189,17 @@ def _consistency(share: float) -> float:
 
 
 def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The next estimate: mean and covariance of the half of each group that lies nearest to this one."""
+    """The next estimate: mean and covariance of the half of each pool that lies nearest to this one."""
     size = len(VECTOR)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)]
     products = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}_{j}") for i, j in pairs]
     class_of = F.least(F.floor(16 * F.log1p(4 * F.col("d2"))), F.lit(CLASSES - 1)).cast("int")
     summed = (
-        _beside(vectors, estimate.select("group", "n", "centre", "inverse"))
+        _beside(vectors.drop("level", "n"), estimate)
         .withColumn("d2", _distance())
-        .groupBy("group", class_of.alias("class"))
-        .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"), *sums, *products)
+        .groupBy("pool", "level", "n", class_of.alias("class"))
+        .agg(F.count(F.lit(1)).alias("rows"), *sums, *products)
     )
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
@@ -196,30 +217,34 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
         covariance = covariance * _consistency(m / n) + np.diag(np.square(FLOOR)) * 0.5
         low = np.maximum(np.square(FLOOR) / np.diag(covariance), 1.0)
         covariance = covariance * np.sqrt(np.outer(low, low))
-        return pd.DataFrame({"group": [rows["group"].iloc[0]], "n": [n], "centre": [[x / UNIT for x in mean]], "inverse": [np.linalg.inv(covariance).ravel().tolist()]})
+        return pd.DataFrame({"pool": [rows["pool"].iloc[0]], "level": [rows["level"].iloc[0]], "n": [n], "centre": [[x / UNIT for x in mean]], "inverse": [np.linalg.inv(covariance).ravel().tolist()]})
 
-    return summed.groupBy("group").applyInPandas(step, "group long, n long, centre array<double>, inverse array<double>")
+    return summed.groupBy("pool").applyInPandas(step, "pool long, level int, n long, centre array<double>, inverse array<double>")
 
 
 def quality_outliers(documents: DataFrame, steps: int = STEPS, bound: float = BOUND) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and the distance from the estimate of the document's language and source.
 
-    Null texts have no words. Null languages and sources form groups of their own; a group below `LEAST_ROWS` rows has
-    no estimate (distance null) and only the base rules hold there. Repeated rows count and are judged each. An empty
-    table gives an empty result. Documents that fail a base rule take no part in the estimates.
+    Null texts have no words. Null languages and sources form groups of their own. A group below `LEAST_ROWS` rows is judged
+    by the estimate of its language, one of a language below as many by that of all documents, however few. The distance is
+    null only for documents that fail a base rule and have no estimate to be held against. Repeated rows count and are judged
+    each. An empty table gives an empty result. Documents that fail a base rule take no part in the estimates.
     """
+    keys = [(0, "lang", "source"), (1, "lang"), (2,)]
     grouped = quality_statistics(documents).select(
         "doc_id",
         *STATISTICS,
-        F.xxhash64(F.struct(F.isnull("lang"), "lang", F.isnull("source"), "source")).alias("group"),
+        *(F.xxhash64(F.lit(level), *(x for c in columns for x in (F.isnull(c), F.col(c)))).alias(name) for name, (level, *columns) in zip(POOLS, keys, strict=True)),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))).alias("base_failed"),
         *_vector(),
     )
-    statistics = via_table(grouped, "statistics")
-    sound = statistics.where(~F.col("base_failed")).select("group", *VECTOR)
-    estimate = via_table(_start(sound).where(F.col("n") >= LEAST_ROWS), "estimate")
+    judged = via_table(grouped, "statistics")
+    vectors = _pooled(judged)
+    estimate = via_table(_start(vectors), "estimate")
     for _ in range(steps):
-        estimate = via_table(_concentrate(sound, estimate), "estimate")
-    judged = statistics.join(estimate.select("group", "centre", "inverse"), "group", "left").withColumn("distance", F.sqrt(_distance()))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= bound))
+        estimate = via_table(_concentrate(vectors, estimate), "estimate")
+    for level, name in enumerate(POOLS):
+        judged = judged.join(estimate.where(F.col("level") == level).select(F.col("pool").alias(name), F.struct("centre", "inverse").alias(f"by_{name}")), name, "left")
+    judged = judged.select("*", F.coalesce(*(f"by_{name}" for name in POOLS)).alias("by")).select("*", "by.*").withColumn("distance", F.sqrt(_distance()))
+    kept = ~F.col("base_failed") & (F.col("distance") <= bound)
     return judged.select("doc_id", *STATISTICS, "base_failed", kept.alias("kept"), "distance")

@@ -109,6 +109,21 @@ def test_quality_odd_in_one_statistic(spark):
     assert [got[1000 + i][1] for i in range(4)] == [False] * 4
 
 
+def test_quality_small_groups(spark):
+    draw = random.Random(12)
+
+    def text(i):
+        return " ".join(word + ("###" if i % 20 == 0 else "") for word in fresh(draw, draw.randint(80, 300)))
+
+    rows = [(i, text(i), "en", f"s{i % 40}") for i in range(200)]  # five rows a source
+    rows += [(i, text(i), [None, "de", "fr"][i % 3], None) for i in range(200, 260)]  # twenty rows a language
+    got = by_id(quality_outliers(spark.createDataFrame(rows, QUALITY)), "kept", "distance")
+    assert {i for i, (kept, _) in got.items() if not kept} == set(range(0, 260, 20))
+    assert all(distance is not None for _, distance in got.values())
+    few = by_id(quality_outliers(spark.createDataFrame(rows[1:12] + rows[:1], QUALITY)), "kept")
+    assert {i for i, (kept,) in few.items() if not kept} == {0}
+
+
 def test_quality_bound():
     assert abs(chi_bound(0.999) ** 2 - 20.515) < 0.02 and abs(chi_bound(0.975) ** 2 - 12.833) < 0.02
 
