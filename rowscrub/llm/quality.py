@@ -1,8 +1,9 @@
 """Quality rules: text statistics, and robust outliers among them per language and source.
 
 Each document's statistics become a vector of transformed numbers. For every language and source the
-minimum-covariance-determinant estimate of centre and covariance is found by concentration steps: from a start at the
-medians, the half of the rows that lies nearest by Mahalanobis distance gives the next centre and covariance. A document
+minimum-covariance-determinant estimate of centre and covariance is found by concentration steps: from each of three
+starts, at the medians and at both quartiles, the half of the rows that lies nearest by Mahalanobis distance gives the next
+centre and covariance, until the determinant stops falling. The start that ends at the least one counts. A document
 whose distance to the final estimate exceeds a bound is rejected. A group of few rows is judged by the estimate of all
 rows of its language, and if these are few too, by the estimate of all rows.
 
@@ -13,6 +14,7 @@ fixed-point integers, so that sums, and with them the verdicts, do not depend on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,8 @@ MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of the words
 
 UNIT = 1000  # a fixed-point one
-STEPS = 6  # concentration steps
+QUANTILES = (0.5, 0.25, 0.75)  # of the numbers, as centres to start from
+LEAST_FALL = 1e-6  # a fall of the determinant's logarithm that calls for another step
 CLASSES = 256  # distance classes of a group
 LEAST_ROWS = 100  # a smaller group has too few rows for an estimate of its own
 POOLS = ("group", "language", "everything")  # whose estimate judges a row: the first that has one
@@ -167,18 +170,19 @@ def _beside(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and median deviations of every pool as the first estimate."""
-    medians = vectors.groupBy("pool", "level", "n").agg(*(F.percentile(v, 0.5).alias(v) for v in VECTOR))
-    middle = medians.select("pool", "level", "n", *(F.col(v).alias(f"m_{v}") for v in VECTOR))
+    """The first estimates of every pool: centres at the medians and quartiles, and the median deviations as scale."""
+    quantiles = vectors.groupBy("pool", "level", "n").agg(*(F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias(f"q_{v}") for v in VECTOR))
     spread = (
-        _beside(vectors.drop("level", "n"), middle)
+        _beside(vectors.drop("level", "n"), quantiles)
         .groupBy("pool", "level", "n")
-        .agg(*(F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR), *(F.percentile(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(v) for v in VECTOR))
+        .agg(*(F.first(f"q_{v}").alias(f"q_{v}") for v in VECTOR), *(F.percentile(F.abs(F.col(v) - F.col(f"q_{v}")[0]), 0.5).alias(v) for v in VECTOR))
     )
     size = len(VECTOR)
     scale = [F.pow(F.greatest(1.4826 * F.col(v) / UNIT, F.lit(FLOOR[i])), F.lit(-2.0)) for i, v in enumerate(VECTOR)]
     flat = [scale[i] if i == j else F.lit(0.0) for i in range(size) for j in range(size)]
-    return spread.select("pool", "level", "n", F.array(*(F.col(f"m_{v}") / UNIT for v in VECTOR)).alias("centre"), F.array(*flat).alias("inverse"))
+    starts = spread.withColumn("start", F.explode(F.array(*map(F.lit, range(len(QUANTILES))))))
+    centre = F.array(*(F.get(f"q_{v}", F.col("start")) / UNIT for v in VECTOR))
+    return starts.select("pool", "level", "n", "start", centre.alias("centre"), F.array(*flat).alias("inverse"), F.lit(math.inf).alias("logdet"), F.lit(False).alias("done"))
 
 
 def _consistency(share: float) -> float:
@@ -189,7 +193,10 @@ def _consistency(share: float) -> float:
 
 
 def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The next estimate: mean and covariance of the half of each pool that lies nearest to this one."""
+    """The next estimates: mean and covariance of the half of each pool that lies nearest to these.
+
+    One whose determinant does not fall any more stays as it is and is done.
+    """
     size = len(VECTOR)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)]
@@ -198,10 +205,12 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     summed = (
         _beside(vectors.drop("level", "n"), estimate)
         .withColumn("d2", _distance())
-        .groupBy("pool", "level", "n", class_of.alias("class"))
-        .agg(F.count(F.lit(1)).alias("rows"), *sums, *products)
+        .groupBy("pool", "start", class_of.alias("class"))
+        .agg(*(F.first(c).alias(c) for c in ("level", "n", "centre", "inverse", "logdet")), F.count(F.lit(1)).alias("rows"), *sums, *products)
     )
 
+    names = estimate.columns
+
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
         n = int(rows["n"].iloc[0])
@@ -217,12 +226,30 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
         covariance = covariance * _consistency(m / n) + np.diag(np.square(FLOOR)) * 0.5
         low = np.maximum(np.square(FLOOR) / np.diag(covariance), 1.0)
         covariance = covariance * np.sqrt(np.outer(low, low))
-        return pd.DataFrame({"pool": [rows["pool"].iloc[0]], "level": [rows["level"].iloc[0]], "n": [n], "centre": [[x / UNIT for x in mean]], "inverse": [np.linalg.inv(covariance).ravel().tolist()]})
+        old = rows.iloc[0]
+        logdet = float(np.linalg.slogdet(covariance)[1])
+        done = not logdet < old["logdet"] - LEAST_FALL
+        if done:
+            centre, inverse, logdet = old["centre"], old["inverse"], old["logdet"]
+        else:
+            centre, inverse = [x / UNIT for x in mean], np.linalg.inv(covariance).ravel()
+        values = (old["pool"], old["level"], n, old["start"], list(centre), list(inverse), logdet, done)
+        return pd.DataFrame({name: [value] for name, value in zip(names, values, strict=True)})
 
-    return summed.groupBy("pool").applyInPandas(step, "pool long, level int, n long, centre array<double>, inverse array<double>")
+    return summed.groupBy("pool", "start").applyInPandas(step, estimate.schema)
 
 
-def quality_outliers(documents: DataFrame, steps: int = STEPS, bound: float = BOUND) -> DataFrame:
+def robust_estimates(vectors: DataFrame) -> DataFrame:
+    """Centre and inverse covariance of every pool: of the ends that its starts come to, the one of the least determinant."""
+    estimate = via_table(_start(vectors), "estimate")
+    while not estimate.where(~F.col("done")).isEmpty():
+        ended = estimate.where("done")
+        estimate = via_table(_concentrate(vectors, estimate.where(~F.col("done"))).unionByName(ended), "estimate")
+    best = F.min(F.struct("logdet", "start", "centre", "inverse")).alias("best")
+    return via_table(estimate.groupBy("pool", "level").agg(best).select("pool", "level", "best.*"), "estimate")
+
+
+def quality_outliers(documents: DataFrame, bound: float = BOUND) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and the distance from the estimate of the document's language and source.
 
     Null texts have no words. Null languages and sources form groups of their own. A group below `LEAST_ROWS` rows is judged
@@ -239,10 +266,7 @@ def quality_outliers(documents: DataFrame, steps: int = STEPS, bound: float = BO
         *_vector(),
     )
     judged = via_table(grouped, "statistics")
-    vectors = _pooled(judged)
-    estimate = via_table(_start(vectors), "estimate")
-    for _ in range(steps):
-        estimate = via_table(_concentrate(vectors, estimate), "estimate")
+    estimate = robust_estimates(_pooled(judged))
     for level, name in enumerate(POOLS):
         judged = judged.join(estimate.where(F.col("level") == level).select(F.col("pool").alias(name), F.struct("centre", "inverse").alias(f"by_{name}")), name, "left")
     judged = judged.select("*", F.coalesce(*(f"by_{name}" for name in POOLS)).alias("by")).select("*", "by.*").withColumn("distance", F.sqrt(_distance()))

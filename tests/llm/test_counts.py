@@ -16,7 +16,7 @@ from rowscrub.llm.chat import conversations, parroted, preference_pairs
 from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import Scanner, license_scan, rules, suppressed
 from rowscrub.llm.packing import best_fit, complete, pack, pack_documents
-from rowscrub.llm.quality import chi_bound, quality_outliers
+from rowscrub.llm.quality import chi_bound, quality_outliers, robust_estimates
 from rowscrub.llm.tokens import longest_prefix, prefix_token_counts, tokens_of_prefix, vocabulary
 
 
@@ -124,6 +124,18 @@ def test_quality_small_groups(spark):
     assert {i for i, (kept,) in few.items() if not kept} == {0}
 
 
+def test_quality_estimate_of_the_least_determinant(spark):
+    """Two clusters, where steps from the medians alone end at the half with a log-determinant of 5.26."""
+    draw, n = np.random.default_rng(182), 1000
+    one = int(n * draw.uniform(0.4, 0.6))
+    near, wide, apart = draw.uniform(0.1, 1, 5), draw.uniform(0.1, 3, 5), draw.uniform(0, 8, 5)
+    values = np.r_[draw.normal(0, 1, (one, 5)) * near + 8, draw.normal(0, 1, (n - one, 5)) * wide + 8 + apart * np.sign(draw.normal(size=5))]
+    rows = [(1, 0, n, 0, *row) for row in np.round(1000 * values).astype(int).tolist()]
+    vectors = spark.createDataFrame(rows, "pool long, level int, n long, salt int, v0 long, v1 long, v2 long, v3 long, v4 long")
+    found = robust_estimates(vectors).collect()
+    assert len(found) == 1 and -np.linalg.slogdet(np.array(found[0]["inverse"]).reshape(5, 5))[1] < 2
+
+
 def test_quality_bound():
     assert abs(chi_bound(0.999) ** 2 - 20.515) < 0.02 and abs(chi_bound(0.975) ** 2 - 12.833) < 0.02
 
