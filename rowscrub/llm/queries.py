@@ -14,11 +14,13 @@ from rowscrub.llm.licenses import license_scan
 from rowscrub.llm.neardup import near_duplicates
 from rowscrub.llm.packing import pack_documents
 from rowscrub.llm.parsing import removed_strings
+from rowscrub.llm.pieces import encoded_pieces
 from rowscrub.llm.quality import quality_outliers
 from rowscrub.llm.substrings import removed_words
 from rowscrub.llm.tokens import prefix_token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,11 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_prefixes=False)
 
 
+def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoded_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep_pieces=False)
+    return found.drop("ids", "starts", "ends", "decoded")
+
+
 OPERATORS = (
     op1_best_fit_packing,
     op2_preference_pairs,
@@ -79,6 +86,7 @@ OPERATORS = (
     op8_weighted_near_duplicates,
     op9_language_id,
     op10_prefix_token_counts,
+    op11_offset_pieces,
 )
 
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
