@@ -18,6 +18,7 @@ from rowscrub.llm.pieces import encoded_pieces
 from rowscrub.llm.quality import quality_outliers
 from rowscrub.llm.substrings import removed_words
 from rowscrub.llm.tokens import prefix_token_counts
+from rowscrub.llm.whitening import whitened_embeddings
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -75,6 +76,10 @@ def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids", "starts", "ends", "decoded")
 
 
+def op12_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = (
     op1_best_fit_packing,
     op2_preference_pairs,
@@ -87,6 +92,7 @@ OPERATORS = (
     op9_language_id,
     op10_prefix_token_counts,
     op11_offset_pieces,
+    op12_jacobi_davidson_whitening,
 )
 
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
