@@ -18,6 +18,7 @@ from rowscrub.llm.pieces import encoded_pieces
 from rowscrub.llm.quality import quality_outliers
 from rowscrub.llm.substrings import removed_words
 from rowscrub.llm.tokens import prefix_token_counts
+from rowscrub.llm.turntrie import conversation_trie
 from rowscrub.llm.whitening import whitened_embeddings
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +81,10 @@ def op12_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
     return whitened_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 OPERATORS = (
     op1_best_fit_packing,
     op2_preference_pairs,
@@ -93,6 +98,7 @@ OPERATORS = (
     op10_prefix_token_counts,
     op11_offset_pieces,
     op12_jacobi_davidson_whitening,
+    op13_conversation_trie,
 )
 
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
@@ -210,9 +216,53 @@ select s.doc_id, len(s.ws)::bigint as n_words, coalesce(k.n_removed, 0)::bigint
 from split s left join kept k using (doc_id)
 """
 
+TRIE_SQL = r"""
+with source as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as code
+    from conversations where conv_id is not null
+), placed as (
+    select conv_id, row_number() over (partition by conv_id order by turn nulls first, code) as place, code,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+    from source
+), conv as (
+    select conv_id, conv_id - conv_id % 20 as block,
+           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 as h
+    from (select distinct conv_id from source)
+), turns as (
+    select c.conv_id, p.place, p.code, p.words from conv c join placed p on p.conv_id = c.block and p.place <= c.h
+    union all
+    select c.conv_id, p.place, p.code, p.words from conv c join placed p on p.conv_id = c.conv_id and p.place > c.h
+), paths as (
+    select c.conv_id, coalesce(list(t.code order by t.place) filter (t.code is not null), []) as path,
+           coalesce(list(t.words order by t.place) filter (t.code is not null), []) as words
+    from conv c left join turns t using (conv_id) group by c.conv_id
+), member as (
+    select conv_id, d, list_slice(path, 1, d) as prefix, case when d = 0 then 0 else words[d] end as words, d = len(path) as ends
+    from (select *, unnest(range(0, len(path) + 1)) as d from paths)
+), node as (
+    select prefix, d, min(conv_id) as conv_id, count(*) as n_convs, max(words) as words,
+           coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ids
+    from member group by prefix, d
+), child as (
+    select list_slice(prefix, 1, d - 1) as prefix, count(*) as n_children from node where d > 0 group by 1
+), weighed as (
+    select n.*, coalesce(c.n_children, 0) as n_children, case when c.n_children is null then 1 else 0 end as leaf, (n_convs - 1) * words as saved
+    from node n left join child c using (prefix)
+), subtree as (
+    select list_slice(prefix, 1, a) as prefix, sum(leaf) as n_leaves, sum(saved) as saved_tokens
+    from (select prefix, leaf, saved, unnest(range(0, d + 1)) as a from weighed) group by 1
+)
+select w.conv_id, w.d::bigint as depth, p.conv_id as parent_conv_id, w.n_convs::bigint as n_convs, w.n_children::bigint as n_children,
+       s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(w.ids) as ends_sha256
+from weighed w join subtree s using (prefix) left join node p on w.d > 0 and p.prefix = list_slice(w.prefix, 1, w.d - 1)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_preference_pairs": PREFERENCE_SQL,
     "op5_prefix_free_parsing": STRINGS_SQL,
     "op6_fm_index_decontamination": DECONTAMINATION_SQL,
     "op7_difference_cover_substrings": SUBSTRING_SQL,
+    "op13_conversation_trie": TRIE_SQL,
 }
