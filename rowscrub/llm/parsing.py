@@ -26,8 +26,10 @@ from rowscrub.llm.rounds import Documents, Replies, ask, bits, dealt, finish, fl
 MATCH = 100
 GRAM = 32
 REACH = MATCH - GRAM + 1
-PIECE = 1 << 20
-"""Bytes whose hashes are held at once."""
+PIECE = 1 << 16
+"""Bytes whose hashes are held at once; so few that they stay in the cache of a core."""
+STEPS = (*range(0, MATCH - 8, 8), MATCH - 8)
+"""Where the eight-byte pieces of a string begin; the last two overlap."""
 
 NAMES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -90,20 +92,51 @@ def phrases(data: np.ndarray, offsets: np.ndarray):
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(triggers)
 
 
-def suffix_ranks(data: np.ndarray) -> np.ndarray:
-    """Rank of the `MATCH` bytes at every place of the dictionary; equal strings have equal ranks. Zeros follow the end."""
-    ranks = np.unique(eight_bytes(data)[:-1].byteswap(), return_inverse=True)[1].astype(U64)
+def string_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hash of the `MATCH` bytes at each place."""
+    word, h = eight_bytes(data), np.zeros(len(places), U64)
+    for step in STEPS:
+        h = mixed(h * SECOND + word[places + step])
+    return h
 
-    def joined(shift: int) -> np.ndarray:
-        behind = np.zeros(len(ranks), U64)
-        behind[: max(len(ranks) - shift, 0)] = ranks[shift:] + U64(1)
-        return np.unique((ranks << U64(32)) | behind, return_inverse=True)[1].astype(U64)
 
-    length = 8
-    while 2 * length <= MATCH:
-        ranks = joined(length)
-        length *= 2
-    return joined(MATCH - length)
+def suffix_order(data: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places by the `MATCH` bytes at them, and which of these strings differ from the one before.
+
+    Sorted by eight bytes at first; then only those are compared further that are still tied with a different string, as their
+    hashes tell. The text goes on for `MATCH` bytes after each place.
+    """
+    word = eight_bytes(data)
+    keys = word[places].byteswap()
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(places), bool)
+    new[1:] = np.diff(keys[order]) != 0
+    todo = np.arange(len(places))
+    for step in STEPS[1:]:
+        first, own = new[todo], hashes[order[todo]]
+        differs = np.append(False, own[1:] != own[:-1]) & ~first
+        group = np.cumsum(first) - 1
+        mixed_group = np.bincount(group, weights=differs, minlength=1) > 0
+        open_ = mixed_group[group]
+        todo, group = todo[open_], group[open_]
+        if not len(todo):
+            break
+        part = order[todo]
+        keys = word[places[part] + step].byteswap()
+        again = np.lexsort((keys, group))
+        order[todo], keys = part[again], keys[again]
+        new[todo[1:]] |= keys[1:] != keys[:-1]
+    return order, new
+
+
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """Rank of the `MATCH` bytes at every place of a text; equal strings have equal ranks. Zeros follow the end."""
+    padded = np.append(data, np.zeros(MATCH, np.uint8))
+    places = np.arange(len(data))
+    order, new = suffix_order(padded, places, string_hashes(padded, places))
+    ranks = np.empty(len(data), U64)
+    ranks[order] = (np.cumsum(new) - 1).astype(U64)
+    return ranks
 
 
 class Parse:
@@ -147,27 +180,22 @@ class Parse:
     def strings(self, chosen: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All 100-byte strings of these phrases: their places; bucket and hash of the distinct ones, by bucket; each string's
         number among these; and the earliest place of each."""
-        lengths = self.counts[chosen] + MATCH - 1
-        inside = ragged(self.starts[chosen], lengths)
-        begins = np.cumsum(lengths) - lengths
-        at = ragged(begins, self.counts[chosen])
-        if not len(at):
+        places = ragged(self.starts[chosen], self.counts[chosen])
+        if not len(places):
             return (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        ranks = suffix_ranks(self.data[inside])[at]
-        places = inside[at]
-        _, representative, which = np.unique(ranks, return_index=True, return_inverse=True)
-        earliest = np.full(len(representative), FAR)
-        np.minimum.at(earliest, which, places)
-        word = eight_bytes(self.data)
-        spots = places[representative]
-        h, bucket = np.zeros(len(spots), U64), np.zeros(len(spots), U64)
-        for step in (*range(0, MATCH - 8, 8), MATCH - 8):
-            value = word[spots + step]
-            h = mixed(h * SECOND + value)
-            bucket = (bucket ^ value) * MULTIPLIER
+        hashes = string_hashes(self.data, places)
+        order, new = suffix_order(self.data, places, hashes)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        begins = np.flatnonzero(new)
+        earliest = np.minimum.reduceat(places[order], begins)
+        representative = order[begins]
+        word, bucket = eight_bytes(self.data), np.zeros(len(begins), U64)
+        for step in STEPS:
+            bucket = (bucket ^ word[places[representative] + step]) * MULTIPLIER
             bucket ^= bucket >> U64(31)
-        bucket = mixed(bucket) % U64(buckets)
-        order = np.argsort(bucket, kind="stable")
+        h, bucket = hashes[representative], mixed(bucket) % U64(buckets)
+        order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")  # a radix sort for up to 16 bits
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         return places, bucket[order], h[order], number[which], earliest[order]
