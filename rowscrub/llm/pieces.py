@@ -138,6 +138,17 @@ class PieceModel:
         self.characters = CharacterMap(self.rules.precompiled_charsmap)
         self.numbers = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.costs = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}.get
+        self.number_of, self.size = self.numbers.get, len(model.pieces)
+        # A piece can be made of any two pieces that it consists of; equal scores have equal ranks.
+        ranks = {score: rank for rank, score in enumerate(sorted({p.score for p in model.pieces}, reverse=True))}
+        self.pair_costs: dict[int, int] = {}
+        self.pair_ids: dict[int, int] = {}
+        for p in model.pieces:
+            for i in range(1, len(p.piece) if p.type == NORMAL else 0):
+                left, right = self.number_of(p.piece[:i]), self.number_of(p.piece[i:])
+                if left is not None and right is not None:
+                    self.pair_costs[left * self.size + right] = ranks[p.score]
+                    self.pair_ids[left * self.size + right] = self.numbers[p.piece]
         self.bytes = [0] * 256
         for i, p in enumerate(model.pieces):
             if p.type == BYTE:
@@ -178,10 +189,8 @@ class PieceModel:
             keep[:first] = keep[end:] = False
             places = np.append(places[:-1][keep], places[end])
             data, blank = data[keep], blank[keep]
-        times = np.where(blank, 3, 1)
-        data, places = np.repeat(data, times), np.append(np.repeat(places[:-1], times), places[-1])
-        at = np.flatnonzero(np.repeat(blank, times))
-        data[at] = np.resize(np.frombuffer(SPACE.encode(), np.uint8), len(at))
+        data = np.frombuffer(data.tobytes().replace(b" ", SPACE.encode()), np.uint8)
+        places = np.append(np.repeat(places[:-1], np.where(blank, 3, 1)), places[-1])
         if self.rules.add_dummy_prefix and len(data):
             data = np.concatenate((np.frombuffer(SPACE.encode(), np.uint8), data))
             places = np.concatenate((np.full(3, places[0]), places))
@@ -221,35 +230,36 @@ class PieceModel:
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         if len(chunk) == 1:
             return self.single(chunk)
+        if len(chunk) <= SHORT:
+            return self.merge_short(chunk)
         cuts = [i for i, pair in enumerate(pairwise(chunk), 1) if pair not in self.side_by_side]
         if cuts:
             return tuple(chain.from_iterable(self.known[chunk[a:b]] for a, b in pairwise([0, *cuts, len(chunk)])))
-        return self.merge(chunk)
+        return self.merge_short(chunk) if len(chunk) <= SHORT else self.merge_long(chunk)
 
     def single(self, symbol: str) -> tuple[int, ...]:
         found = self.numbers.get(symbol)
         return tuple(self.bytes[b] for b in symbol.encode()) if found is None else (found,)
 
-    def merge(self, chunk: str) -> tuple[int, ...]:
-        """Merges of neighbouring symbols by score, leftmost first, until no two make a piece."""
-        return self.merge_short(chunk) if len(chunk) <= SHORT else self.merge_long(chunk)
-
     def merge_short(self, chunk: str) -> tuple[int, ...]:
-        """By looking for the best pair anew after each merge."""
-        symbols, costs = list(chunk), self.costs
-        pairs = [costs(a + b, NEVER) for a, b in pairwise(symbols)]
+        """Merges of neighbours by score, leftmost first, until no two make a piece; the best pair is looked for anew after each."""
+        ids, costs, size = list(map(self.number_of, chunk)), self.pair_costs.get, self.size
+        if None in ids:
+            # A character without a piece joins nothing.
+            return self.merge_long(chunk)
+        pairs = [costs(a * size + b, NEVER) for a, b in pairwise(ids)]
         while pairs:
             best = min(pairs)
             if best is NEVER:
                 break
             i = pairs.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del pairs[i]
+            ids[i] = joined = self.pair_ids[ids[i] * size + ids[i + 1]]
+            del ids[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = costs(symbols[i - 1] + symbols[i], NEVER)
+                pairs[i - 1] = costs(ids[i - 1] * size + joined, NEVER)
             if i < len(pairs):
-                pairs[i] = costs(symbols[i] + symbols[i + 1], NEVER)
-        return self.ids_of(symbols)
+                pairs[i] = costs(joined * size + ids[i + 1], NEVER)
+        return tuple(ids)
 
     def ids_of(self, symbols: list[str]) -> tuple[int, ...]:
         try:
@@ -258,7 +268,7 @@ class PieceModel:
             return tuple(chain.from_iterable(map(self.single, symbols)))
 
     def merge_long(self, chunk: str) -> tuple[int, ...]:
-        """With a queue of pairs, for chunks of any length."""
+        """The same with a queue of pairs, for chunks of any length."""
         symbols, costs = list(chunk), self.costs
         before, behind = list(range(-1, len(chunk) - 1)), [*range(1, len(chunk)), -1]
         heap: list[tuple[float, int, str]] = []
