@@ -5,9 +5,10 @@ records before that block, so numbering needs one small table of blocks and no s
 
 Whether a line starts inside a quoted field depends on all lines before it, but every line
 only does one of four things to that state: keep it, flip it, or set it to open or closed.
-One pass reduces each block to its overall effect, the effects are chained over the few
-rows of the block table, and a second pass, knowing how its block starts, joins the lines.
-Only records that cross a block border are written aside and shuffled; a further pass gives all others.
+One pass reduces each block to its overall effect, for both states that it may start in; the effects are chained over the
+few rows of the block table. Records that cross a block border, and headers, are then picked out by plain filters and
+written aside; all other records lie inside their block and are joined in the one pass that yields them. Where no
+line opens or closes a quoted field for the next one, lines are records and nothing but filters runs.
 """
 
 from __future__ import annotations
@@ -73,14 +74,15 @@ def pinned_blocks(spark: SparkSession) -> Iterator[None]:
 
 
 def block_offsets(lines: DataFrame, scope: str = "file") -> DataFrame:
-    """Per block: its first ``seq`` and how many records come before it.
+    """Per block: its first ``seq``, how many records come before it, and the first line of a file's first block.
 
     One row per block of the input (128 MB by default), so the running sum handles a
     table many orders smaller than the data. ``scope='file'`` starts anew in every file,
     ``scope='dataset'`` counts through the files in name order.
     """
+    head = F.min_by(F.when(F.col("block") == 0, F.col("value")), "seq")
     blocks = lines.groupBy("file", "block").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("records")
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("records"), head.alias("head")
     )
     blocks = via_table(blocks, "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,11 +90,28 @@ def block_offsets(lines: DataFrame, scope: str = "file") -> DataFrame:
     if scope == "file":
         return per_block.withColumn("offset", F.col("in_file"))
     files = blocks.groupBy("file").agg(F.sum("records").alias("records"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("file_start"))
+    starts = running_total(files, "file", "records", "file_start")
     return per_block.join(starts, "file").withColumn("offset", F.col("in_file") + F.col("file_start"))
 
 
+def running_total(df: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """``key`` and the sum of ``amount`` over all rows with a smaller key, in two levels.
+
+    Rows are dealt to tasks by ranges of the key and summed up there; what comes before a range is the sum of the
+    few numbers of the ranges before it. Keys are distinct.
+    """
+    part = F.spark_partition_id()
+    ranged = via_table(df.select(key, amount).repartitionByRange(key).select("*", part.alias("part")), "ranges")
+    totals = ranged.groupBy("part").agg(F.sum(amount).alias("total")).orderBy("part").collect()  # one row for each task
+    before, so_far = [], 0
+    for row in totals:
+        before.append((row["part"], so_far))
+        so_far += row["total"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "part int, before long"))
+    inside = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(starts, "part").select(key, (F.col("before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).alias(name))
+
+
 def number_records(lines: DataFrame, scope: str = "file") -> DataFrame:
     """Add ``row_number``, 1 for the first record, to :func:`scan_lines` output, without a sort.
 
@@ -101,7 +120,18 @@ def number_records(lines: DataFrame, scope: str = "file") -> DataFrame:
     (file, block), whose groups are one block each and therefore even. A line whose block is not
     found as counted fails the job instead of getting a wrong number.
     """
-    offsets = block_offsets(lines, scope).select("file", "block", "first_seq", "last_seq", "offset")
+    return _numbered(lines, block_offsets(lines, scope))
+
+
+def number_data(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of :func:`scan_lines` numbered from 2 in every file, and ``file, header``: the first line of each."""
+    offsets = block_offsets(lines)
+    heads = offsets.where("block = 0").select("file", F.col("head").alias("header"))
+    return _numbered(lines, offsets).where("row_number > 1"), heads
+
+
+def _numbered(lines: DataFrame, offsets: DataFrame) -> DataFrame:
+    offsets = offsets.select("file", "block", "first_seq", "last_seq", "offset")
     joined = _with_blocks(lines, offsets, "offset")[0]
     number = F.col("seq") - F.col("first_seq") + F.col("offset") + 1
     return joined.select(*[ref(c) for c in lines.columns], number.alias("row_number"))
@@ -150,40 +180,49 @@ def _chain():
 
 
 def block_effects(lines: DataFrame) -> DataFrame:
-    """Per block: first and last ``seq``, the state after it, and the number of records that
-    start in it, for both states it may start in."""
-    schema = (
-        "file string, block long, first_seq long, last_seq long, "
-        "end_closed boolean, end_open boolean, starts_closed long, starts_open long"
-    )
+    """Per block: first and last ``seq``; whether any line leaves a quote open that was not; and for both states it may start in (closed, open):
+    the state after it, how many records start in it, and where the first, the second and the last of them start."""
+    sides = [f"{c}_{side}" for side in ("closed", "open") for c in ("end", "starts", "first", "second", "last")]
+    kinds = ["boolean" if c.startswith("end") else "long" for c in sides]
+    schema = "file string, block long, first_seq long, last_seq long, opens boolean, " + ", ".join(map(" ".join, zip(sides, kinds, strict=True)))
     columns = [c.split()[0] for c in schema.split(", ")]
     chain = _chain()
 
     def reduce_blocks(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        key, row = None, None
+        key, row, both = None, None, None
+
+        def finished():
+            return (*key, *row, *both[0], *both[1])
+
         for batch in batches:
             done = []
             for part_key, part in batch.groupby(["file", "block"], sort=False):
-                seq = part["seq"]
+                seq, opens, stays = part["seq"].to_numpy(), part["opens"].to_numpy(bool), part["stays"].to_numpy(bool)
                 if part_key != key:
                     if row:
-                        done.append((*key, *row))
-                    key, row = part_key, [seq.iloc[0], None, False, True, 0, 0]
-                row[1] = seq.iloc[-1]
-                for i in (0, 1):
-                    before, row[2 + i] = chain(row[2 + i], part["opens"].to_numpy(bool), part["stays"].to_numpy(bool))
-                    row[4 + i] += int((~before).sum())
-            yield pd.DataFrame(done, columns=columns)
+                        done.append(finished())
+                    key, row = part_key, [seq[0], None, False]
+                    both = [[False, 0, None, None, None], [True, 0, None, None, None]]
+                row[1] = seq[-1]
+                row[2] |= bool(opens.any())
+                for side in both:
+                    before, side[0] = chain(side[0], opens, stays)
+                    at = seq[~before].tolist()
+                    side[1] += len(at)
+                    side[2:4] = ([place for place in side[2:4] if place is not None] + at[:2] + [None, None])[:2]
+                    side[4] = at[-1] if at else side[4]
+            yield pd.DataFrame(done, columns=columns, dtype=object)
         if row:
-            yield pd.DataFrame([(*key, *row)], columns=columns)
+            yield pd.DataFrame([finished()], columns=columns, dtype=object)
 
     return lines.select("file", "block", "seq", "opens", "stays").mapInPandas(reduce_blocks, schema)
 
 
 def block_starts(effects: DataFrame) -> DataFrame:
-    """Per block: does it start inside a quoted field, and how many records start before it in its file?"""
+    """Per block, now that its start is known: how many records start before it in its file and in it; where the first one and the
+    second one start; and where the one starts that goes on in the next block, if one does."""
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     flip = (F.col("end_closed") & ~F.col("end_open")).cast("int")
@@ -195,36 +234,60 @@ def block_starts(effects: DataFrame) -> DataFrame:
     )
     state = F.coalesce("fixed.end_closed", F.lit(False))
     odd = (F.col("before") - F.coalesce("fixed.flips", F.lit(0))) % 2 == 1
-    opened = chained.withColumn("starts_inside", state != odd)
-    starts = F.when(F.col("starts_inside"), F.col("starts_open")).otherwise(F.col("starts_closed"))
-    counted = opened.withColumn("starts", starts)
+    opened = chained.withColumn("inside", state != odd)
+    actual = [F.when(F.col("inside"), F.col(f"{c}_open")).otherwise(F.col(f"{c}_closed")).alias(c) for c in ("end", "starts", "first", "second", "last")]
+    known = opened.select("file", "block", "first_seq", "last_seq", *actual)
     earlier = F.coalesce(F.sum("starts").over(before), F.lit(0))
-    return counted.select("file", "block", "first_seq", "last_seq", "starts_inside", earlier.alias("earlier"))
+    last = F.when(F.col("end"), F.col("last"))
+    return known.select("file", "block", "first_seq", "last_seq", earlier.alias("earlier"), "starts", "first", "second", last.alias("open_from"))
 
 
-def _pieces(lines: DataFrame, limit: int) -> DataFrame:
-    """Lines joined to records inside each block; ``border`` marks what may go on in another block.
+def _joined_by_number(limit: int):
+    """A function that joins neighbouring lines of one record number; ``chars`` is the length of the whole, ``value`` its first ``limit`` characters."""
 
-    ``chars`` is the length of the whole piece, of which ``value`` has at most ``limit`` characters.
-    """
-    schema = "file string, block long, row_number long, border boolean, chars long, value string"
-    columns = [c.split()[0] for c in schema.split(", ")]
+    def join_lines(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        key, texts, chars = None, [], 0
+
+        def closed():
+            return (*key, chars, "\n".join(texts)[:limit])
+
+        for batch in batches:
+            done = []
+            for part_key, part in batch.groupby(["file", "block", "row_number"], sort=False):
+                if part_key != key:
+                    if texts:
+                        done.append(closed())
+                    key, texts, chars = part_key, [], -1
+                for text in part["value"]:
+                    if chars <= limit:
+                        texts.append(text)
+                    chars += len(text) + 1
+            yield pd.DataFrame(done, columns=["file", "block", "row_number", "chars", "value"])
+        if texts:
+            yield pd.DataFrame([closed()], columns=["file", "block", "row_number", "chars", "value"])
+
+    return join_lines
+
+
+def _joined_inside(limit: int):
+    """A function that joins the lines of records that begin and end in a block, whose first line begins one."""
+    columns = ["file", "row_number", "value", "chars"]
     chain = _chain()
 
     def join_lines(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        # The record that is still open: its number, its lines as far as they are kept, all their
-        # characters, and whether it touches a border.
-        key, state, number, texts, chars, held, border = None, False, 0, [], 0, 0, False
+        # The record that is still open: its number, its lines as far as they are kept, and all their characters.
+        key, state, number, texts, chars, held = None, False, 0, [], 0, 0
 
-        def frame(numbers, values, lengths, at_border=False):
-            rows = pd.DataFrame({"row_number": numbers, "value": values, "chars": lengths})
-            return rows.assign(file=key[0], block=key[1], border=at_border)
+        def frame(numbers, values, lengths):
+            return pd.DataFrame({"row_number": numbers, "value": values, "chars": lengths}).assign(file=key[0])
 
-        def closed(at_border):
-            return frame([number], ["\n".join(texts)[:limit]], [chars], at_border)
+        def closed():
+            return frame([number], ["\n".join(texts)[:limit]], [chars])
 
         def hold(values):
             nonlocal chars, held
@@ -239,10 +302,9 @@ def _pieces(lines: DataFrame, limit: int) -> DataFrame:
             for part_key, part in batch.groupby(["file", "block"], sort=False):
                 if part_key != key:
                     if held:
-                        out.append(closed(border or state))
-                    key, texts, chars, held = part_key, [], 0, 0
-                    border = state = bool(part["starts_inside"].iloc[0])
-                    number = int(part["earlier"].iloc[0])
+                        out.append(closed())
+                    key, state, texts, chars, held = part_key, False, [], 0, 0
+                    number = int(part["number"].iloc[0])
                 before, state = chain(state, part["opens"].to_numpy(bool), part["stays"].to_numpy(bool))
                 record = np.cumsum(~before)
                 values, last = part["value"].to_numpy(object), record[-1]
@@ -250,48 +312,83 @@ def _pieces(lines: DataFrame, limit: int) -> DataFrame:
                 if last == 0:
                     continue
                 if held:
-                    out.append(closed(border))
+                    out.append(closed())
                 single = np.bincount(record)[record] == 1
                 inner = (record > 0) & (record < last)
                 alone = pd.Series(values[inner & single], dtype=object)
                 out.append(frame(number + record[inner & single], alone.str.slice(0, limit), alone.str.len()))
                 joined = pd.Series(values[inner & ~single], dtype=object).groupby(record[inner & ~single]).agg("\n".join)
                 out.append(frame(number + joined.index.to_numpy(), joined.str.slice(0, limit).to_numpy(), joined.str.len().to_numpy()))
-                number, texts, chars, held, border = number + int(last), [], 0, 0, False
+                number, texts, chars, held = number + int(last), [], 0, 0
                 hold(values[record == last])
             if out:
                 yield pd.concat(out)[columns]
         if held:
-            yield closed(border or state)[columns]
+            yield closed()[columns]
 
-    needed = lines.select("file", "block", "opens", "stays", "starts_inside", "earlier", "value")
-    return needed.mapInPandas(join_lines, schema)
+    return join_lines
 
 
-def read_records(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", limit: int = RECORD_LIMIT) -> DataFrame:
-    """``file, row_number, value, chars``: one row per record, 1 for the first of each file.
+def split_records(
+    spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", limit: int = RECORD_LIMIT
+) -> tuple[DataFrame, DataFrame]:
+    """The first record of each file, and all others: ``file, row_number, value, chars``, numbered from 1 in each file.
 
     Lines end in LF or CR LF; inside quotes both are kept. An open quote at the end of a file ends
     there. ``chars`` is the length of the record; one of more than ``limit`` characters, as after a quote that
     was never closed, has the first ``limit`` of them as its value, whatever blocks and batches it runs over.
+
+    The text is read once for the effects of blocks and once for what is written aside; what is returned reads it once more.
     """
     with pinned_blocks(spark):
         lines = line_effects(scan_lines(spark, path, "\n"), delimiter)
         effects = via_table(block_effects(lines), "block-effects")
+        plain = effects.where("opens").isEmpty()
         starts = via_table(block_starts(effects), "block-starts")
         known, in_order = _with_blocks(lines, starts, "earlier")
-        if not in_order:  # a shuffled join has lost the order of the lines
-            known = known.repartition("file", "block").sortWithinPartitions("file", "block", "seq")
-        pieces = _pieces(known, limit)
-        border = via_table(pieces.where("border").drop("border"), "border-pieces")
-    inside = pieces.where(~F.col("border")).select("file", "row_number", "value", "chars")
+        seq, first, open_from, earlier = (F.col(c) for c in ("seq", "first", "open_from", "earlier"))
+        # Lines that go on from the block before, lines of the record that goes on in the next one, lines of the header.
+        number = (
+            F.when(first.isNull() | (seq < first), earlier)
+            .when(seq >= open_from, earlier + F.col("starts"))
+            .when((F.col("block") == 0) & (seq < F.coalesce("second", F.col("last_seq") + 1)), F.lit(1))
+        )
+        known = known.withColumn("row_number", number)
+
+        def ordered(df: DataFrame) -> DataFrame:
+            # A shuffled join has lost the order of the lines.
+            return df if in_order else df.repartition("file", "block").sortWithinPartitions("file", "block", "seq")
+
+        lines_aside = ordered(known.where(F.col("row_number").isNotNull())).select("file", "block", "row_number", "value")
+        pieces = "file string, block long, row_number long, chars long, value string"
+        aside = via_table(lines_aside.mapInPandas(_joined_by_number(limit), pieces), "records-aside")
     # Of a record over many blocks only the pieces that begin within the limit are brought together.
     before = Window.partitionBy("file", "row_number").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = border.withColumn("at", F.coalesce(F.sum(F.col("chars") + 1).over(before), F.lit(0)))
+    placed = aside.withColumn("at", F.coalesce(F.sum(F.col("chars") + 1).over(before), F.lit(0)))
     kept = F.when(F.col("at") <= limit, F.struct("block", "value"))
     crossing = placed.groupBy("file", "row_number").agg(
         F.sort_array(F.collect_list(kept)).alias("parts"), (F.sum(F.col("chars") + 1) - 1).alias("chars")
     )
     joined = F.left(F.array_join("parts.value", "\n"), F.lit(limit))
-    whole = inside.unionByName(crossing.select("file", "row_number", joined.alias("value"), "chars"))
-    return whole.withColumn("value", F.when(F.col("chars") > limit, F.col("value")).otherwise(F.regexp_replace("value", "\r\\z", "")))
+    whole = crossing.select("file", "row_number", joined.alias("value"), "chars")
+
+    rest = known.where(F.col("row_number").isNull())
+    has_header = (F.col("block") == 0).cast("int")
+    if plain:
+        number = earlier + seq - F.col("first_seq") + 1
+        inside = rest.select("file", number.alias("row_number"), F.left("value", F.lit(limit)).alias("value"), F.length("value").cast("long").alias("chars"))
+    else:
+        # Numbers go on behind the record before; the header of a first block is one of them.
+        needed = ordered(rest).select("file", "block", "opens", "stays", (earlier + has_header).alias("number"), "value")
+        inside = needed.mapInPandas(_joined_inside(limit), "file string, row_number long, value string, chars long")
+
+    def trimmed(df: DataFrame) -> DataFrame:
+        return df.withColumn("value", F.when(F.col("chars") > limit, F.col("value")).otherwise(F.regexp_replace("value", "\r\\z", "")))
+
+    return trimmed(whole.where("row_number = 1")), trimmed(inside.unionByName(whole.where("row_number > 1")))
+
+
+def read_records(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", limit: int = RECORD_LIMIT) -> DataFrame:
+    """``file, row_number, value, chars``: one row per record, see :func:`split_records`."""
+    first, others = split_records(spark, path, delimiter, limit)
+    return first.unionByName(others)

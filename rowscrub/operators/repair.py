@@ -12,16 +12,9 @@ from pyspark.sql import functions as F
 
 from rowscrub.functions.fields import open_quote, split_fields
 from rowscrub.operators.columns import computed_once, ref, unique_names
-from rowscrub.operators.records import (
-    BLOCK_ROW_BYTES,
-    RECORD_LIMIT,
-    broadcast_bytes,
-    number_records,
-    pinned_blocks,
-    read_records,
-    scan_lines,
-)
-from rowscrub.session import discard, scratch_path, via_table
+from rowscrub.operators.layouts import file_layouts, with_layout
+from rowscrub.operators.records import RECORD_LIMIT, number_data, pinned_blocks, scan_lines, split_records
+from rowscrub.session import discard, scratch_path
 from rowscrub.sources.sinks import write_csv, write_repaired_csv
 
 STRUCTURE, PROCESSING = "structure", "processing"
@@ -33,7 +26,6 @@ MESSAGE_CHARS = 100
 # --- end of fixed values ------------------------------------------------------------------
 OPEN_QUOTE = "quote not closed on its line"
 TOO_LONG = "record of more than {} characters: quote not closed?"
-MOST_LAYOUTS = 1000  # different headers among the files of one input; more are an error
 
 
 def check_records(
@@ -128,27 +120,21 @@ def repair_files(
     record is one line, and a line that leaves a quote open is bad; with ``multi_line`` quoted fields may hold
     newlines, and a record of more than ``limit`` characters is bad. An empty input gives an empty table and no columns.
     """
-    numbered = read_records(spark, path, delimiter, limit) if multi_line else number_records(scan_lines(spark, path), "file")
-    heads = numbered.where("row_number = 1").groupBy("value").agg(F.min("file").alias("file")).limit(MOST_LAYOUTS + 1)
-    known = sorted((r["file"], r["value"]) for r in heads.collect())
-    if len(known) > MOST_LAYOUTS:
-        raise ValueError(f"more than {MOST_LAYOUTS} different headers below {path}")
-    data = numbered.where("row_number > 1")
-    if not known:
-        return check_records(data, [], delimiter, types, whole=multi_line, limit=limit), []
-    rows = spark.createDataFrame(list(enumerate(known)), "layout int, head struct<file: string, value: string>")
-    given = rows.select("layout", "head.value", split_fields(F.col("head.value"), delimiter).alias("fields")).orderBy("layout").collect()
-    layouts = [unique_names(r["fields"]) for r in given]
-    columns = list(dict.fromkeys(name for names in layouts for name in names))
-    if len(layouts) == 1:
-        return check_records(data, columns, delimiter, types, whole=multi_line, limit=limit), columns
-    # One row for each file: which header it has.
-    headers = rows.select("layout", F.col("head.value").alias("header"))
-    files = via_table(numbered.where("row_number = 1").select("file", F.col("value").alias("header")).join(headers, "header").select("file", "layout"), "layouts")
-    small = files.count() * BLOCK_ROW_BYTES <= broadcast_bytes(spark)
-    known_files = files.select(F.col("file"), "layout")
-    followed = data.join(F.broadcast(known_files) if small else known_files, "file")
-    return check_records(followed, columns, delimiter, types, multi_line, layouts, limit), columns
+    if multi_line:
+        first, data = split_records(spark, path, delimiter, limit)
+        heads = first.select("file", F.col("value").alias("header"))
+    else:
+        data, heads = number_data(scan_lines(spark, path))
+
+    def names_of(headers: list[str]) -> list[list[str]]:
+        rows = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i int, value string")
+        return [unique_names(r["fields"]) for r in rows.select("i", split_fields(F.col("value"), delimiter).alias("fields")).orderBy("i").collect()]
+
+    layouts = file_layouts(heads, names_of, path)
+    columns = layouts.columns
+    if layouts.files is not None:
+        data = with_layout(data, layouts)
+    return check_records(data, columns, delimiter, types, multi_line, layouts.headers if layouts.files is not None else None, limit), columns
 
 
 def repair_csv(

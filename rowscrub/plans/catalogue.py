@@ -94,6 +94,44 @@ def csv_scan_late_types(spark, folder):
     return readers.scan_plain(spark, path)
 
 
+def both_ways(spark, path: str) -> DataFrame:
+    """A plain scan that looks for quoted newlines and one that does not, above one another."""
+    scans = [readers.scan_plain(spark, path, multi_line=m).withColumn("multi_line", F.lit(m)) for m in (True, False)]
+    return scans[0].unionByName(scans[1])
+
+
+@query
+def csv_scan_mixed_headers(spark, folder):
+    """Files of one folder with their columns in different orders, and one column in some files only."""
+    path = scratch_path(spark, "csv-mixed")
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    for i, fields in enumerate((["event_id", "user_id", "event_type"], ["value", "event_type", "event_id", "user_id"], ["user_id", "event_id"])):
+        sinks.write_csv(events.where(F.col("event_id") % 3 == i).select(*fields), f"{path}/part{i}", ",")
+    plain = both_ways(spark, f"{path}/part*")
+    raw = readers.scan_raw(spark, f"{path}/part*").withColumn("multi_line", F.lit(None).cast("boolean"))
+    return plain.unionByName(raw)
+
+
+@query
+def csv_scan_wide_numbers(spark, folder):
+    """Whole numbers of 20 digits stay text, the widest that a bigint holds are numbers."""
+    path = scratch_path(spark, "csv-wide")
+    key = F.col("o_orderkey")
+    wide = F.concat(F.when(key % 100 == 7, F.lit("99999999999999")).otherwise(F.lit("1")), F.lpad(key.cast("string"), 6, "0")).alias("code")
+    fits = F.when(key % 2 == 0, F.lit(2**63 - 1)).otherwise(key).alias("fits")
+    sinks.write_csv(table(spark, folder, "orders").select("o_orderkey", wide, fits), path, ",")
+    return both_ways(spark, path)
+
+
+@query
+def csv_scan_header_row(spark, folder):
+    """Rows that look like the header are rows."""
+    path = scratch_path(spark, "csv-header")
+    cells = [F.when(F.col("c_custkey") % 10 == 3, F.lit(name)).otherwise(F.col(name).cast("string")).alias(name) for name in ("c_custkey", "c_name")]
+    sinks.write_csv(table(spark, folder, "customer").select(*cells), path, ",")
+    return both_ways(spark, path)
+
+
 @query
 def csv_scan_raw(spark, folder):
     path = scratch_path(spark, "csv-raw")
@@ -834,3 +872,18 @@ def workflow_stream(spark, folder):
     )
     streaming.run_stream(stream, wf, out, checkpoint, duplicates="all_time")
     return spark.read.parquet(out)
+
+
+@query
+def workflow_stream_csv(spark, folder):
+    """The standard job over delimited files that arrive in two steps, with quoted newlines and zeros; equal to the batch job."""
+    source, out, checkpoint = (scratch_path(spark, name) for name in ("stream-csv", "stream-csv-out", "stream-csv-state"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (F.col("doc_id") % 5).alias("zeros"))
+    wf = Workflow.from_dict(
+        {"regex_rules": {"lang": KEPT}, "display_names": {"text": "body"}, "columns": {"exclude": ["doc_id"]},
+         "not_empty": {"columns": ["text"]}, "year": 2024}
+    )
+    for part, fields in enumerate((["doc_id", "text", "lang", "zeros"], ["zeros", "lang", "text", "doc_id"])):
+        sinks.write_csv(docs.where(F.col("doc_id") % 2 == part).select(*fields), f"{source}/{part}", ",")
+        streaming.run_delimited_stream(spark, f"{source}/*", wf, out, checkpoint, duplicates="all_time")
+    return spark.read.parquet(out)

@@ -179,6 +179,13 @@ def oracle_sql() -> dict[str, str]:
         "csv_scan_plain": "select doc_id, text, lang, source, n_chars from documents",
         "csv_scan_late_types": """select l_orderkey, l_linenumber,
             case when l_orderkey >= 900 then 'k' || l_orderkey else l_orderkey::varchar end as code from lineitem""",
+        "csv_scan_mixed_headers": """select event_id, user_id, case when event_id % 3 <> 2 then event_type end as event_type,
+            case when event_id % 3 = 1 then value end as value, multi_line from events, (values (true), (false), (null)) as m(multi_line)""",
+        "csv_scan_wide_numbers": """select o_orderkey, case when o_orderkey % 100 = 7 then '99999999999999' else '1' end || lpad(o_orderkey::varchar, 6, '0') as code,
+            case when o_orderkey % 2 = 0 then 9223372036854775807 else o_orderkey end as fits, multi_line
+            from orders, (values (true), (false)) as m(multi_line)""",
+        "csv_scan_header_row": """select case when c_custkey % 10 = 3 then 'c_custkey' else c_custkey::varchar end as c_custkey,
+            case when c_custkey % 10 = 3 then 'c_name' else c_name end as c_name, multi_line from customer, (values (true), (false)) as m(multi_line)""",
         "csv_scan_raw": """select event_id, user_id,
             case when event_id % 7 = 0 then null else event_type end as event_type,
             case when event_id % 5 = 1 then null when event_id % 11 = 0 then ' NULL'
@@ -363,4 +370,8 @@ def oracle_sql() -> dict[str, str]:
             c as (select {clean('lower(body)')} as body, {clean('lower(lang)')} as lang from k),
             n as (select {nullify('body')} as body, {nullify('lang')} as lang from c)
             select distinct body, lang, 2024 as "year", 'ru' as country_code from n where body is not null""",
+        "workflow_stream_csv": f"""with k as (select text as body, {keep('lang', KEPT)} as lang, doc_id % 5 as zeros from documents),
+            c as (select {clean('lower(body)')} as body, {clean('lower(lang)')} as lang, zeros from k),
+            n as (select {nullify('body')} as body, {nullify('lang')} as lang, zeros from c)
+            select distinct body, lang, zeros, 2024 as "year", 'ru' as country_code from n where body is not null""",
     }

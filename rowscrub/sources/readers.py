@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from rowscrub.functions import text as X
 from rowscrub.functions.fields import open_quote, split_fields
 from rowscrub.functions.text import drop_bad_utf8  # noqa: F401
 from rowscrub.operators.columns import map_columns, ref, string_columns, unique_names
-from rowscrub.operators.records import RECORD_LIMIT, read_records
-from rowscrub.session import discard
+from rowscrub.operators.layouts import Layouts, arranged, file_layouts, with_layout
+from rowscrub.operators.records import RECORD_LIMIT, split_records
+from rowscrub.session import discard, via_table
 from rowscrub.sources.sinks import write_parquet
 
 INGEST_FORMAT = 2  # changes when ingest() would write another table from the same source
@@ -74,14 +75,6 @@ def clean_header(names: Sequence[str]) -> list[str]:
     return unique_names(n.replace('"', "").strip() for n in names)
 
 
-def first_line(spark: SparkSession, path: str | Sequence[str], line_sep: str | None = None) -> str | None:
-    """The first line of a file, or of one of the files of a folder."""
-    reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
-    lines = reader.option("pathGlobFilter", "*").text(path if isinstance(path, str) else list(path)).where("_metadata.file_block_start = 0")
-    row = lines.head()
-    return None if row is None else row["value"]
-
-
 def _all_text(names: Sequence[str]) -> str:
     return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
 
@@ -98,36 +91,63 @@ def scan_plain(
     """Delimited text with header and double-quote quoting.
 
     Quoted fields may hold newlines. ``multi_line=False`` saves the passes that find such records; a line
-    that leaves a quote open then fails the job. Every file starts with the header; the first file by name
-    names the columns, and a repeated name gets ``_2``, ``_3``. Extra fields are cut, missing ones are null, lines of
-    white space are skipped. Types come from all rows, or only from the first ``infer_rows``; then a later cell that
-    does not fit becomes null (:func:`misfits` counts them). Records of more than ``limit`` characters fail the job.
+    that leaves a quote open then fails the job. Every file follows its own header: the first file by name
+    names the columns, others add theirs, and a column that a file lacks is null there; a name that a file repeats gets ``_2``, ``_3``.
+    Extra fields are cut, missing ones are null, lines of white space are skipped. Types come from all rows, or only from the first
+    ``infer_rows``; then a later cell that does not fit becomes null (:func:`misfits` counts them). Records of more than ``limit``
+    characters fail the job.
     """
-    reader = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"}
     if multi_line:
-        records = read_records(spark, path, delimiter, limit)
+        first, records = split_records(spark, path, delimiter, limit)
         too_long = F.raise_error(F.lit(f"record of more than {limit} characters: quote not closed?")).cast("string")
-        value = F.when(F.col("chars") > limit, too_long).otherwise(F.col("value"))
-        first = records.where("row_number = 1").orderBy("file").select("value").head()
-        header = first["value"] if first else None
-        lines = records.where("row_number > 1").select(value.alias("value"))
+        heads = first.select("file", F.col("value").alias("header"))
+        lines = records.select("file", F.when(F.col("chars") > limit, too_long).otherwise(F.col("value")).alias("value"))
     else:
-        lines = spark.read.text(path if isinstance(path, str) else list(path))
-        header = first_line(spark, path)
+        heads = first_lines(spark, path)
         open_ = F.raise_error(F.lit("quote not closed on its line; read with multi_line=True")).cast("string")
-        checked = F.when(open_quote(F.col("value"), delimiter), open_).otherwise(F.col("value"))
-        lines = lines.where(F.col("value") != header).select(checked.alias("value")) if header is not None else lines
-    if header is None:
-        raise ValueError(f"no header in {path}")
-    given = spark.createDataFrame([(header,)], "value string").select(split_fields(F.col("value"), delimiter)).first()[0]
+        lines = lines_below(spark, path).select("file", F.when(open_quote(F.col("value"), delimiter), open_).otherwise(F.col("value")).alias("value"))
     ignore_case = spark.conf.get("spark.sql.caseSensitive") != "true"
-    names = unique_names(given, ignore_case)
-    full = lines.where(F.trim(F.col("value")) != "")
-    raw = full.select(F.from_csv("value", _all_text([f"c{i}" for i in range(len(names))]), reader).alias("cells"))
-    raw = raw.select(*[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)])
+
+    def names_of(headers: list[str]) -> list[list[str]]:
+        rows = spark.createDataFrame(list(enumerate(headers)), "i int, value string")
+        return [unique_names(r["fields"], ignore_case) for r in rows.select("i", split_fields(F.col("value"), delimiter).alias("fields")).orderBy("i").collect()]
+
+    layouts = _layouts(heads, names_of, path)
+    full = with_layout(lines.where(F.trim(F.col("value")) != ""), layouts)
+    reader = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"}
+    places = [f"c{i}" for i in range(max(map(len, layouts.headers)))]
+    cells = full.select("layout", F.from_csv("value", _all_text(places), reader).alias("cells"))
+    raw = cells.select(*arranged(F.array(*[F.col(f"cells.{c}") for c in places]), layouts))
     return infer_types(raw, infer_rows) if infer else raw
 
 
+NO_CHARACTER = "\uffff\ufffe\uffff"
+"""A separator that stands in no text."""
+
+
+def lines_below(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, value``: the lines of text files without the first one of each that is not blank, and without empty ones."""
+    reader = spark.read.schema("value string").option("header", True).option("enforceSchema", True)
+    plain = reader.option("sep", NO_CHARACTER).option("quote", "").option("escape", "\u0000").option("maxCharsPerColumn", -1)
+    return plain.csv(path if isinstance(path, str) else list(path)).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def first_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, header``: the first line of each file that is not blank. One read of the text, without a shuffle of it."""
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value"
+    )
+    first = lines.where((F.col("block") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "seq").alias("header"))
+    return via_table(first, "first-lines")
+
+
+def _layouts(heads: DataFrame, names_of: Callable[[list[str]], list[list[str]]], path: str | Sequence[str]) -> Layouts:
+    layouts = file_layouts(heads, names_of, str(path))
+    if not layouts.headers:
+        raise ValueError(f"no header in {path}")
+    return layouts
+
+
 def scan_raw(
     spark: SparkSession,
     path: str,
@@ -138,28 +158,32 @@ def scan_raw(
 ) -> DataFrame:
     """Delimited text without quoting: null tokens, cut and padded rows, cleaned header.
 
-    ``strip_quotes`` drops double quotes from the text columns after type inference.
-    Bytes that are not UTF-8 are read as U+FFFD.
+    Every file follows its own header, as in :func:`scan_plain`. ``strip_quotes`` drops double quotes from the text columns after
+    type inference. Bytes that are not UTF-8 are read as U+FFFD.
     """
-    header = first_line(spark, path)
-    if header is None:
-        raise ValueError(f"no header in {path}")
-    names = clean_header(header.split(delimiter))
-    reader = spark.read.schema(_all_text(names)).option("header", True).option("enforceSchema", True)
+    layouts = _layouts(first_lines(spark, path), lambda headers: [clean_header(h.split(delimiter)) for h in headers], path)
+    places = [f"c{i}" for i in range(max(map(len, layouts.headers)))]
+    reader = spark.read.schema(_all_text(places)).option("header", True).option("enforceSchema", True)
     raw = reader.option("sep", delimiter).option("quote", "").option("mode", "PERMISSIVE").csv(path)
-    df = map_columns(raw, raw.columns, X.null_tokens)
+    rows = with_layout(raw.select(F.col("_metadata.file_path").alias("file"), F.array(*places).alias("cells")), layouts)
+    df = rows.select(*arranged(F.col("cells"), layouts))
+    df = map_columns(df, df.columns, X.null_tokens)
     df = infer_types(df, infer_rows) if infer else df
     return map_columns(df, string_columns(df), X.strip_double_quotes) if strip_quotes else df
 
 
 def inferred_types(sample: DataFrame) -> dict[str, str]:
-    """The narrowest of bigint, double, boolean, string that fits all values of each column."""
+    """The narrowest of bigint, double, boolean, string that fits all values of each column.
+
+    Whole numbers of which one is beyond bigint stay text, as a double would lose digits of them.
+    """
     checks = []
     for i, name in enumerate(sample.columns):
         c = ref(name)
         checks += [
             F.count(c).alias(f"n{i}"),
-            F.bool_and(c.rlike(INTEGER)).alias(f"i{i}"),
+            F.bool_and(c.rlike(INTEGER)).alias(f"w{i}"),
+            F.bool_and(F.when(c.isNotNull(), c.rlike(INTEGER) & c.try_cast("bigint").isNotNull())).alias(f"i{i}"),
             F.bool_and(c.rlike(INTEGER) | c.rlike(FRACTION)).alias(f"d{i}"),
             F.bool_and(c.rlike(BOOLEAN)).alias(f"b{i}"),
         ]
@@ -168,6 +192,8 @@ def inferred_types(sample: DataFrame) -> dict[str, str]:
     def kind(i: int) -> str:
         if not row[f"n{i}"]:
             return "string"
+        if row[f"w{i}"] and not row[f"i{i}"]:
+            return "string"
         fits = [("i", "bigint"), ("d", "double"), ("b", "boolean")]
         return next((t for key, t in fits if row[f"{key}{i}"]), "string")
 
@@ -188,6 +214,28 @@ def infer_types(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.select(*[_typed(c, kinds[c]).alias(c) for c in df.columns])
 
 
+def with_types(df: DataFrame, types: Mapping[str, str], strict: bool = True) -> DataFrame:
+    """Text columns as the given columns and types; one that is not there is null.
+
+    A cell that does not fit its type fails the job, as do columns that ``types`` lacks; without ``strict`` the one
+    becomes null and the others are left out.
+    """
+    unknown = [c for c in df.columns if c not in types]
+    if strict and unknown:
+        raise ValueError(f"columns without a type: {unknown}")
+
+    def one(name: str, kind: str) -> Column:
+        if name not in df.columns:
+            return F.lit(None).cast(kind).alias(name)
+        cell = _typed(name, kind)
+        if strict and kind != "string":
+            wrong = F.raise_error(F.concat(F.lit(f"{name} is not {kind}: "), ref(name))).cast(kind)
+            cell = F.when(ref(name).isNotNull() & cell.isNull(), wrong).otherwise(cell)
+        return cell.alias(name)
+
+    return df.select(*[one(name, kind) for name, kind in types.items()])
+
+
 def misfits(df: DataFrame, rows: int) -> DataFrame:
     """``column, misfits``: cells of each text column that types from the first ``rows`` rows would turn to null."""
     kinds = inferred_types(df.limit(rows))
@@ -229,15 +277,21 @@ def ingest(
     options = json.dumps({"delimiter": delimiter, "infer": infer, "format": INGEST_FORMAT}, sort_keys=True)
     state = f"{source_state(spark, path)} {options}"
     marker = out.rstrip("/") + ".source"
-    if not overwrite and _read_marker(spark, marker) == state:
+    if not overwrite and read_marker(spark, marker) == state:
         return spark.read.parquet(out), True
     discard(spark, marker)
     write_parquet(scan_raw(spark, path, delimiter, infer), out, mode="overwrite")
-    spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(marker)
+    write_marker(spark, marker, state)
     return spark.read.parquet(out), False
 
 
-def _read_marker(spark: SparkSession, marker: str) -> str | None:
+def write_marker(spark: SparkSession, marker: str, value: str) -> None:
+    """Keep one line of text at a path that has nothing yet."""
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(marker)
+
+
+def read_marker(spark: SparkSession, marker: str) -> str | None:
+    """The line kept at a path, if there is one."""
     try:
         row = spark.read.text(marker).head()
     except Exception as error:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from typing import Literal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from rowscrub.operators.columns import ref
 from rowscrub.operators.rows import dedup_keys
 from rowscrub.plans.settings import Workflow
 from rowscrub.plans.workflow import clean_rows
+from rowscrub.sources.readers import inferred_types, read_marker, scan_plain, with_types, write_marker
 
 Duplicates = Literal["all_time", "watermark", "keep"]
 
@@ -87,3 +90,71 @@ def run_stream(
     writer = cleaned.writeStream.format("parquet").option("compression", "zstd").outputMode("append")
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     query.awaitTermination()
+
+
+def stage_delimited(
+    spark: SparkSession,
+    path: str,
+    folder: str,
+    delimiter: str = ",",
+    types: Mapping[str, str] | None = None,
+    strict: bool = True,
+    files_per_batch: int | None = None,
+) -> DataFrame | None:
+    """Read the delimited files that have arrived below a path as :func:`scan_plain` does, into Parquet files of one schema.
+
+    Only the names of files are streamed; every batch reads its files whole, so that quoted newlines, headers and files of
+    several blocks are as in the batch job. Columns and types are fixed once: those given, or else what all rows of the
+    first batch fit; they are kept in the folder. Later cells that do not fit, and later columns, fail the batch, or
+    without ``strict`` are null or left out. A batch writes a folder of its own and replaces it when it has to run
+    again. Returns an empty table with the schema, or None if no file has arrived yet.
+    """
+    folder = folder.rstrip("/")
+
+    def read(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        names = [row["path"] for row in batch.select("path").collect()]  # as many as a batch has files
+        if not names:
+            return
+        rows = scan_plain(session, names, delimiter, infer=False)
+        known = read_marker(session, f"{folder}/types")
+        if known is None:
+            known = json.dumps(dict(types) if types else inferred_types(rows))
+            write_marker(session, f"{folder}/types", known)
+        with_types(rows, json.loads(known), strict).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    names = reader.load(path).select("path")
+    names.writeStream.foreachBatch(read).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    known = read_marker(spark, f"{folder}/types")
+    if known is None:
+        return None
+    fields = ", ".join("`" + name.replace("`", "``") + f"` {kind}" for name, kind in json.loads(known).items())
+    return spark.createDataFrame([], fields)
+
+
+def run_delimited_stream(
+    spark: SparkSession,
+    path: str,
+    wf: Workflow,
+    out: str,
+    checkpoint: str,
+    duplicates: Duplicates,
+    delimiter: str = ",",
+    types: Mapping[str, str] | None = None,
+    strict: bool = True,
+    files_per_batch: int | None = None,
+    salts: int = 16,
+) -> None:
+    """:func:`run_stream` for delimited files: first into Parquet files (:func:`stage_delimited`), then the job over these.
+
+    Both steps keep what they have done below ``checkpoint``. The second one starts when the first one has finished, so it
+    never sees the files of an unfinished batch. The staged files may be deleted once a run has ended.
+    """
+    staged = f"{checkpoint.rstrip('/')}/delimited"
+    like = stage_delimited(spark, path, staged, delimiter, types, strict, files_per_batch)
+    if like is not None:
+        stream = stream_files(spark, f"{staged}/rows/*", like=like, files_per_batch=files_per_batch)
+        run_stream(stream, wf, out, f"{checkpoint.rstrip('/')}/rows", duplicates, salts=salts)

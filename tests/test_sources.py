@@ -95,6 +95,56 @@ def test_types_come_from_all_rows(spark, tmp_path):
     assert rows(readers.misfits(readers.scan_plain(spark, path, infer=False), 1000)) == [("id", 0), ("v", 1)]
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_every_file_follows_its_header(spark, tmp_path, multi_line):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y\n1,2\n")
+    (folder / "b.csv").write_text("y,x,z\n20,10,30\n\n21,11\n")
+    (folder / "c.csv").write_text("\"x\"\n100\n")
+    df = readers.scan_plain(spark, str(folder), multi_line=multi_line)
+    assert df.columns == ["x", "y", "z"]
+    assert sorted(map(tuple, df.collect())) == [(1, 2, None), (10, 20, 30), (11, 21, None), (100, None, None)]
+    raw = readers.scan_raw(spark, str(folder))
+    assert raw.dtypes == [("x", "bigint"), ("y", "bigint"), ("z", "bigint")]
+    assert sorted(map(tuple, raw.collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_rows_like_the_header_stay(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("x,y\nx,y\n1,2\nx,y\n")
+    df = readers.scan_plain(spark, str(tmp_path / "a.csv"), multi_line=multi_line)
+    assert sorted(map(tuple, df.collect())) == [("1", "2"), ("x", "y"), ("x", "y")]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_numbers_beyond_bigint_keep_their_digits(spark, tmp_path, multi_line):
+    big = ["99999999999999999999", "9223372036854775808", "-9223372036854775809"]
+    (tmp_path / "a.csv").write_text("a,b,c,d\n" + "".join(f"{v},9223372036854775807,1.5,\n{v},,{v},\n" for v in big))
+    df = readers.scan_plain(spark, str(tmp_path / "a.csv"), multi_line=multi_line)
+    assert df.dtypes == [("a", "string"), ("b", "bigint"), ("c", "double"), ("d", "string")]
+    assert sorted({r["a"] for r in df.collect()}) == sorted(big)
+    assert {r["b"] for r in df.collect()} == {None, 2**63 - 1}
+    assert readers.scan_raw(spark, str(tmp_path / "a.csv")).dtypes[0] == ("a", "string")
+
+
+def test_no_python_where_no_quote_goes_on(spark, tmp_path):
+    for name, body in {"plain": 'id,v\n1,"a, b"\n2,c\n', "newline": 'id,v\n1,"a\nb"\n2,c\n'}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(body)
+    plans = {name: df_plan(readers.scan_plain(spark, str(tmp_path / name))) for name in ("plain", "newline")}
+    assert "MapInPandas" not in plans["plain"]
+    assert plans["newline"].count("MapInPandas") == 1
+    assert rows(readers.scan_plain(spark, str(tmp_path / "plain"))) == [(1, "a, b"), (2, "c")]
+
+
+def test_header_over_several_lines_and_blank_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,"v\nw"\n1,"a\nb"\n\n2,c\n')
+    df = readers.scan_plain(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["id", "v\nw"]
+    assert rows(df) == [(1, "a\nb"), (2, "c")]
+
+
 def test_ingest_depends_on_its_options(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a;b\n1;2\n")
     source, out = str(tmp_path / "a.csv"), str(tmp_path / "out")

@@ -68,3 +68,42 @@ def test_delimited_stream(spark, tmp_path):
     stream = S.stream_files(spark, str(tmp_path / "in"), fmt="csv", header=True)
     S.run_stream(stream, WF, str(tmp_path / "out"), str(tmp_path / "state"), "all_time")
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("body")) == [("x1",)]
+
+
+DELIMITED = Workflow.from_dict({"dedup": {"unique_columns": ["id", "v"]}, "not_empty": {"columns": ["v"]}, "year": 2024})
+
+
+def test_delimited_stream_equals_batch(spark, tmp_path):
+    """Quoted newlines, zeros, headers in other orders, copies over several arrivals."""
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    run = lambda: S.run_delimited_stream(spark, str(source), DELIMITED, out, state, "all_time", files_per_batch=1)
+    (source / "a.csv").write_text('id,n,v\n1,0,"half\na text"\n2,5,x\n2,5,x\n')
+    run()
+    (source / "b.csv").write_text('v,id,n\nx,2,5\n"y\n\nz",3,0\n')
+    (source / "c.csv").write_text("id,v\n4,w\n5,\n")
+    run()
+    run()
+    batch = str(tmp_path / "batch")
+    W.run_workflow(spark, str(source), DELIMITED, batch)
+    got, want = spark.read.parquet(out), spark.read.parquet(batch)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert got.count() == 4 and got.where("n = 0").count() == 2
+
+
+def test_types_are_fixed_by_the_first_batch(spark, tmp_path):
+    source, folder = tmp_path / "in", str(tmp_path / "staged")
+    source.mkdir()
+    assert S.stage_delimited(spark, str(source), folder) is None
+    (source / "a.csv").write_text("id,n\n1,2\n")
+    assert S.stage_delimited(spark, str(source), folder).dtypes == [("id", "bigint"), ("n", "bigint")]
+    (source / "b.csv").write_text("id,n\n2,x\n")
+    with pytest.raises(Exception, match="n is not bigint"):
+        S.stage_delimited(spark, str(source), folder)
+    # The batch that failed runs again, and what it had written is replaced.
+    S.stage_delimited(spark, str(source), folder, strict=False)
+    assert sorted(map(tuple, spark.read.parquet(f"{folder}/rows/*").collect()), key=repr) == [(1, 2), (2, None)]
+    (source / "c.csv").write_text("id,extra\n3,1\n")
+    with pytest.raises(Exception, match="without a type"):
+        S.stage_delimited(spark, str(source), folder)
