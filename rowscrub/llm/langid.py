@@ -8,6 +8,7 @@ tasks. The matrix of log probabilities has one row for each learned language and
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ MOST_LANGUAGES = 512
 """More distinct languages in the training rows raise an error; the matrix then has 64 MB."""
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
+"""Fractions, Roman numerals and the like, which `\\w` takes for word characters; letters are Unicode's category L alone."""
+LETTER = re.compile(rf"[^\W\d_{NUMERALS}]")
+OTHER = re.compile(rf"[\W\d_{NUMERALS}]+")
 
 
 def prepared(text: str | None) -> str:

@@ -338,7 +338,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, block:
     classes. A null doc_id counts as the largest when the least is taken; a class of nothing else has a null class_id. An
     empty table gives no rows; other columns are not carried.
     """
-    chunked = in_chunks(documents)
+    chunked = in_chunks(documents, by_text=True)
     buckets = chunked.buckets(1 / 6)
     frequencies = written(document_frequencies(chunked, buckets), "frequencies")
     signed = written(signatures(chunked, frequencies, buckets), "signatures")

@@ -9,6 +9,7 @@ its waste rules out an improvement.
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 from collections.abc import Iterator
@@ -80,8 +81,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def fillings(rest: Multiset, room: int, waste: int) -> list[tuple[int, ...]]:
     """Undominated ways to fill the room with at most `waste` left over, fullest first.
 
-    Lengths are tried from the largest that fits on, at every place. A filling is dominated by one of at most as many
-    pieces that are all at least as long. At most `TRIES` lengths are tried and `WIDTH` fillings returned.
+    Lengths are tried from the largest that fits on, at every place. A filling is dominated by one into whose pieces
+    its own can be dealt. At most `TRIES` lengths are tried and `WIDTH` fillings returned.
     """
     found: list[tuple[int, ...]] = []
     taken: list[int] = []
@@ -108,7 +109,15 @@ def fillings(rest: Multiset, room: int, waste: int) -> list[tuple[int, ...]]:
 
 
 def _dominates(filling: tuple[int, ...], other: list[int]) -> bool:
-    return len(filling) <= len(other) and sum(filling) >= sum(other) and all(a >= b for a, b in zip(filling, other, strict=False))
+    """Can the other's pieces, put where they fit most tightly, be dealt into this one's? Then this one leaves the easier rest."""
+    rooms = sorted(filling)
+    for length in other:
+        at = bisect.bisect_left(rooms, length)
+        if at == len(rooms):
+            return False
+        left = rooms.pop(at) - length
+        bisect.insort(rooms, left)
+    return True
 
 
 def complete(lengths: np.ndarray, capacity: int, incumbent: list[list[int]], nodes: int = NODES) -> list[list[int]]:

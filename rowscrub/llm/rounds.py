@@ -71,11 +71,12 @@ def rest_of(table: pa.Table | pa.RecordBatch) -> dict[str, pa.Array]:
     return {"rest": table.column("rest")} if "rest" in table.schema.names else {}
 
 
-def in_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> Chunked:
+def in_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False, by_text: bool = False) -> Chunked:
+    """The documents dealt by their ids; with `by_text` by ids and texts, which spreads rows of one id or of none."""
     chosen = with_rest(documents, carry)
     size, rows = chosen.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.count(F.lit(1))).first()
     chunks = max(1, math.ceil((size or 0) / chunk_bytes))
-    return Chunked(chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "*"), size or 0, rows, chunks)
+    return Chunked(chosen.select(F.pmod(F.xxhash64("doc_id", *(["text"] if by_text else [])), F.lit(chunks)).cast("int").alias("chunk"), "*"), size or 0, rows, chunks)
 
 
 def documents_of(table: pa.Table) -> Documents:

@@ -1,6 +1,5 @@
 """License scan, quality rules, language, tokens, packing, preference pairs."""
 
-import hashlib  # noqa: F401
 import random
 import re
 import zlib
@@ -13,6 +12,7 @@ from tokenizers import Tokenizer
 
 from llm.conftest import by_id, pieces, words
 from rowscrub.llm.chat import conversations, parroted, preference_pairs
+from rowscrub.llm import langid, packing
 from rowscrub.llm.langid import language_id
 from rowscrub.llm.licenses import Scanner, license_scan, rules, suppressed
 from rowscrub.llm.packing import best_fit, complete, pack, pack_documents
@@ -265,3 +265,58 @@ def test_preference_pairs(spark):
     assert preference_pairs(table.where("false").withColumn("rejected", F.col("chosen"))).count() == 0
     side = table.select("conv_id", F.lit(None).cast("array<struct<role:string,text:string>>").alias("rejected"), "chosen", F.lit(1).alias("prompt"))
     assert {r["n_common"] for r in preference_pairs(side).collect()} == {0}
+
+
+@pytest.mark.parametrize(
+    ("lengths", "capacity", "best"),
+    [([55, 54, 53, 45, 41, 40, 27, 22, 19, 13, 10, 10, 10], 100, 4), ([6, 5, 5, 4, 3, 2, 5], 10, 3), ([10] * 7, 10, 7), ([1] * 25, 10, 3)],
+)
+def test_packing_keeps_the_optimum(lengths, capacity, best):
+    """Fewer and longer pieces of one sum do not dominate unless the others can be dealt into them."""
+    sequence, _ = packing.pack(np.array(lengths), capacity)
+    assert len(set(sequence.tolist())) == best
+    sums = np.bincount(sequence, np.array(lengths))
+    assert sums.max() <= capacity
+
+
+def test_dominance_is_dealing():
+    assert packing._dominates((6, 4), [6, 3, 1])
+    assert packing._dominates((6, 4), [4, 2, 2, 2])
+    assert not packing._dominates((6, 4), [5, 3, 2])
+    assert not packing._dominates((), [1])
+    assert packing._dominates((5,), [])
+
+
+def test_letters_are_category_l():
+    for text in ("½ ② ", "Ⅷ", "\u0301\u0302", "123 ٣ _", "²³¹", "", None):
+        assert langid.prepared(text) == ""
+    for text in ("a½", "②日", "é", "e\u0301", "ª"):
+        assert langid.prepared(text) != ""
+    assert langid.prepared("A½b②c") == " a b c "
+
+
+def test_naive_bayes_by_hand(spark):
+    """Counts, smoothing and posteriors worked out gram by gram."""
+    learned = [("en", "the cat"), ("en", "a hat"), ("de", "die katze"), ("de", "der hut"), (None, "zzz")]
+    langs, matrix = langid.train(spark.createDataFrame([(i, t, la) for i, (la, t) in enumerate(learned)], "doc_id long, text string, lang string"))
+    assert langs == ["de", "en"]
+    counts = {la: np.full(langid.FEATURES, langid.SMOOTHING) for la in langs}
+
+    def grams(text):
+        return langid.features([langid.prepared(text)])[0].tolist()
+
+    for la, text in learned:
+        for g in grams(text) if la else ():
+            counts[la][g] += 1
+    logs = {la: np.log(c / c.sum()) for la, c in counts.items()}
+    tests = ["the hut", "katze", "hat", "½", None, "x"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), langs, matrix)
+    for row in got.collect():
+        text = tests[row["doc_id"]]
+        if not text or text == "½":
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        sums = {la: sum(logs[la][g] for g in grams(text)) for la in langs}
+        best = max(langs, key=lambda la: sums[la])
+        assert row["lang_pred"] == best
+        assert row["score"] == pytest.approx(1 / sum(np.exp(v - sums[best]) for v in sums.values()), rel=1e-4)

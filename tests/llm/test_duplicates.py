@@ -15,7 +15,7 @@ from rowscrub.llm.arrays import text_bytes
 @pytest.fixture(params=[1 << 12, 4 << 20], autouse=True)
 def chunk_bytes(request, monkeypatch):
     """Many chunks and buckets, and one."""
-    monkeypatch.setattr(rounds.in_chunks, "__defaults__", (request.param, False))
+    monkeypatch.setattr(rounds.in_chunks, "__defaults__", (request.param, False, False))
     if request.param < 1 << 20:
         monkeypatch.setattr(rounds, "BUCKET_KEYS", 500)
     return request.param

@@ -18,8 +18,8 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, connect(FOLDER), name, FOLDER) is None
 
 
-def test_ten_operators():
-    assert sorted(int(f.__name__[2:].split("_")[0]) for f in OPERATORS) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(f.__name__[2:].split("_")[0]) for f in OPERATORS) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,14 @@ def test_odd_and_empty_tables(spark, folder, odd, empty):
             docs = stage(spark, docs, folder)
             docs.count()
     assert empty.schema.simpleString() == spark.createDataFrame([], COLUMNS).schema.simpleString()
+
+
+def test_near_dedup_by_row(spark):
+    """Rows without an id and rows that share one: copies among them go, different texts stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    third = " ".join(f"y{i}" for i in range(60))
+    rows = [(None, text), (None, text), (5, text + " and"), (7, text), (5, other), (None, other), (None, third), (None, third), (9, None), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(repr, ((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())))
+    assert got == sorted(map(repr, [(5, text + " and"), (5, other), (None, third), (9, None), (None, None)]))
