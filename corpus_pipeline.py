@@ -41,13 +41,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class. Rows without doc_id stay; repeated rows count as copies."""
-    kept = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    number = "copy" + "_" * max(map(len, docs.columns))
-    copies = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("doc_id")
-    once = stay.select("*", F.row_number().over(copies).alias(number)).where(F.col(number) == 1).drop(number)
-    return once.unionByName(docs.where("doc_id is null"))
+    """One row of each class: the one with the least doc_id, a null one last, and the least key of equal ones.
+
+    The key of a row is a hash of its doc_id and text, so rows without an id and rows that share one are told apart; rows
+    that are equal in both are copies, of which one stays.
+    """
+    name = "row" + "_" * max(map(len, docs.columns))
+    keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), F.col("text").cast("string")))
+    rows = keyed.select(F.col(name).alias("doc_id"), "text")
+    classes = near_duplicates(rows).distinct().withColumnRenamed("doc_id", name)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(name))
+    least = keyed.select(name, "doc_id").join(classes, name).groupBy("class_id").agg(F.min(order)[name].alias(name))
+    copies = Window.partitionBy(name).orderBy("doc_id")
+    stay = keyed.join(least.select(name), name, "left_semi").withColumn(name + "_", F.row_number().over(copies))
+    return stay.where(F.col(name + "_") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
