@@ -28,14 +28,17 @@ MOST_LANGUAGES = 512
 """More distinct languages in the training rows raise an error; the matrix then has 64 MB."""
 UNKNOWN = "und"
 
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
+LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
+NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
 """Fractions, Roman numerals and the like, which `\\w` takes for word characters; letters are Unicode's category L alone."""
-LETTER = re.compile(rf"[^\W\d_{NUMERALS}]")
-OTHER = re.compile(rf"[\W\d_{NUMERALS}]+")
+BLANKED = dict.fromkeys(map(ord, NUMERALS), " ")
 
 
 def prepared(text: str | None) -> str:
     """The text in lower case with one blank for each run of non-letters and at both ends; empty without a letter."""
+    if text and not text.isascii() and not NUMERALS.isdisjoint(text):
+        text = text.translate(BLANKED)
     return OTHER.sub(" ", f" {text.lower()} ") if text and LETTER.search(text) else ""
 
 
