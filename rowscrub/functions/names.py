@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -76,6 +77,6 @@ def output_name(
 
 
 def valid_output_name(c: Column, prefix: str, allowed: Iterable[str] = COUNTRY_CODES) -> Column:
-    shape = rf"\A{prefix}-[a-z]{{2}}-[a-z0-9_-]+-\p{{Nd}}{{4}}-v\p{{Nd}}+\.parquet\n?\z"
+    shape = rf"\A{re.escape(prefix)}-[a-z]{{2}}-[a-z0-9_-]+-\p{{Nd}}{{4}}-v\p{{Nd}}+\.parquet\n?\z"
     country = F.split_part(c, F.lit("-"), F.lit(prefix.count("-") + 2))
     return F.coalesce(c.rlike(shape) & valid_country(country, allowed), F.lit(False))

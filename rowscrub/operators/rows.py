@@ -66,7 +66,7 @@ def dedup(
         return df.dropDuplicates()
     key = [ref(k) for k in keys]
     order = [ref(o) if isinstance(o, str) else o for o in order_by or keys]
-    rank = "__rank"
+    rank = "rank" + "_" * max(map(len, df.columns))  # a name that no column has
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(F.xxhash64(*key), *key).orderBy(*order)))
     return ranked.where(F.col(rank) <= 1).drop(rank)
 

@@ -54,3 +54,8 @@ def test_valid_names(column):
 def test_hashes(column):
     assert column(N.short_hash, "ab", "ю") == [hashlib.md5(v.encode()).hexdigest()[:20] for v in ("ab", "ю")]
     assert column(N.content_hash, "ab") == [hashlib.sha256(b"ab").hexdigest()]
+
+
+def test_prefix_is_no_pattern(column):
+    names = ("a.b-ru-x-2024-v1.parquet", "aXb-ru-x-2024-v1.parquet")
+    assert column(lambda c: N.valid_output_name(c, "a.b"), *names) == [True, False]

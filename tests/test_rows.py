@@ -68,3 +68,10 @@ def test_heads_and_slices(spark):
     assert R.head_rows(df, 7).count() == 7
     assert [r[0] for r in R.slice_rows(df, 10, 3, ["id"]).collect()] == [10, 11, 12]
     assert R.vstack([df, df, df]).count() == 300
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("b", 3, 9)], "k string, __rank int, rank int")
+    got = R.dedup(df, ["k"], ["__rank"])
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 7), ("b", 3, 9)]
