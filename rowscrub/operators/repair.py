@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowscrub.functions.fields import open_quote, split_fields
@@ -149,8 +149,8 @@ def repair_csv(
 ) -> DataFrame:
     """Write valid records and bad records apart; returns the counts.
 
-    The input is split and checked once, into a staging table partitioned by outcome; both
-    outputs and the counts read their own part of it.
+    The input is split and checked once, into a staging table partitioned by outcome, of which both
+    outputs read their own part. The counts are taken by the job that writes this table.
     """
     with pinned_blocks(spark):
         return _repair(spark, path, valid_out, bad_out, delimiter, export_delimiter, types, multi_line)
@@ -161,11 +161,12 @@ def _repair(spark, path, valid_out, bad_out, delimiter, export_delimiter, types,
     part = F.coalesce("error_type", F.lit("valid")).alias("part")
     checked = checked.select("row_number", "fields", "error_type", "description", "content", part)
     staged = scratch_path(spark, "checked")
-    checked.write.partitionBy("part").parquet(staged)
+    counted = Observation()
+    kinds = ("valid", STRUCTURE, PROCESSING)
+    checked.observe(counted, *[F.count_if(F.col("part") == kind).alias(kind) for kind in kinds]).write.partitionBy("part").parquet(staged)
     table = spark.read.schema(checked.schema).parquet(staged)
     write_repaired_csv(valid_rows(table.where("part = 'valid'"), header), valid_out, export_delimiter)
     write_csv(bad_rows(table.where("part <> 'valid'")), bad_out, export_delimiter, quote_all=True)
-    counts = repair_counts(table)
-    result = spark.createDataFrame(counts.collect(), counts.schema)  # at most three rows
     discard(spark, staged)
-    return result
+    records = [(kind, counted.get[kind]) for kind in kinds if counted.get[kind]]
+    return spark.createDataFrame(records, "error_type string, records long")

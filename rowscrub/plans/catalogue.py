@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from rowscrub.plans import workflow as W
 from rowscrub.plans.settings import Workflow
 from rowscrub.session import scratch_path
 from rowscrub.sources import inspect as I
-from rowscrub.sources import readers, sinks
+from rowscrub.sources import published, readers, sinks, sized
 from rowscrub.streaming import files as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +193,21 @@ def ingest_reuse(spark, folder):
     return again.withColumn("reused", F.lit(reused))
 
 
+@query
+def ingest_failed(spark, folder):
+    """A version that fails midway leaves the published one, which is also read while the next is published."""
+    out = scratch_path(spark, "versions")
+    parts = table(spark, folder, "part")
+    before = published.publish(parts, out)
+    try:
+        published.publish(before.withColumn("p_name", F.when(F.col("p_partkey") % 2 == 0, F.raise_error(F.lit("stop"))).otherwise(F.col("p_name"))), out)
+    except PySparkException:
+        failed = published.read_published(spark, out)
+        published.publish(before.where("p_partkey % 2 = 0"), out)
+        return failed.withColumn("part", F.lit("old")).unionByName(published.read_published(spark, out).withColumn("part", F.lit("new")))
+    raise AssertionError("the version was written")
+
+
 @query
 def ingest_reuse_options(spark, folder):
     """The same files read with another delimiter are another table."""
@@ -214,6 +230,19 @@ def delimiter_profile(spark, folder):
     return I.delimiter_profile(I.text_lines(table(spark, folder, "documents"), "doc_id", "text", I.DELIMITER_LINES))
 
 
+@query
+def delimiter_consistency(spark, folder):
+    """Files of forty events each, with another delimiter unevenly inside a field, or of one field."""
+    file = F.expr("event_id div 40")
+    part = F.get(F.array(*[F.lit(d) for d in I.DELIMITERS]), (file % 4).cast("int"))
+    other = F.when(part == ",", F.lit("; ")).otherwise(F.lit(", "))
+    noise = F.when(F.col("event_id") % 40 > 0, F.repeat(other, (F.col("event_id") % 7).cast("int"))).otherwise("title")
+    quoted = F.concat(F.lit('"'), "event_type", part, part, other, F.lit('"'))
+    line = F.when(file % 9 == 0, quoted).otherwise(F.concat(F.col("event_id").cast("string"), part, noise, part, quoted))
+    number = F.col("event_id") % 40 + 1
+    return I.consistent_delimiter(table(spark, folder, "events").select(file.alias("file"), number.alias("line_no"), line.alias("line")))
+
+
 @query
 def has_quotes(spark, folder):
     quoted = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\nit's"))).otherwise(F.col("text"))
@@ -387,6 +416,15 @@ def write_split(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def write_sized(spark, folder):
+    """All rows again, and whether every file but the last is within 20 % of the size asked for."""
+    path, target = scratch_path(spark, "sized"), 0.1
+    sizes = sized.write_sized(table(spark, folder, "lineitem"), path, target)
+    fits = all(abs(size / (target * (1 << 20)) - 1) < 0.2 for size in sizes[:-1])
+    return spark.read.parquet(path).withColumn("fits", F.lit(fits))
+
+
 @query
 def write_csv_minimal(spark, folder):
     path = scratch_path(spark, "csv-minimal")
@@ -530,6 +568,15 @@ def slice_rows(spark, folder):
     return R.slice_rows(table(spark, folder, "conversations"), 100, 50, ["conv_id", "turn"]).select("conv_id", "turn", "text")
 
 
+@query
+def slice_by_position(spark, folder):
+    """Rows in the middle of a table that lies sorted in several files."""
+    path = scratch_path(spark, "by-position")
+    orders = table(spark, folder, "orders")
+    orders.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return sized.slice_table(spark, path, 700, 600)
+
+
 @query
 def vstack(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -197,6 +197,7 @@ def oracle_sql() -> dict[str, str]:
         "utf8_repair": "select doc_id, chr(65533) || text || chr(65533) as replaced, text as dropped from documents",
         "parquet_scan": "select * from conversations",
         "ingest_reuse": "select *, true as reused from part",
+        "ingest_failed": """select *, 'old' as part from part union all select *, 'new' as part from part where p_partkey % 2 = 0""",
         "ingest_reuse_options": "select *, false as reused from part",
         "file_profiles": """with whole as (select source, string_split(string_agg(text, chr(10) order by doc_id), chr(10)) as lines
               from documents group by source),
@@ -219,6 +220,20 @@ def oracle_sql() -> dict[str, str]:
               sum(length(line) - length(replace(line, '|', ''))) as d from heads group by 1)
             select file, case greatest(a, b, c, d) when a then ',' when b then ';' when c then chr(9) else '|' end as delimiter
             from counts""",
+        "delimiter_consistency": """with d as (select unnest([0, 1, 2, 3]) as i, unnest([',', ';', chr(9), '|']) as c),
+            e as (select event_id, event_type, event_id // 40 as file, c, case when c = ',' then '; ' else ', ' end as other
+              from events join d on d.i = (event_id // 40) % 4),
+            l as (select file, event_id % 40 + 1 as line_no, '"' || event_type || c || c || other || '"' as q,
+              event_id::varchar || c || case when event_id % 40 > 0 then repeat(other, event_id % 7) else 'title' end || c as front from e),
+            lines as (select file, case when file % 9 = 0 then q else front || q end as line from l where line_no <= 30),
+            n as (select file, i, length(line) - length(replace(line, c, '')) as every,
+              length(o) - length(replace(o, c, '')) + 1 as fields
+              from (select file, line, regexp_replace(line, '"[^"]*("|\\z)', '', 'g') as o from lines), d),
+            votes as (select file, i, fields, count(*) as k from n where fields > 1 group by all),
+            voted as (select file, i from votes qualify row_number() over (partition by file order by k desc, fields desc, i) = 1),
+            frequent as (select file, i from (select file, i, sum(every) as k from n group by all)
+              qualify row_number() over (partition by file order by k desc, i) = 1)
+            select f.file, d.c as delimiter from frequent f left join voted v using (file) join d on d.i = coalesce(v.i, f.i)""",
         "has_quotes": """with t as (select doc_id, case when doc_id % 9 = 0 then text || chr(10) || 'it''s' else text end as text from documents),
             heads as (select doc_id as file, unnest(string_split(text, chr(10))[1:21]) as line from t)
             select file, bool_or(contains(line, '"') or contains(line, '''')) as has_quotes from heads group by 1""",
@@ -244,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "write_parquet_roundtrip": nested,
         "write_parquet_codecs": """select s_suppkey, s_name, unnest(['zstd', 'snappy', 'gzip', 'none']) as codec from supplier""",
         "write_split": "select * from orders",
+        "write_sized": "select *, true as fits from lineitem",
         "write_csv_minimal": "select * from conversations",
         "write_csv_quoted": f"""with {DIRTY} select '"' || doc_id || '"|"' ||
             coalesce(replace({sub('v', r'\r\n|\n|\r', ' ')}, '"', '""'), '') || '"' as line from dirty""",
@@ -278,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
         "dedup_all": "select distinct * from lineitem",
         "dedup_fallback": "select distinct * from orders",
         "head_rows": "select doc_id, lang from documents order by n_chars nulls first, doc_id limit 100",
+        "slice_by_position": "select * from orders order by o_orderkey limit 600 offset 700",
         "slice_rows": "select conv_id, turn, text from conversations order by conv_id, turn limit 50 offset 100",
         "vstack": """select doc_id as id, text from documents union all select item_id, text from benchmark
             union all select item_id, text from benchmark""",

@@ -117,6 +117,27 @@ def delimiter_profile(lines: DataFrame, max_lines: int = DELIMITER_LINES) -> Dat
     return per_file.select("file", F.coalesce(pick, F.lit(DELIMITERS[0])).alias("delimiter"))
 
 
+def consistent_delimiter(lines: DataFrame, max_lines: int = DELIMITER_LINES) -> DataFrame:
+    """The known delimiter by which most of the first lines of each file have one and the same number of fields.
+
+    Delimiters inside double quotes do not count, and a line that it does not part is no vote for a delimiter. Ties go to
+    more fields, then to the earlier delimiter. A file of which no line is parted gets the most frequent delimiter, quotes or
+    not, as in :func:`delimiter_profile`. Four rows a line go through partial counts; per file a few numbers are left.
+    """
+    outside = F.regexp_replace("line", r'"[^"]*("|\z)', "")
+
+    def count(text, d):
+        return F.char_length(text) - F.char_length(F.replace(text, F.lit(d), F.lit("")))
+
+    votes = [F.struct(F.lit(-i).alias("d"), (count(outside, d) + 1).alias("fields"), count(F.col("line"), d).alias("all")) for i, d in enumerate(DELIMITERS)]
+    each = lines.where(F.col("line_no") <= max_lines).select("file", F.inline(F.array(*votes)))
+    counted = each.groupBy("file", "d", "fields").agg(F.count(F.lit(1)).alias("lines"), F.sum("all").alias("all"))
+    per = counted.groupBy("file", "d").agg(F.max(F.when(F.col("fields") > 1, F.struct("lines", "fields"))).alias("vote"), F.sum("all").alias("all"))
+    best = F.max_by("d", F.struct(F.coalesce("vote.lines", F.lit(0)), F.coalesce("vote.fields", F.lit(0)), F.when(F.col("vote").isNull(), F.coalesce("all", F.lit(0))), "d"))
+    names = F.array(*[F.lit(d) for d in DELIMITERS])
+    return per.groupBy("file").agg(best.alias("d")).select("file", F.get(names, -F.col("d")).alias("delimiter"))
+
+
 def has_quotes(lines: DataFrame, max_lines: int = QUOTE_LINES) -> DataFrame:
     """Is there a quote of either kind in the first lines of each file?"""
     quoted = F.contains(F.col("line"), F.lit('"')) | F.contains(F.col("line"), F.lit("'"))

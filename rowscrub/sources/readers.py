@@ -14,10 +14,10 @@ from rowscrub.functions.text import drop_bad_utf8  # noqa: F401
 from rowscrub.operators.columns import map_columns, ref, string_columns, unique_names
 from rowscrub.operators.layouts import Layouts, arranged, file_layouts, with_layout
 from rowscrub.operators.records import RECORD_LIMIT, split_records
-from rowscrub.session import discard, via_table
-from rowscrub.sources.sinks import write_parquet
+from rowscrub.session import via_table
+from rowscrub.sources.published import pointer, publish, read_published
 
-INGEST_FORMAT = 2  # changes when ingest() would write another table from the same source
+INGEST_FORMAT = 3  # changes when ingest() would write another table from the same source
 TEXT_FILES = "*.{[cC][sS][vV],[tT][xX][tT]}"
 
 # --- fixed values: what counts as a whole number, a fraction and a truth value ------------
@@ -271,18 +271,16 @@ def ingest(
 ) -> tuple[DataFrame, bool]:
     """Convert delimited text to Parquet once and read that; returns the table and whether it was reused.
 
-    The Parquet table is reused while the source files keep their size and time and the options are the
-    same. The marker that says so is removed before the table is written and set when it is complete.
+    The table is reused while the source files keep their size and time and the options are the same. It is
+    published in versions below ``out`` (:mod:`rowscrub.sources.published`), so that a job that fails leaves the table
+    before it, and readers of that one go on; :func:`~rowscrub.sources.published.read_published` reads it without its source.
     """
     options = json.dumps({"delimiter": delimiter, "infer": infer, "format": INGEST_FORMAT}, sort_keys=True)
     state = f"{source_state(spark, path)} {options}"
-    marker = out.rstrip("/") + ".source"
-    if not overwrite and read_marker(spark, marker) == state:
-        return spark.read.parquet(out), True
-    discard(spark, marker)
-    write_parquet(scan_raw(spark, path, delimiter, infer), out, mode="overwrite")
-    write_marker(spark, marker, state)
-    return spark.read.parquet(out), False
+    known = pointer(spark, out)
+    if not overwrite and known and known["state"] == state:
+        return read_published(spark, out), True
+    return publish(scan_raw(spark, path, delimiter, infer), out, state), False
 
 
 def write_marker(spark: SparkSession, marker: str, value: str) -> None:

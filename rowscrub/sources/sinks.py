@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from rowscrub.functions import text as X
@@ -21,14 +21,18 @@ def write_parquet(
     df: DataFrame, path: str, codec: str = "zstd", rows_per_file: int | None = None, mode: str = "errorifexists"
 ) -> None:
     """Parquet, by default zstd level 3; ``rows_per_file`` bounds the rows of each file."""
-    writer = df.write.mode(mode).option("compression", CODECS[codec])
-    if codec == "zstd":
-        writer = writer.option("parquet.compression.codec.zstd.level", ZSTD_LEVEL)
+    writer = parquet_writer(df, codec).mode(mode)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
 
 
+def parquet_writer(df: DataFrame, codec: str) -> DataFrameWriter:
+    """A writer set to a codec and its level."""
+    writer = df.write.option("compression", CODECS[codec])
+    return writer.option("parquet.compression.codec.zstd.level", ZSTD_LEVEL) if codec == "zstd" else writer
+
+
 def rows_for_size(sample_rows: int, sample_bytes: int, target_mb: int, total_rows: int | None = None, min_rows: int = MIN_ROWS) -> int:
     """Rows that fill ``target_mb`` at the bytes per row of a written sample, but at least ``min_rows``.
 

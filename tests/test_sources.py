@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from rowscrub.sources import inspect as I
-from rowscrub.sources import readers, sinks
+from rowscrub.sources import published, readers, sinks
 
 
 def test_plain_scan(spark, tmp_path):
@@ -273,3 +273,37 @@ def test_csv_sinks(spark, tmp_path):
     assert written == b'"x"\r\n"a\r\nb\nc"\r\n'
     sinks.write_repaired_csv(lines.where("false").select("x", "y"), str(tmp_path / "none"))
     assert b"".join(p.read_bytes() for p in (tmp_path / "none").glob("part-*")) == b'"x"~"y"\r\n'
+
+
+def test_delimiter_by_consistency(spark):
+    texts = {
+        "semicolons": "name;note;n\n" + "\n".join(f"x{i};" + "a, b, c, " * (i % 4) + ";1" for i in range(20)),
+        "quoted": '"a;b;c",1\n"d;e;f",2\n"g,h",3',
+        "open": 'a|"b,c,d\ne|f',
+        "tie": "a,b;c;d\ne,f;g;h",
+        "frequent": '"a;b,c;d"',
+        "none": "abc\n\n",
+        "empty": "",
+        "late": "\n" * 40 + "a|b",
+    }
+    lines = I.text_lines(spark.createDataFrame(list(texts.items()), "file string, text string"), "file", "text", 30)
+    found = {r["file"]: r["delimiter"] for r in I.consistent_delimiter(lines).collect()}
+    assert found == {"semicolons": ";", "quoted": ",", "open": "|", "tie": ";", "frequent": ";", "none": ",", "empty": ",", "late": ","}
+    odd = spark.createDataFrame([("x", 1, None)], "file string, line_no int, line string")
+    assert rows(I.consistent_delimiter(odd)) == [("x", ",")] and I.consistent_delimiter(odd.limit(0)).count() == 0
+
+
+def test_failed_version_leaves_the_table(spark, tmp_path):
+    source, out = tmp_path / "in.csv", str(tmp_path / "out")
+    source.write_text("id,v\n1,a\n")
+    first, _ = readers.ingest(spark, str(source), out)
+    with pytest.raises(Exception, match="stop here"):
+        published.publish(first.select(F.raise_error(F.lit("stop here")).alias("id")), out)
+    assert rows(published.read_published(spark, out)) == [(1, "a")] and readers.ingest(spark, str(source), out)[1]
+    second = published.publish(first.unionByName(first), out)
+    assert first.count() == 1 and second.count() == 2  # readers of the version before go on
+    third = published.publish(second, out, "s")
+    assert third.count() == 2 and published.pointer(spark, out)["state"] == "s"
+    assert len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("version")]) == published.KEPT
+    with pytest.raises(FileNotFoundError):
+        published.read_published(spark, str(tmp_path / "none"))
