@@ -341,13 +341,13 @@ def conversation_trie(turns: DataFrame) -> DataFrame:
         tables.append(written(done, "trie-borders"))
         left, highest = tables[-1].where(F.col("kind") == OPEN), None if final else highest // TOGETHER
 
-    # Nodes from merges have keys: by these they get the hashes of their ids, and give their children's rows their conv_id.
+    # Nodes from merges, in a task or of tasks, have keys: by these they get the hashes of their ids, and give their children's rows their conv_id.
     ids = tables[0].where(F.col("kind") == ENDS).select("key", "conv_id", "ids").repartition("key").sortWithinPartitions("key", "conv_id")
     ends = ids.select("key", "ids").mapInArrow(_joined_ids, "key binary, ends string")
-    nodes = tables[0].where(F.col("kind") == CLOSED)
+    nodes = tables[0].where((F.col("kind") == CLOSED) & F.col("key").isNull())
+    border = tables[0].where((F.col("kind") == CLOSED) & F.col("key").isNotNull())
     if len(tables) > 1:
-        border = tables[1].where(F.col("kind") == CLOSED)
-        for table in tables[2:]:
+        for table in tables[1:]:
             border = border.unionByName(table.where(F.col("kind") == CLOSED))
         names = border.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("above"))
         hashed = border.join(ends, "key", "left").withColumn("ends_sha256", F.coalesce("ends", F.lit(NOTHING))).drop("ends")

@@ -101,6 +101,17 @@ def test_against_all_prefixes(spark, monkeypatch, turns, together, partitions, b
     assert sorted(map(tuple, got), key=repr) == nodes(rows)
 
 
+def test_many_shards_in_one_task(spark):
+    """Nodes at borders inside a task have their ids and give their children theirs."""
+    rows = talk(8, 260)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # each batch is a shard
+    try:
+        got = T.conversation_trie(frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=repr) == nodes(rows)
+
+
 @pytest.mark.parametrize("turns", [1, 3, 10, 1000])
 def test_shards_and_merges_without_spark(turns):
     """Any cut into shards, merged two at a time, gives the same nodes."""
