@@ -560,7 +560,7 @@ def dedup_fallback(spark, folder):
 
 @query
 def head_rows(spark, folder):
-    return R.head_rows(table(spark, folder, "documents"), 100, ["n_chars", "doc_id"]).select("doc_id", "lang")
+    return R.head_rows(table(spark, folder, "documents"), 5000, ["n_chars", "doc_id"]).select("doc_id", "lang")
 
 
 @query

@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
             qualify row_number() over (partition by user_id, event_type order by event_id) = 1""",
         "dedup_all": "select distinct * from lineitem",
         "dedup_fallback": "select distinct * from orders",
-        "head_rows": "select doc_id, lang from documents order by n_chars nulls first, doc_id limit 100",
+        "head_rows": "select doc_id, lang from documents order by n_chars nulls first, doc_id limit 5000",
         "slice_by_position": "select * from orders order by o_orderkey limit 600 offset 700",
         "slice_rows": "select conv_id, turn, text from conversations order by conv_id, turn limit 50 offset 100",
         "vstack": """select doc_id as id, text from documents union all select item_id, text from benchmark

@@ -29,3 +29,8 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "body", "additional_info", "year", "country_code"] and df.count() > 0
+
+
+def test_head_takes_as_many_rows_as_before(spark):
+    """5000 rows, or all of a table of fewer."""
+    assert catalogue.head_rows(spark, FOLDER).count() == min(5000, spark.read.parquet(f"{FOLDER}/documents.parquet").count()) > 100
