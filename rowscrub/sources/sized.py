@@ -1,13 +1,15 @@
 """Parquet files of an asked size, named by their place, and slices of tables by row position.
 
 Rows keep their order. A table is written once as it comes; from the sizes of these files follows how many bytes a row takes,
-and so at which rows the files asked for begin. If these, once written, miss the size, their own sizes say
-more, and the cuts are made again.
+and so at which rows the files asked for begin; where they are many, a few are written first, as small files compress
+less than large ones. If the files, once written, miss the size, their own sizes say more, and the cuts are made again.
 """
 
 from __future__ import annotations
 
 import uuid
+from statistics import median
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,10 @@ from rowscrub.sources.sinks import parquet_writer, write_parquet
 CELLS = 64  # cuts lie between cells of rows; a file has about so many, if its rows are of like size
 CELL_ROWS = 4096  # rows of a cell, at most
 ROUNDS = 4  # writes after the first
-CUT_BYTES, FILE_BYTES = 16, 64  # of the broadcast table of cuts
+PILOTS = 16  # files that are written to see how large they come out, where there are many
+CUT_BYTES, FILE_BYTES = 16, 256  # of the broadcast table of cuts: of a cut, and of a block with the path of its file
+TASK_BYTES = 32 << 20  # of the files that a task writes, if there are many small ones
+TASKS_PER_CORE = 3
 
 
 def write_sized(
@@ -55,12 +60,13 @@ def write_sized(
         for i in range(1, ROUNDS + 1):
             if _fits(files, target, tolerance):
                 break
-            cut = _cut(spark, current, df.schema, target)
-            if cut is None:
+            cells = _cells(spark, current, df.schema, target)
+            if cells is None:
                 files = files[:1]  # no rows
                 break
+            factor = _factor(spark, cells, target, codec, f"{work}/pilots") if i == 1 else 1.0
             before, current = current, f"{work}/{i}"
-            _write_parts(cut, current, codec)
+            _write_parts(_cut(spark, cells, target, factor), current, codec)
             files = _sizes(spark, current)
             discard(spark, before)
         _publish(spark, files, f"{work}/out", folder, name or last.removesuffix(".parquet"), mode)
@@ -107,35 +113,86 @@ def _weight(df: DataFrame) -> Column:
     return weight
 
 
-def _cut(spark: SparkSession, path: str, schema, target: int) -> DataFrame | None:
-    """The rows of a written table with the number of their file as last column, lying together by it; none for no rows."""
+class Cells(NamedTuple):
+    """A written table, and where its cells of rows begin, in bytes from the start of the table."""
+
+    table: DataFrame
+    names: list[str]
+    """Its columns, without the one that its folders may add."""
+    placed: DataFrame
+    rows: int
+    """Rows of a cell."""
+    block: int
+    """Cells of a block, which has about the rows of a part."""
+    files: int
+    size: int
+
+
+def _cells(spark: SparkSession, path: str, schema, target: int) -> Cells | None:
+    """The cells of a written table; none for no rows."""
     table = spark.read.schema(schema).parquet(path)
     meta = table.metadataColumn("_metadata")
-    row = F.struct(*[ref(name) for name in schema.names]).alias("row")
-    places = [_place(meta["file_path"]).alias("file"), meta["row_index"].alias("at")]
-    light = table.select(*places, meta["file_size"].alias("size"), _weight(table.select(*[ref(name) for name in schema.names])).alias("weight"))
-    files = light.groupBy("file").agg(F.max("size").alias("size"), F.sum("weight").alias("weight"), F.max("weight").alias("most"))
-    files = via_table(files.withColumn("bytes_per", F.col("size") / F.col("weight")), "file-weights")
-    known = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max(F.col("most") * F.col("bytes_per")).alias("most")).first()
+    light = table.select(*_places(table), meta["file_size"].alias("size"), _weight(table.select(*[ref(name) for name in schema.names])).alias("weight"))
+    files = light.groupBy("path").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight"), F.max("weight").alias("most"))
+    # What a file's name says is taken apart once for each file, not for each row.
+    files = via_table(files.select("*", _place(F.col("path")).alias("file"), (F.col("size") / F.col("weight")).alias("bytes_per")), "file-weights")
+    heaviest = F.max(F.col("most") * F.col("bytes_per")).alias("most")
+    known = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("rows").alias("rows"), heaviest).first()
     if not known["n"]:
         return None
     rows = int(min(max(target / CELLS / max(known["most"], 1e-9), 1), CELL_ROWS))
+    # Cells in blocks of about the rows of a part: a row looks for its part among the few cuts of its block, however many its file has.
+    block = max(int(known["rows"] * target / known["size"] / rows), 1)
     before = running_total(files, "file", "size", "file_start")
-    cells = light.groupBy("file", F.expr(f"at div {rows}").alias("cell")).agg(F.sum("weight").alias("weight"))
-    inside = Window.partitionBy("file").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = light.groupBy("path", F.expr(f"at div {rows}").alias("cell")).agg(F.sum("weight").alias("weight"))
+    inside = Window.partitionBy("path").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.coalesce(F.sum("weight").over(inside), F.lit(0)) + F.col("weight") / 2
-    placed = cells.select("file", "cell", so_far.alias("so_far")).join(files.select("file", "bytes_per"), "file").join(before, "file")
-    part = F.floor((F.col("file_start") + F.col("so_far") * F.col("bytes_per")) / target)
-    starts = placed.groupBy("file", part.alias("part")).agg((F.min("cell") * rows).alias("start"))
-    cuts = via_table(starts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("cuts")), "cuts")
-    parts = known["size"] // target + 1
-    if known["n"] * FILE_BYTES + (parts + known["n"]) * CUT_BYTES <= broadcast_bytes(spark):
+    begun = files.select("path", "file", "bytes_per").join(before, "file").drop("file")
+    placed = cells.select("path", "cell", so_far.alias("so_far")).join(begun, "path")
+    placed = placed.select("path", "file_start", "cell", (F.col("file_start") + F.col("so_far") * F.col("bytes_per")).alias("byte"))
+    return Cells(table, schema.names, via_table(placed, "cells"), rows, block, known["n"], known["size"])
+
+
+def _factor(spark: SparkSession, cells: Cells, target: int, codec: str, path: str) -> float:
+    """How much larger files of the asked size come out than a table of other files says: by a few of them, written for that."""
+    parts = cells.size // target
+    if parts < 4 * PILOTS:
+        return 1.0
+    _write_parts(_cut(spark, cells, target, 1.0, [i * parts // PILOTS for i in range(PILOTS)]), path, codec)
+    sizes = [size for _, size in _sizes(spark, path)]
+    return median(sizes) / target if sizes else 1.0
+
+
+def _places(table: DataFrame) -> list[Column]:
+    meta = table.metadataColumn("_metadata")
+    return [meta["file_path"].alias("path"), meta["row_index"].alias("at")]
+
+
+def _cut(spark: SparkSession, cells: Cells, target: int, factor: float, chosen: list[int] | None = None) -> DataFrame:
+    """The rows with the number of their file as last column, lying together by it; of all files, or of the chosen ones."""
+    table, placed = cells.table, cells.placed
+    part = F.floor(F.col("byte") * factor / target)
+    first = (F.min("cell") * cells.rows).alias("start")
+    starts = placed.groupBy("path", "file_start", F.expr(f"cell div {cells.block}").alias("block"), part.alias("part")).agg(first)
+    listed = F.array_sort(F.collect_list(F.struct("start", "part"))).alias("cuts")
+    cuts = via_table(starts.groupBy("path", "file_start", "block").agg(listed), "cuts")
+    if chosen is not None:
+        cuts = cuts.where(F.exists("cuts", lambda c: c["part"].isin(chosen)))
+    parts = int(cells.size * factor / target) + 1
+    if (cells.files + parts) * (FILE_BYTES + CUT_BYTES) <= broadcast_bytes(spark):
         cuts = F.broadcast(cuts)
-    number = "part" + "_" * max(map(len, schema.names))
-    begun = F.filter("cuts", lambda c: c["start"] <= F.col("at"))
-    dealt = table.select(row, *places).join(cuts, "file").select("row", "file", "at", F.element_at(begun, -1)["part"].alias(number))
-    together = dealt.repartitionById(int(parts), F.col(number).cast("int")).sortWithinPartitions(number, "file", "at")
-    return together.select(*[F.col("row")[name].alias(name) for name in schema.names], number)
+    number = "part" + "_" * max(map(len, cells.names))
+    row = F.struct(*[ref(name) for name in cells.names]).alias("row")
+    dealt = table.select(row, *_places(table)).withColumn("block", F.expr(f"at div {cells.rows * cells.block}")).join(cuts, ["path", "block"])
+    started = F.filter("cuts", lambda c: c["start"] <= F.col("at"))
+    numbered = dealt.select("row", "file_start", "at", F.element_at(started, -1)["part"].alias(number))
+    if chosen is not None:
+        numbered = numbered.where(F.col(number).isin(chosen))
+    # Neighbouring parts share a task where they are small, so that tasks grow with the bytes and not with the number of files.
+    tasks = int(min(parts, max(cells.size * factor // TASK_BYTES + 1, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    task = F.least(F.floor(F.col(number) * F.lit(tasks / parts)), F.lit(tasks - 1)).cast("int")
+    together = numbered.repartitionById(tasks, task).sortWithinPartitions(number, "file_start", "at")
+    return together.select(*[F.col("row")[name].alias(name) for name in cells.names], number)
 
 
 def _files_of(spark: SparkSession, path: str):
@@ -148,21 +205,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    location, system = _files_of(spark, source)
-    if not system.rename(location, _files_of(spark, target)[0]):
-        raise OSError(f"cannot rename {source} to {target}")
+def _move(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Rename files or folders, all of one file system."""
+    if not moves:
+        return
+    system = _files_of(spark, moves[0][0])[1]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # looked up once: each look-up is many calls
+    for source, target in moves:
+        if not system.rename(path(source), path(target)):
+            raise OSError(f"cannot rename {source} to {target}")
 
 
 def _publish(spark: SparkSession, files: list[tuple[str, int]], staged: str, folder: str, name: str, mode: str) -> None:
     """Rename files by their place and then the whole folder; a table that is replaced goes when its successor is there."""
     location, system = _files_of(spark, staged)
     system.mkdirs(location)
-    for i, (file, _) in enumerate(files, 1):
-        _move(spark, file, f"{staged}/{name}_part_{i}.parquet")
+    _move(spark, [(file, f"{staged}/{name}_part_{i}.parquet") for i, (file, _) in enumerate(files, 1)])
     if mode == "overwrite" and _exists(spark, folder):
-        _move(spark, folder, staged + "-old")
-    _move(spark, staged, folder)
+        _move(spark, [(folder, staged + "-old")])
+    _move(spark, [(staged, folder)])
 
 
 def slice_table(spark: SparkSession, path: str, offset: int, length: int) -> DataFrame:

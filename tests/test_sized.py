@@ -1,11 +1,12 @@
 """Files of an asked size and slices by position."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan_of, rows
 from rowscrub.sources import sized
 
 
@@ -34,6 +35,23 @@ def test_tiny_and_huge_tasks_give_files_of_the_size(spark, tmp_path, parts, targ
     assert [f for f in os.listdir(tmp_path) if f.startswith("_")] == []
 
 
+def test_many_small_files_are_dealt_by_few_tasks_and_written_once(spark, tmp_path, monkeypatch):
+    plans, write = [], sized._write_parts
+
+    def watched(df, *rest):
+        plans.append(plan_of(df))
+        write(df, *rest)
+
+    monkeypatch.setattr(sized, "_write_parts", watched)
+    df, out = uneven(spark, 12_000, 5), str(tmp_path / "t")
+    sizes = sized.write_sized(df, out, 0.03)
+    assert len(sizes) > 100 and rows(spark.read.parquet(out)) == rows(df)
+    most = sized.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for plan in plans:
+        assert "regexp_extract" not in plan  # names of files are not taken apart for each row
+        assert all(int(n) <= most for n in re.findall(r"Exchange \w+\(.*, (\d+)\)", plan)) and "Exchange" in plan
+
+
 def test_modes_and_odd_tables(spark, tmp_path):
     out = str(tmp_path / "t")
     empty = spark.createDataFrame([], "file string, at long, part long")
