@@ -214,7 +214,7 @@ def run_workflow(
     if all(p.rstrip("/").lower().endswith(".parquet") for p in paths):
         df = spark.read.parquet(*paths)
     else:
-        df = readers.scan_plain(spark, paths, multi_line=multi_line)
+        df = readers.scan_plain(spark, paths, multi_line=multi_line, staged=multi_line)
     df = readers.spread(df, tasks)
     result = VARIANTS[variant](df, wf, order_by=order_by)
     export = wf.export if variant == "lib" else {}

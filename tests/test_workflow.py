@@ -197,3 +197,21 @@ def test_output_name_several_inputs_and_plan(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "done.parquet")).count() == 3
     plan = plan_of(W.cli_workflow(spark.read.parquet(str(tmp_path / "in0.parquet")), wf))
     assert "HashAggregate" in plan and "Sort [" not in plan and "Window" not in plan
+
+
+def test_run_cuts_and_parses_text_once(spark, tmp_path, monkeypatch):
+    """Types and the job read the parsed cells, not the text."""
+    lines = ["id,t,T 2"] + [f'{i},"Line {i}\nnext, ""{i}""",{i / 2}' for i in range(50)]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    plans, infer = [], W.readers.infer_types
+
+    def watched(df, *rest):
+        plans.append(plan_of(df))
+        return infer(df, *rest)
+
+    monkeypatch.setattr(W.readers, "infer_types", watched)
+    W.run_workflow(spark, str(tmp_path / "in.csv"), Workflow.from_dict({"year": 2024}), str(tmp_path / "out.parquet"))
+    assert len(plans) == 1 and "FileScan text" not in plans[0] and "MapInPandas" not in plans[0]
+    out = spark.read.parquet(str(tmp_path / "out.parquet"))
+    assert dict(out.dtypes)["id"] == "bigint" and dict(out.dtypes)["T 2"] == "double"
+    assert sorted(r["id"] for r in out.collect()) == list(range(50))
